@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.sources.tables import table
 
-from . import bpe, url_filter
+from . import bpe, media, quality_rules, url_filter
 
 #: Fixed by the contract: verdicts by host and path.
 URL_RULES = [
@@ -22,6 +22,10 @@ URL_RULES = [
 SPAM_TERMS = ["ads", "bets", "casino", "pills", "spam"]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = url_filter.hosts_with_terms(pages, SPAM_TERMS)
@@ -44,9 +48,13 @@ def _op4_sql() -> str:
         from parts"""
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op4_url_filter": op4_url_filter, "op8_bpe": op8_bpe}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_media": op7_media, "op4_url_filter": op4_url_filter, "op8_bpe": op8_bpe}
 ORACLE = {"op4_url_filter": _op4_sql()}
