@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe
 from sparkloom.llm.common import Scratch
+from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
 
+@shipped
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document that is left."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -21,6 +23,7 @@ STAGES = [("BPE encoding and decoding", encode_bpe)]
 ORACLE_SQL = None
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet in the shared folder and read again."""
     tables, docs = Scratch(spark), table(spark, sf_dir, "documents")

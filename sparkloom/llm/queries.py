@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
 from . import bpe, media, quality_rules, url_filter
@@ -56,5 +57,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_media": op7_media, "op4_url_filter": op4_url_filter, "op8_bpe": op8_bpe}
+QUERIES = {
+    name: shipped(query)
+    for name, query in {
+        "op1_quality_rules": op1_quality_rules,
+        "op4_url_filter": op4_url_filter,
+        "op7_media": op7_media,
+        "op8_bpe": op8_bpe,
+    }.items()
+}
 ORACLE = {"op4_url_filter": _op4_sql()}
