@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
-from . import bpe, media, quality_rules, url_filter
+from . import bpe, language_id, media, quality_classifier, quality_rules, url_filter
+from .common import remainder
 
 #: Fixed by the contract: verdicts by host and path.
 URL_RULES = [
@@ -27,6 +29,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = url_filter.hosts_with_terms(pages, SPAM_TERMS)
@@ -49,6 +56,10 @@ def _op4_sql() -> str:
         from parts"""
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) != 2)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -61,7 +72,9 @@ QUERIES = {
     name: shipped(query)
     for name, query in {
         "op1_quality_rules": op1_quality_rules,
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_url_filter": op4_url_filter,
+        "op6_language_id": op6_language_id,
         "op7_media": op7_media,
         "op8_bpe": op8_bpe,
     }.items()
