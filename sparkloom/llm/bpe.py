@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 from base64 import b64decode
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -178,17 +177,12 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     their results; empty tables give no rows; other columns are left out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
-        for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                ids = c.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, key, batch["key"].to_numpy())
-            yield out
-
-    kind = docs.schema[key].dataType.simpleString()
-    taken = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return taken.mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        c, rows = codec(path), []
+        for t in texts:
+            ids = c.encode(t or "")
+            rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(key).alias(key), run(F.col(text)).alias("_r")).select(key, "_r.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
-from . import bpe, language_id, media, quality_classifier, quality_rules, url_filter
+from . import bpe, language_id, media, mixing, quality_classifier, quality_rules, url_filter, warc
 from .common import remainder
 
 #: Fixed by the contract: verdicts by host and path.
@@ -34,6 +34,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, labels, remainder(F.col("doc_id"), 5) != 0)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = url_filter.hosts_with_terms(pages, SPAM_TERMS)
@@ -56,6 +60,10 @@ def _op4_sql() -> str:
         from parts"""
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) != 2)
 
@@ -73,7 +81,9 @@ QUERIES = {
     for name, query in {
         "op1_quality_rules": op1_quality_rules,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_mixing": op3_mixing,
         "op4_url_filter": op4_url_filter,
+        "op5_warc": op5_warc,
         "op6_language_id": op6_language_id,
         "op7_media": op7_media,
         "op8_bpe": op8_bpe,
