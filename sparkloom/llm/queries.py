@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
-from . import bpe, language_id, media, mixing, quality_classifier, quality_rules, url_filter, warc
+from . import bpe, jaccard_join, language_id, media, mixing, quality_classifier, quality_rules, url_filter, warc
 from .common import remainder
 
 #: Fixed by the contract: verdicts by host and path.
@@ -76,6 +76,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     name: shipped(query)
     for name, query in {
@@ -87,6 +91,7 @@ QUERIES = {
         "op6_language_id": op6_language_id,
         "op7_media": op7_media,
         "op8_bpe": op8_bpe,
+        "op9_jaccard_join": op9_jaccard_join,
     }.items()
 }
 ORACLE = {"op4_url_filter": _op4_sql()}
