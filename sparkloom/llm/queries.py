@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
-from . import bpe, jaccard_join, language_id, media, mixing, quality_classifier, quality_rules, url_filter, warc
+from . import bpe, jaccard_join, language_id, lm_score, media, mixing, quality_classifier, quality_rules, url_filter, warc
 from .common import remainder
 
 #: Fixed by the contract: verdicts by host and path.
@@ -80,6 +80,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+
+
 QUERIES = {
     name: shipped(query)
     for name, query in {
@@ -92,6 +96,7 @@ QUERIES = {
         "op7_media": op7_media,
         "op8_bpe": op8_bpe,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_lm_score": op10_lm_score,
     }.items()
 }
 ORACLE = {"op4_url_filter": _op4_sql()}
