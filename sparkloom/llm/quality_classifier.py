@@ -138,14 +138,16 @@ def fit(rows: DataFrame) -> Model:
             if len(batch):
                 f = blank.features(_matrix(batch["x"]))
                 total += f.T @ np.concatenate([f, batch["y"].to_numpy(float)[:, None]], axis=1)
-        yield pd.DataFrame({"i": np.arange(FEATURES + 1), "v": list(total)})
+        if total[-1, -2]:  # else it had no rows
+            yield pd.DataFrame({"i": np.arange(FEATURES + 1), "v": list(total)})
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, v in zip(batch["i"], batch["v"], strict=True):
                 held[i] = held.get(i, 0) + v
-        yield pd.DataFrame({"i": list(held), "v": list(held.values())})
+        if held:
+            yield pd.DataFrame({"i": list(held), "v": list(held.values())})
 
     fitted = rows.where("fold <> 0")
     parts = fitted.select("x", "y").mapInPandas(sums, "i int, v array<double>")
@@ -221,3 +223,4 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
         model = fit(s.stored(training_rows(stats.where("learn").select(key, "x"), labels, key, label), "rows"))
     out = stats.select(key, (~F.col("learn")).alias("held_out"), scored(F.col("x"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
