@@ -1,2 +1,351 @@
-QUERIES = {}
-ORACLE = {}
+"""A query for each operator, in the DataFrame API; sparkloom.oracle has the SQL that says what each must return."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparkloom.functions import bloom, checksum, suspicion
+from sparkloom.operators import locks, mvcc, recovery, relational as R, routing, versioned as V
+from sparkloom.oracle import ORACLE as _SQL
+from sparkloom.plans import stats
+from sparkloom.session import shipped
+from sparkloom.sources.manifest import overlap
+from sparkloom.sources.tables import table
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as versions: the user is the key, the event's number its sequence, an error a delete."""
+    e = table(spark, d, "events")
+    return e.select("user_id", F.col("event_id").alias("seq"), "value", (F.col("event_type") == "error").alias("tomb"))
+
+
+_KEYED = {"key": "user_id", "tombstone": "tomb"}
+
+
+# --- relational
+
+
+def scan_seq(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+
+
+def index_point(spark, d):
+    return table(spark, d, "orders").where("o_orderkey = 42").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def index_range(spark, d):
+    return R.key_range(table(spark, d, "orders"), "o_orderkey", 100, 200).select("o_orderkey", "o_totalprice")
+
+
+def filter_bool(spark, d):
+    c = F.col
+    kept = (c("l_quantity") > F.lit(18) + 2) & ((c("l_discount") < 0.05) | (c("l_returnflag") == "R")) & ~(c("l_linestatus") == "F")
+    return table(spark, d, "lineitem").where(kept).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def filter_between(spark, d):
+    return table(spark, d, "part").where(F.col("p_size").between(10, 20)).select("p_partkey", "p_size")
+
+
+def project_expr(spark, d):
+    return R.project(table(spark, d, "orders"), o_orderkey="o_orderkey", dbl_price=F.col("o_totalprice") * 2, next_cust=F.col("o_custkey") + 1)
+
+
+def hash_join_inner(spark, d):
+    return R.equi_join(table(spark, d, "customer"), table(spark, d, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+def hash_join_left(spark, d):
+    dear = table(spark, d, "orders").where("o_totalprice > 450000")
+    return R.equi_join(table(spark, d, "customer"), dear, {"c_custkey": "o_custkey"}, "left").select("c_custkey", "o_orderkey")
+
+
+def nested_loop_join(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    return R.theta_join(nation, region, nation.n_regionkey < region.r_regionkey).select("n_nationkey", "r_regionkey")
+
+
+def hash_agg(spark, d):
+    quantity = R.exact_sum(F.col("l_quantity")) / F.count("l_quantity")
+    return R.aggregate(
+        table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], cnt=F.count("*"), sum_price=R.exact_sum(F.col("l_extendedprice")),
+        min_ship=F.min("l_shipdate"), max_qty=F.max("l_quantity"), avg_qty=quantity,
+    )
+
+
+def global_agg_empty(spark, d):
+    return table(spark, d, "orders").where("o_orderkey < 0").agg(F.count("*").alias("cnt"), F.min("o_orderkey").alias("mn"), F.max("o_orderkey").alias("mx"))
+
+
+def having(spark, d):
+    return R.aggregate(table(spark, d, "orders"), ["o_custkey"], having=F.col("cnt") > 12, cnt=F.count("*"))
+
+
+def topk_offset(spark, d):
+    return R.top(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 10, 5)
+
+
+def sort_all(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey")
+
+
+def partial_final_agg(spark, d):
+    parts = R.partial(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_orderkey") % 8, "l_quantity")
+    return R.final(parts, ["l_returnflag"]).select("l_returnflag", F.col("total").alias("sum_qty"), F.col("n").alias("cnt"), F.col("mean").alias("avg_qty"))
+
+
+def flagship(spark, d):
+    lines = table(spark, d, "lineitem").where(F.col("l_quantity") > F.lit(18) + 2)
+    orders, customers, nations = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    joined = R.equi_join(R.equi_join(R.equi_join(lines, orders, {"l_orderkey": "o_orderkey"}), customers, {"o_custkey": "c_custkey"}), nations, {"c_nationkey": "n_nationkey"})
+    by_nation = R.aggregate(joined, ["n_name"], having=F.col("cnt") > 10, revenue=R.exact_sum(F.col("l_extendedprice")), cnt=F.count("*"))
+    return R.top(by_nation, [F.desc("revenue"), F.asc("n_name")], 10)
+
+
+def dml_insert(spark, d):
+    return R.inserted(table(spark, d, "nation").select("n_nationkey", "n_name"), spark.createDataFrame([(99, "NEW")], "n_nationkey int, n_name string"))
+
+
+def dml_update(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return R.updated(rows, F.col("c_mktsegment") == "AUTOMOBILE", c_acctbal=F.col("c_acctbal") + 100).drop("c_mktsegment")
+
+
+def dml_delete(spark, d):
+    return R.deleted(table(spark, d, "customer"), F.col("c_acctbal") < 0).select("c_custkey")
+
+
+def constraint_pk(spark, d):
+    return R.duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("count").alias("cnt"))
+
+
+def constraint_fk(spark, d):
+    return R.orphans(table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal >= 0"), "o_custkey", "c_custkey").select("o_orderkey")
+
+
+# --- versions
+
+
+def lsm_scan(spark, d):
+    return V.scan(_events(spark, d), **_KEYED).select("user_id", "seq", "value")
+
+
+def lsm_range(spark, d):
+    return V.scan(_events(spark, d), 10, 50, **_KEYED).select("user_id", "seq", "value")
+
+
+def lsm_get(spark, d):
+    return V.get(_events(spark, d), 7, **_KEYED).select("user_id", "seq", "value")
+
+
+def _two_runs(spark, d):
+    e = _events(spark, d)
+    return V.merged([e.where("seq % 4 = 0"), e.where("seq % 4 = 1")])
+
+
+def lsm_compact_keep(spark, d):
+    return V.compacted(_two_runs(spark, d), False, **_KEYED).select("user_id", "seq", "tomb")
+
+
+def lsm_compact_drop(spark, d):
+    return V.compacted(_two_runs(spark, d), True, **_KEYED).select("user_id", "seq", "tomb")
+
+
+def lsm_entries(spark, d):
+    """Entry order and size of binary keys."""
+    e = _events(spark, d)
+    rows = V.puts(e, F.col("user_id").cast("string"), F.col("value").cast("string"), F.col("seq"))
+    out = V.ordered(rows).withColumn("bytes", V.entry_size().cast("long"))
+    return out.select(F.col("key").cast("string").alias("k"), "seq", (F.col("bytes") - F.octet_length("value")).alias("key_bytes"))
+
+
+def lsm_manifest(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy((F.col("event_id") % 4).alias("file_no")).agg(F.min("user_id").alias("smallest_key"), F.max("user_id").alias("largest_key"), F.count("*").alias("key_count"))
+
+
+def _files(spark, d):
+    e = table(spark, d, "events").where("event_id < 200")
+    return e.groupBy((F.col("event_id") % 40).alias("file_no")).agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+
+
+def overlap_join(spark, d):
+    a, b = _files(spark, d).where("file_no < 4").alias("a"), _files(spark, d).where("file_no >= 4").alias("b")
+    on = overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
+    return R.theta_join(a, b, on).select(F.col("a.file_no").alias("src"), F.col("b.file_no").alias("dst"))
+
+
+def bloom_semi(spark, d):
+    cars = table(spark, d, "customer").where("c_mktsegment = 'AUTOMOBILE'")
+    return bloom.semi_join(table(spark, d, "orders"), "o_custkey", cars, "c_custkey").select("o_orderkey")
+
+
+# --- logs, versions, locks
+
+
+def _log(spark, d):
+    """Events as a log: the user is the transaction, purchase commits and error aborts."""
+    kind = F.when(F.col("event_type") == "purchase", "COMMIT").when(F.col("event_type") == "error", "ABORT").otherwise("UPDATE")
+    page = F.when(F.col("event_type").isin("click", "view"), F.col("user_id") % 16)
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("lsn"), F.col("user_id").alias("tx_id"), kind.alias("type"), page.alias("page_id"), F.col("event_type").alias("slot"),
+        F.col("value").cast("string").cast("binary").alias("after_image"),
+    )
+
+
+def wal_att(spark, d):
+    return recovery.active_transactions(_log(spark, d))
+
+
+def wal_dpt(spark, d):
+    return recovery.dirty_pages(_log(spark, d))
+
+
+def wal_redo(spark, d):
+    return recovery.redone(_log(spark, d)).select("page_id", "slot", "page_lsn")
+
+
+def two_pc(spark, d):
+    return recovery.outcomes(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase").withColumnRenamed("user_id", "tx_id")
+
+
+def raft_commit(spark, d):
+    """Groups of users: each node's last event is its match index, the group's log the events up to there."""
+    e = table(spark, d, "events").withColumns({"group_id": F.col("user_id") % 10, "node_id": F.col("user_id") % 50})
+    match = e.groupBy("group_id", "node_id").agg(F.max("event_id").alias("match_index"))
+    return recovery.commit_index(match, e.select("group_id", F.col("event_id").alias("index"), (F.col("event_id") % 2).alias("term")), F.lit(1))
+
+
+def _versions(spark, d):
+    return mvcc.with_xmax(table(spark, d, "events").select("user_id", F.col("event_id").alias("xmin"), "value"), "user_id")
+
+
+def mvcc_visible(spark, d):
+    return mvcc.visible(_versions(spark, d), mvcc.Snapshot(5000, (4900, 4950, 4990))).select("user_id", "xmin", "value")
+
+
+def vacuum(spark, d):
+    return mvcc.vacuumed(_versions(spark, d), 5000).select("user_id", "xmin")
+
+
+def first_committer(spark, d):
+    writes = table(spark, d, "events").select("user_id", "event_id")
+    return mvcc.first_committer_losers(writes, "user_id", F.col("event_id") - 20, F.col("event_id"), "event_id")
+
+
+def ssi_pivots(spark, d):
+    n = table(spark, d, "nation")
+    return mvcc.dangerous_structures(n.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")).where("src <> dst"))
+
+
+def lock_conflict(spark, d):
+    asked = [("IS", "IS"), ("IS", "IX"), ("IS", "S"), ("IS", "SIX"), ("IS", "X"), ("IX", "IX"), ("IX", "S"), ("S", "S"), ("S", "SIX"), ("X", "X")]
+    return spark.createDataFrame(asked, "held string, req string").join(F.broadcast(locks.matrix(spark).where("not ok")), ["held", "req"], "left_semi")
+
+
+def lock_waits(spark, d):
+    """Orders as requests for their customer: urgent ones exclusive, the others shared."""
+    o = table(spark, d, "orders").where("o_custkey < 50")
+    mode = F.when(F.col("o_orderpriority").startswith("1"), "X").otherwise("S")
+    rows = o.select(F.col("o_custkey").alias("resource"), F.col("o_orderkey").alias("tx"), mode.alias("mode"))
+    return locks.conflicts(rows, rows)
+
+
+def deadlock_cycle(spark, d):
+    n = table(spark, d, "nation")
+    return locks.cycles(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst")))
+
+
+# --- routing and statistics
+
+
+def route_range(spark, d):
+    return table(spark, d, "orders").groupBy(routing.by_width(F.col("o_orderkey"), 4096).alias("partition_id")).agg(F.count("*").alias("cnt"))
+
+
+def route_bounds(spark, d):
+    return routing.by_range(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", [0, 1000, 5000, 12000]).groupBy("partition_id").agg(F.count("*").alias("cnt"))
+
+
+def route_hash(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", routing.by_hash(F.col("o_orderkey"), 16).alias("partition_id"))
+
+
+def ring_route(spark, d):
+    return routing.by_ring(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", [1, 2, 3, 4, 5])
+
+
+def split_key(spark, d):
+    return routing.split_key(table(spark, d, "orders"), "o_orderkey")
+
+
+def col_stats(spark, d):
+    return stats.column_stats(table(spark, d, "orders"), "o_custkey")
+
+
+def equi_depth(spark, d):
+    return stats.equi_depth(table(spark, d, "orders"), "o_totalprice", "o_orderkey", 16)
+
+
+def percentiles(spark, d):
+    return stats.percentiles(table(spark, d, "events"), "event_type", "value", p50=0.5, p99=0.99)
+
+
+def _beats(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id")
+
+
+def phi_window(spark, d):
+    return suspicion.moments(_beats(spark, d), "user_id", "event_id").select("event_id", F.col("gap").alias("gap_us"), F.col("n").alias("cnt"))
+
+
+def phi_moments(spark, d):
+    return suspicion.gaps(_beats(spark, d), "user_id", "event_id").groupBy("user_id").agg(F.count("gap").alias("n"), F.avg("gap").alias("mu"))
+
+
+def phi_level(spark, d):
+    m = suspicion.moments(_beats(spark, d), "user_id", "event_id")
+    return m.select("event_id", F.round(suspicion.phi(F.col("gap"), F.col("mu"), F.col("sigma")), 6).alias("phi"), suspicion.suspected(F.col("gap"), F.col("n"), F.col("mu"), F.col("sigma"), 1000.0).alias("suspect"))
+
+
+def crc32c(spark, d):
+    return table(spark, d, "customer").select("c_custkey", checksum.crc32c(F.col("c_name")).alias("crc"))
+
+
+def json_log(spark, d):
+    """Structured log lines: a field out of JSON text."""
+    e = table(spark, d, "events")
+    return e.select("event_id", F.from_json("props", "k long").k.alias("k"))
+
+
+_ALL = [
+    scan_seq, index_point, index_range, filter_bool, filter_between, project_expr, hash_join_inner, hash_join_left, nested_loop_join, hash_agg,
+    global_agg_empty, having, topk_offset, sort_all, partial_final_agg, flagship, dml_insert, dml_update, dml_delete, constraint_pk, constraint_fk,
+    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_entries, lsm_manifest, overlap_join, bloom_semi,
+    wal_att, wal_dpt, wal_redo, two_pc, raft_commit, mvcc_visible, vacuum, first_committer, ssi_pivots, lock_conflict, lock_waits, deadlock_cycle,
+    route_range, route_bounds, route_hash, ring_route, split_key, col_stats, equi_depth, percentiles, phi_window, phi_moments, phi_level, crc32c, json_log,
+]
+
+QUERIES = {f.__name__: shipped(f) for f in _ALL}
+
+ORACLE = _SQL | {
+    "filter_between": "select p_partkey, p_size from part where p_size between 10 and 20",
+    "sort_all": "select c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey",
+    "constraint_pk": "select l_orderkey, l_linenumber, count(*) as cnt from lineitem group by 1, 2 having count(*) > 1",
+    "constraint_fk": "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0)",
+    "lsm_entries": "select cast(user_id as varchar) as k, event_id as seq, cast(length(cast(user_id as varchar)) + 9 as bigint) as key_bytes from events",
+    "wal_dpt": "select user_id % 16 as page_id, min(event_id) as rec_lsn from events where event_type in ('click','view') group by 1",
+    "raft_commit": """
+        with m as (select user_id % 10 as g, user_id % 50 as n, max(event_id) as i from events group by 1, 2),
+        r as (select g, i, row_number() over (partition by g order by i desc) as rn, count(*) over (partition by g) as c from m),
+        k as (select g, i from r where rn = c // 2 + 1)
+        select k.g as group_id, coalesce(max(e.event_id), 0) as commit_index from k left join events e
+            on e.user_id % 10 = k.g and e.event_id <= k.i and e.event_id % 2 = 1 group by 1""",
+    "ssi_pivots": "select distinct n_regionkey as pivot from nation where n_nationkey <> n_regionkey and n_regionkey in (select n_nationkey from nation where n_nationkey <> n_regionkey)",
+    "lock_waits": """
+        with l as (select o_custkey as r, o_orderkey as tx, o_orderpriority like '1%' as x from orders where o_custkey < 50)
+        select a.tx as waiter, b.tx as holder, a.r as resource from l a join l b on a.r = b.r and a.tx <> b.tx and (a.x or b.x)""",
+    "route_bounds": "select cast(case when o_orderkey < 0 then -1 when o_orderkey < 1000 then 0 when o_orderkey < 5000 then 1 when o_orderkey < 12000 then 2 else 3 end as bigint) as partition_id, count(*) as cnt from orders group by 1",
+    "json_log": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
+}
