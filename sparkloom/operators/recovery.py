@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def active_transactions(log: DataFrame) -> DataFrame:
-    """Analysis: transactions without COMMIT or ABORT, with their last record."""
-    ended = F.max(F.when(F.col("type").isin("COMMIT", "ABORT"), 1).otherwise(0))
-    return log.groupBy("tx_id").agg(F.max("lsn").alias("last_lsn"), ended.alias("ended")).where("ended = 0").drop("ended")
+    """Analysis: transactions whose last record is no COMMIT or ABORT, with that record."""
+    ended = F.max(F.when(F.col("type").isin("COMMIT", "ABORT"), F.col("lsn")))
+    by_tx = log.groupBy("tx_id").agg(F.max("lsn").alias("last_lsn"), ended.alias("ended"))
+    return by_tx.where(F.col("ended").isNull() | (F.col("ended") < F.col("last_lsn"))).drop("ended")
 
 
 def dirty_pages(log: DataFrame, flushed: DataFrame | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def append(records: DataFrame, path: str) -> None:
 def read(spark: SparkSession, path: str, tolerate_tail: bool = False) -> DataFrame:
     """The log's records; each file, a segment of bounded size, is read by one task. A record whose checksum does not fit raises; with tolerate_tail, one behind all good records is
     taken for a torn end and left out, while one among them still raises."""
-    files = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
     lines = files.where("value <> ''").select("file", "at", F.regexp_extract("value", r"^(\d+) ", 1).alias("crc"), F.regexp_extract("value", r"^\d+ (.*)$", 1).alias("body"))
     good = (F.col("crc") != "") & (F.crc32("body").cast("string") == F.col("crc"))
     if tolerate_tail:

@@ -1,0 +1,179 @@
+"""The versioned store: unit cases, laws that must hold, and a regression for each known way to get it wrong."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators import versioned as V
+from sparkloom.sources.manifest import FileMeta, Manifest, VersionEdit, leveled, size_tiered
+from sparkloom.sources.store import Store
+from sparkloom.streaming.upsert import upsert
+
+
+def kv(spark, pairs):
+    return spark.createDataFrame([(k.encode(), v.encode()) for k, v in pairs], "key binary, value binary")
+
+
+def entries(spark, rows):
+    return spark.createDataFrame([(k.encode(), v.encode(), s, t) for k, v, s, t in rows], V.SCHEMA)
+
+
+def texts(df):
+    return [(bytes(r.key).decode(), bytes(r.value).decode()) for r in df.collect()]
+
+
+def test_lookup_and_half_open_range(spark):
+    rows = entries(spark, [(f"item_{i:02}", f"v{i}", i, False) for i in range(50)])
+    got = V.scan(rows, b"item_10", b"item_20").orderBy("key")
+    assert [k for k, _ in texts(got.select("key", "value"))] == [f"item_{i}" for i in range(10, 20)]
+    assert V.get(rows, b"item_49").count() == 1 and V.get(rows, b"item_99").count() == 0
+
+
+def test_order_is_of_unsigned_bytes_newest_first(spark):
+    rows = spark.createDataFrame([(b"\x80", b"", 1, False), (b"\x7f", b"", 2, False), (b"aa", b"", 3, False), (b"a", b"", 4, False), (b"a", b"", 9, False)], V.SCHEMA)
+    assert [(bytes(r.key), r.seq) for r in V.ordered(rows).collect()] == [(b"a", 9), (b"a", 4), (b"aa", 3), (b"\x7f", 2), (b"\x80", 1)]
+
+
+def test_ties_are_defined(spark):
+    rows = entries(spark, [("k", "a", 5, False), ("k", "b", 5, False)])
+    assert texts(V.newest(rows).select("key", "value")) == [("k", "b")]
+    assert V.visible(rows.unionByName(entries(spark, [("k", "", 5, True)]))).count() == 0
+
+
+def test_put_get_delete_over_reopening(spark, tmp_path):
+    path = str(tmp_path / "store")
+    s = Store(spark, path)
+    s.put(kv(spark, [("user:101", "Alice"), ("user:102", "Bob")]))
+    s.flush()
+    s.delete(kv(spark, [("user:101", "")]).select("key"))
+    s.put(kv(spark, [("user:102", "Robert")]))
+    assert s.get(b"user:101") is None and s.get(b"user:102") == b"Robert"
+    s.flush()
+    s = Store(spark, path)
+    assert s.get(b"user:101") is None and s.get(b"user:102") == b"Robert"
+
+
+def test_scan_merges_files_and_buffer_and_flush_changes_nothing(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.put(kv(spark, [(f"item:{i}", f"V{i}_Disk") for i in (1, 2, 3)]))
+    s.flush()
+    s.put(kv(spark, [("item:2", "V2_MemoryNew"), ("item:4", "V4_MemoryNew")]))
+    s.delete(kv(spark, [("item:3", "")]).select("key"))
+    want = [("item:1", "V1_Disk"), ("item:2", "V2_MemoryNew"), ("item:4", "V4_MemoryNew")]
+    assert texts(s.scan()) == want
+    s.flush()
+    assert texts(s.scan()) == want
+    assert texts(s.scan(b"item:2", b"item:4")) == want[1:2]
+
+
+def test_compaction_keeps_all_and_old_runs_wait_for_vacuum(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    for b in range(4):
+        s.put(kv(spark, [(f"compaction_key_{b * 20 + i:04}", f"v{b}") for i in range(20)]))
+        s.flush()
+    assert [f.level for f in s.manifest.files] == [1]
+    assert s.scan().count() == 80
+    assert len(s.vacuum()) == 4 and s.scan().count() == 80
+
+
+def test_new_versions_win_after_reopening(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for i in range(3):
+        s = Store(spark, path)
+        s.put(kv(spark, [("k", f"v{i}")]))
+        s.flush()
+        assert s.get(b"k") == f"v{i}".encode() and texts(s.scan()) == [("k", f"v{i}")]
+
+
+def test_flush_keeps_one_version_and_empty_values_are_values(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    for v in ("old", "", "x" * 70_000, ""):
+        s.put(kv(spark, [("k", v)]))
+    s.flush()
+    assert s.versions().count() == 1 and s.get(b"k") == b""
+
+
+def test_deleting_all_leaves_no_file_behind(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.put(kv(spark, [("k", "v")]))
+    s.flush()
+    for _ in range(3):
+        s.delete(kv(spark, [("k", "")]).select("key"))
+        s.flush()
+    assert s.manifest.files == () and s.get(b"k") is None
+    assert Store(spark, s.path).manifest.files == ()
+
+
+def meta(level, number, low, high, size=1):
+    return FileMeta(level, number, f"f{number}", low.encode(), high.encode(), size)
+
+
+def test_tombstones_stay_while_any_deeper_level_overlaps():
+    base = [meta(0, n, "a", "m") for n in range(1, 5)]
+    shallow = Manifest().applied(VersionEdit(added=(*base, meta(1, 5, "x", "z"))))
+    assert leveled(shallow).drop_tombstones and leveled(shallow).target == 1
+    deep = shallow.applied(VersionEdit(added=(meta(3, 6, "b", "c"),)))
+    assert not leveled(deep).drop_tombstones
+
+
+def test_leveled_takes_overlaps_and_large_levels():
+    m = Manifest().applied(VersionEdit(added=(meta(1, 1, "a", "f", 11 << 20), meta(2, 2, "e", "g"), meta(2, 3, "h", "k"))))
+    task = leveled(m)
+    assert [f.file_number for f in task.inputs] == [1, 2] and task.target == 2
+    assert leveled(Manifest()) is None
+
+
+def test_size_tiered_takes_smallest_and_keeps_tombstones():
+    m = Manifest().applied(VersionEdit(added=tuple(meta(0, n, "a", "b", 100 - n) for n in range(1, 7))))
+    task = size_tiered(m)
+    assert sorted(f.file_number for f in task.inputs) == [3, 4, 5, 6] and not task.drop_tombstones
+    assert size_tiered(Manifest()) is None
+
+
+def test_reads_after_size_tiered_take_the_newest(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"), size_tiered)
+    for i in range(9):
+        s.put(kv(spark, [("k", f"v{i}"), (f"k{i}", "x")]))
+        s.flush()
+        assert s.get(b"k") == f"v{i}".encode()
+    assert s.scan().count() == 10
+
+
+def test_manifest_round_trip_and_corruption(spark, tmp_path):
+    m = Manifest().applied(VersionEdit(added=(meta(0, 1, "a", "b"), meta(0, 2, "c", "d"), meta(1, 3, "z", "z"), meta(1, 4, "p", "q"))))
+    assert [f.file_number for f in m.files] == [2, 1, 4, 3] and m.next_file == 5
+    path = str(tmp_path / "MANIFEST")
+    m.save(spark, path)
+    m.save(spark, path)
+    assert Manifest.load(spark, path) == m
+    with pytest.raises(ValueError):
+        Manifest.from_json(m.to_json().replace("f1", "f9"))
+    assert m.frame(spark).count() == 4
+    assert [f.file_number for f in m.overlapping(b"d", b"q")] == [2, 4]
+
+
+def test_entry_size_and_next_seq(spark):
+    rows = entries(spark, [("abc", "de", 7, False)])
+    assert rows.select(V.entry_size().alias("n")).first().n == 14
+    assert V.next_seq(rows) == 8 and V.next_seq(V.empty(spark)) == 1
+
+
+def test_get_equals_scan_of_one_key(spark):
+    rows = entries(spark, [(f"k{i % 7}", f"v{i}", i, i % 5 == 0) for i in range(60)])
+    for i in range(8):
+        k = f"k{i}".encode()
+        assert V.get(rows, k).collect() == V.scan(rows).where(F.col("key") == F.lit(k)).collect()
+
+
+def test_streaming_upsert(spark, tmp_path):
+    source = str(tmp_path / "in")
+    entries(spark, [("a", "1", 0, False), ("b", "2", 0, False)]).drop("seq").write.parquet(source)
+    s = Store(spark, str(tmp_path / "store"))
+
+    def run():
+        stream = spark.readStream.schema("key binary, value binary, is_tombstone boolean").parquet(source)
+        upsert(stream, s, str(tmp_path / "check")).awaitTermination()
+
+    run()
+    entries(spark, [("a", "", 0, True), ("c", "3", 0, False)]).drop("seq").write.mode("append").parquet(source)
+    run()
+    assert texts(s.scan()) == [("b", "2"), ("c", "3")]
