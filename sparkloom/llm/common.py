@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -59,8 +60,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        delete(self.spark, f"{self.base}/{name}")
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more, as stored tables have replaced
+        them; it does so once the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager

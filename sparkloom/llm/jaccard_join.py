@@ -211,41 +211,41 @@ def _sets(text, n: int, percent: int):
     return run(text)
 
 
-def _entries(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """sets: key, n, low. A row for each token of each prefix: token, key, n, pos, cls, common."""
+def _entries(sets: DataFrame, common: np.ndarray, percent: int, of_common: bool) -> DataFrame:
+    """sets: key, n, low. A row for each token of each prefix that is common, or that is not: token, key, n, pos, cls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            tokens, pos, marks, sizes = [], [], [], batch["n"].to_numpy(np.int64)
+            tokens, pos, sizes = [], [], batch["n"].to_numpy(np.int64)
             for n, low in zip(sizes.tolist(), batch["low"], strict=True):
                 u = np.asarray(low, np.int64).view(np.uint64)
                 at = np.minimum(np.searchsorted(common, u), max(0, len(common) - 1))
                 is_common = common[at] == u if len(common) else np.zeros(len(u), bool)
                 counted = u < _CUT
                 order = np.concatenate([np.flatnonzero(counted & ~is_common), np.flatnonzero(counted & is_common), np.flatnonzero(~counted)])[: prefix(n, percent)]
-                tokens.append(u[order])
-                marks.append(is_common[order])
-                pos.append(np.arange(len(order)))
+                taken = np.flatnonzero(is_common[order] == of_common)
+                tokens.append(u[order[taken]])
+                pos.append(taken)
             count = [len(t) for t in tokens]
             n = np.repeat(sizes, count)
             yield pd.DataFrame(
                 {
                     "token": np.concatenate(tokens).view(np.int64), "key": np.repeat(batch["key"].to_numpy(np.int64), count), "n": n,
-                    "pos": np.concatenate(pos), "cls": _classes(n, percent), "common": np.concatenate(marks),
+                    "pos": np.concatenate(pos), "cls": _classes(n, percent),
                 }
             )
 
-    return sets.mapInPandas(run, "token long, key long, n long, pos long, cls long, common boolean")
+    return sets.mapInPandas(run, "token long, key long, n long, pos long, cls long")
 
 
 def _rare_edges(entries: DataFrame, percent: int) -> DataFrame:
-    """(leader, member) of each token that is not common. Two sets that share a token only are tied if sizes and
-    positions let them reach the threshold with this as their first common token."""
+    """(leader, member): pairs of sets that share a token which is not common, so in groups of bounded size, if their
+    sizes and the token's positions let them reach the threshold with this as their first common token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held = ["token", "key", "n", "pos", "cls"], None
+        names, held = ["token", "key", "n", "pos"], None
         for batch in _with_end(batches):
             rows = held if batch is None else batch[names].to_numpy(np.int64)
             if batch is not None and held is not None:
@@ -258,23 +258,19 @@ def _rare_edges(entries: DataFrame, percent: int) -> DataFrame:
                 continue
             first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
             size = np.diff(np.append(first, len(rows)))
-            two = first[size == 2]
-            a, b = rows[two], rows[two + 1]
-            need = least(a[:, 2], b[:, 2], percent)
-            fits = (np.minimum(a[:, 2] - a[:, 3], b[:, 2] - b[:, 3]) >= need) & (a[:, 1] != b[:, 1])
-            out = [np.stack([a[fits, 1], b[fits, 1]], axis=1)]
-            for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                group = rows[at : at + n]  # by size, so classes rise
-                cls = group[:, 4]
-                for c in np.unique(cls):
-                    lo, hi = np.searchsorted(cls, c), np.searchsorted(cls, c + 1, side="right")
-                    if hi - lo > 1:
-                        out.append(np.stack([np.full(hi - lo - 1, group[lo, 1]), group[lo + 1 : hi, 1]], axis=1))
+            out = [np.zeros((0, 2), np.int64)]
+            for n in np.unique(size[size > 1]).tolist():  # all groups of one size together
+                group = rows[first[size == n][:, None] + np.arange(n)]
+                i, j = np.triu_indices(n, 1)
+                x, y = group[:, i], group[:, j]
+                room = np.minimum(x[..., 2] - x[..., 3], y[..., 2] - y[..., 3])
+                fits = (room >= least(x[..., 2], y[..., 2], percent)) & (x[..., 1] != y[..., 1])
+                x, y = x[fits][:, 1], y[fits][:, 1]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             edges = np.unique(np.concatenate(out), axis=0)
-            edges = edges[edges[:, 0] != edges[:, 1]]
             yield pd.DataFrame({"leader": edges[:, 0], "member": edges[:, 1]})
 
-    rows = entries.where("not common").drop("common").repartition("token").sortWithinPartitions("token", "n", "key")
+    rows = entries.drop("cls").repartition("token").sortWithinPartitions("token")
     return rows.mapInPandas(run, "leader long, member long")
 
 
@@ -285,7 +281,7 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 def _common_edges(entries: DataFrame, tables: Scratch) -> DataFrame:
     """(leader, member) of each common token: of each size class its least key leads, and also the next class."""
-    rows = entries.where("common").select("token", "key", "cls")
+    rows = entries.select("token", "key", "cls")
     leaders = tables.stored(rows.groupBy("token", "cls").agg(F.min("key").alias("leader")), "leaders")
     both = rows.select("token", F.col("key").alias("member"), F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("cls"))
     return both.join(small(leaders, leaders.count()), ["token", "cls"]).select("leader", "member").where("leader <> member")
@@ -296,21 +292,24 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     spark = docs.sparkSession
     counts = sets.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON)
     counts, bound = tables.stored(counts, "counts"), COMMON
+    sets = sets.select("key", "n", "low")
     while counts.where(F.col("count") >= bound).count() > MAX_COMMON:
         bound *= 2
     common = counts.where(F.col("count") >= bound).select("token").toPandas()["token"].to_numpy(np.int64)
     common = np.sort(common.view(np.uint64))
 
-    entries = _entries(sets.select("key", "n", "low"), common, percent)
+    tables.settle()
+    edges = _rare_edges(_entries(sets, common, percent, False), percent)
     if len(common):
-        entries = tables.stored(entries, "entries")
-    edges = _rare_edges(entries, percent)
-    if len(common):
-        edges = edges.unionByName(_common_edges(entries, tables))
-    edges = tables.stored(edges.distinct(), "edges")
-    if len(common):
-        tables.drop("entries")
-
+        edges = edges.unionByName(_common_edges(tables.stored(_entries(sets, common, percent, True), "entries"), tables))
+    edges = tables.stored(edges.distinct(), "all_edges")
+    tables.settle()
+    # of two sets that another's block holds both, the one need not lead the other
+    above = tables.stored(edges.groupBy(F.col("member").alias("_m")).agg(F.min("leader").alias("_a")), "above")
+    n_above = above.count()
+    of_leader = small(above.select(F.col("_m").alias("_l"), F.col("_a").alias("_b")), n_above)
+    both = edges.join(small(above, n_above), F.col("member") == F.col("_m")).join(of_leader, F.col("leader") == F.col("_l"), "left")
+    edges = tables.stored(both.where("_b is null or _a <> _b").select("leader", "member"), "edges")
     wanted = tables.stored(edges.select(F.explode(F.array("leader", "member")).alias("key")).distinct(), "wanted")
 
     @F.pandas_udf("array<long>")
@@ -318,7 +317,6 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
         return pd.Series([shingles(t, n).view(np.int64) for t in texts], dtype=object)
 
     found = docs.join(small(wanted, wanted.count()), "key", "left_semi").select("key", tokens("text").alias("tokens"))
-    found = tables.stored(found.where(F.size("tokens") > 0), "tokens")
 
     members = edges.unionByName(edges.select("leader", F.col("leader").alias("member")).distinct())
     parts = members.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("parts"))
@@ -409,3 +407,4 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
     out = classed.join(small(found, found.count()), "rep", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("root", "rep"))
     return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
