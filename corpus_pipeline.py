@@ -4,20 +4,51 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe
-from sparkloom.llm.common import Scratch
+from sparkloom.llm import bpe, jaccard_join, mixing, quality_classifier, quality_rules
+from sparkloom.llm.common import Scratch, remainder
 from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
 
 @shipped
-def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. It learns from the labelled ones among its input."""
+    return quality_classifier.keep(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+
+
+@shipped
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules or their hosts' verdicts reject go."""
+    return quality_rules.keep(docs)
+
+
+@shipped
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies (five-word shingles, 0.8) stays."""
+    return jaccard_join.deduplicated(docs, n=5, percent=80)
+
+
+@shipped
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.sampled(docs)
+
+
+@shipped
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document that is left."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("BPE encoding and decoding", encode_bpe)]
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", apply_rules),
+    ("n-gram Jaccard join", deduplicate),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", encode),
+]
 
 #: Training and sampling have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

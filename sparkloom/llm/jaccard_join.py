@@ -408,3 +408,18 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
     component = F.when(F.col("key").isNotNull(), F.coalesce("root", "rep"))
     return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
+
+def deduplicated(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, that with the least key, with its own columns; rows without a key all stay.
+    Of rows that repeat a key one stays."""
+    tables = Scratch(docs.sparkSession)
+    rows = join(docs, n, percent, key, text).select(F.col(key).alias("_k"), F.col("component_id").alias("_c")).where("_k is not null")
+    rows = tables.stored(rows, "components")
+    gone = tables.stored(rows.where("_k <> _c").select("_k").distinct(), "gone")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[key].alias("key"))
+    kept = packed.join(small(gone, gone.count()), F.col("key") == F.col("_k"), "left_anti")
+    repeated = tables.stored(rows.groupBy("_k").count().where("count > 1").select("_k"), "repeated")
+    if repeated.take(1):
+        marked = kept.join(small(repeated, repeated.count()), F.col("key") == F.col("_k"), "left")
+        kept = marked.where("_k is null").unionByName(marked.where("_k is not null").dropDuplicates(["key"]))
+    return kept.select("row.*")

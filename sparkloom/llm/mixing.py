@@ -162,19 +162,20 @@ def mix(
     )
 
 
-def sampled(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mixed documents with their own columns; one that is taken twice comes twice. Documents without words go.
-    A row whose key is null or not the only one of its kind is matched by key, size and rank among those."""
-    plan = Scratch(docs.sparkSession).stored(mix(docs, key=key, **options).where("copies > 0").select(F.col(key).alias("_k"), "copies"), "plan")
-    own = docs.columns
+    Rows with the same key, or none, are matched by key, size and rank among those."""
+    plan = Scratch(docs.sparkSession).stored(mix(docs, key=key, text=text, **options).select(F.col(key).alias("_k"), "size", "copies"), "plan")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(key).alias("key"))
     with scratch(docs.sparkSession) as s:
-        many = s.stored(docs.groupBy(F.col(key).alias("_k")).count().where("count > 1 or _k is null"), "many")
+        many = s.stored(packed.groupBy("key").count().where("count > 1 or key is null"), "many")
         repeated = bool(many.take(1))
     if not repeated:
-        rows = docs.join(plan, docs[key] == F.col("_k"))
+        rows = packed.join(plan.where("copies > 0"), F.col("key") == F.col("_k"))
     else:
-        order = Window.partitionBy("_k").orderBy(F.desc("copies"))
-        numbered = plan.withColumn("_n", F.row_number().over(order))
-        mine = Window.partitionBy(F.col(key)).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in own]))
-        rows = docs.withColumn("_m", F.row_number().over(mine)).join(numbered, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_m") == F.col("_n")))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[f"`{c}`" for c in own])
+        numbered = plan.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_k", "size").orderBy(F.desc("copies"))))
+        sized = packed.withColumn("_size", n_words(F.col(f"row.{text}")))
+        mine = sized.withColumn("_m", F.row_number().over(Window.partitionBy("key", "_size").orderBy(F.xxhash64("row"))))
+        same = F.col("key").eqNullSafe(F.col("_k")) & (F.col("_size") == F.col("size")) & (F.col("_m") == F.col("_n"))
+        rows = mine.join(numbered, same)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

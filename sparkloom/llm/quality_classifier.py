@@ -224,3 +224,9 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     out = stats.select(key, (~F.col("learn")).alias("held_out"), scored(F.col("x"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
+
+def keep(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The documents that score the threshold or more, with their own columns. Scores are worked out from the text again
+    rather than joined, so that texts are not shuffled."""
+    model = train(docs, labels, learn, key, text, label)  # on rows with labels only
+    return docs.where(scored_text(F.col(text), model) >= threshold)
