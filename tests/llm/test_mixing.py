@@ -1,0 +1,109 @@
+import random
+from collections import defaultdict
+
+import pytest
+
+from sparkloom.llm import mixing
+
+from .helpers import documents, words
+
+
+def text(n):
+    return " ".join(["w"] * n)
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """By source, in order: the excess above the caps is shared again until there is none."""
+    goal, capped = min(share, most) * sum(sizes), set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        weight = sum(weights[i % len(weights)] for i in free)
+        left = goal - sum(most * sizes[i] for i in capped)
+        each = left / weight if weight else 0
+        over = {i for i in free if each * weights[i % len(weights)] > most * sizes[i] + 1e-12}
+        if not over:
+            return [most * s if i in capped else each * weights[i % len(weights)] for i, s in enumerate(sizes)]
+        capped |= over
+
+
+def made(spark, seed=1, n=3000):
+    rng = random.Random(seed)
+    sources = ["\U0001f600", "\uffee", "a", "B", None, "z", "b"]
+    rows = [(i, text(min(400, int(rng.paretovariate(0.8)))), "en", sources[min(6, int(rng.expovariate(0.7)))]) for i in range(n)]
+    return rows, documents(spark, rows, clashing=True)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rows, docs = made(spark)
+    return rows, docs, mixing.mix(docs).collect()
+
+
+def test_targets_and_takes(mixed):
+    rows, _, got = mixed
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(words(t))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    want = dict(zip(order, targets([sizes[s] for s in order]), strict=True))
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        assert r.size == len(words(rows[r.doc_id][1])) and r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+    for s in order:
+        assert abs(taken[s] - want[s]) <= 400, s
+
+
+def test_reruns_agree_however_rows_are_dealt(spark, mixed):
+    _, docs, got = mixed
+    again = mixing.mix(docs.repartition(7, "text")).collect()
+    key = lambda r: r.doc_id
+    assert sorted(got, key=key) == sorted(again, key=key)
+    other = mixing.mix(docs, seed=2).collect()
+    assert sorted(got, key=key) != sorted(other, key=key)
+
+
+def test_buckets_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    _, docs = made(spark, 4, 2000)
+    got = mixing.mix(docs).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == 2000 and all(abs(taken[s] - target[s]) <= 400 for s in target)
+
+
+def test_transfer_keeps_words_and_means():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y, a, b = rng.random(), rng.random(), rng.randint(1, 500), rng.randint(1, 500)
+        n, sx = 400, 0.0
+        for i in range(n):
+            p, q = mixing.transfer(x, a, y, b, (i + 0.5) / n)
+            assert (p in (0.0, 1.0) or q in (0.0, 1.0)) and 0 <= p <= 1 and 0 <= q <= 1
+            assert a * p + b * q == pytest.approx(a * x + b * y, abs=1e-6)
+            sx += p / n
+        assert sx == pytest.approx(x, abs=0.02)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, text(5), "en", None), (3, text(5), "en", None), (None, text(4), "en", "b"), (4, text(50_000), "en", "c"), (5, " \n", "en", "empty")]
+    got = mixing.mix(documents(spark, rows)).collect()
+    assert len(got) == 7 and all(r.taken == 0 for r in got if r.size == 0)
+    assert {r.target for r in got if r.source == "empty"} == {0.0}
+    out = mixing.sampled(documents(spark, rows, clashing=True))
+    assert out.columns == documents(spark, rows, clashing=True).columns
+    total = sum(r.copies for r in got)
+    assert out.count() == total
+    assert mixing.mix(documents(spark, [])).count() == 0 and mixing.sampled(documents(spark, [])).count() == 0
+
+
+def test_sampled_repeats_documents(spark, mixed):
+    _, docs, got = mixed
+    n = defaultdict(int)
+    for r in mixing.sampled(docs).select("doc_id").collect():
+        n[r.doc_id] += 1
+    assert n == {r.doc_id: r.copies for r in got if r.copies}
