@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lowered, mixed, scratch, small, word_hashes
 
-#: Tokens in this lower share of the hash space are counted; it exceeds a prefix's share of a set.
-COUNTED = 0.2
+#: Tokens in the lower part of the hash space are counted: this many times a prefix's share of a set, so that the common
+#: ones among them can be left out of most prefixes.
+COUNTED = 1.35
 
 #: A token of this many sets is common; with more than MAX_COMMON such tokens the bound is doubled.
 COMMON, MAX_COMMON = 32, 1 << 18
@@ -34,7 +35,6 @@ PART = 256
 #: Tokens of a trie's edge between two looks at the bound.
 EDGE = 64
 
-_CUT = np.uint64(int(COUNTED * 2**64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +55,11 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def cut(percent: int) -> np.uint64:
+    """Tokens below are counted."""
+    return np.uint64(min(2**64 - 1, int(COUNTED * (100 - percent) / 100 * 2**64)))
+
+
 def least(n, m, percent: int):
     """The intersection that sets of n and m need: 100 * i >= percent * (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -204,7 +209,7 @@ def _sets(text, n: int, percent: int):
         for t in texts:
             s = shingles(t, n)
             d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            low = s[: max(int(np.searchsorted(s, _CUT)), prefix(len(s), percent) if len(s) else 0)]
+            low = s[: max(int(np.searchsorted(s, cut(percent))), prefix(len(s), percent) if len(s) else 0)]
             rows.append((len(s), int(d[0]), int(d[1]), low.view(np.int64)))
         return pd.DataFrame(rows, columns=["n", "a", "b", "low"])
 
@@ -212,40 +217,48 @@ def _sets(text, n: int, percent: int):
 
 
 def _entries(sets: DataFrame, common: np.ndarray, percent: int, of_common: bool) -> DataFrame:
-    """sets: key, n, low. A row for each token of each prefix that is common, or that is not: token, key, n, pos, cls."""
+    """sets: key, n, low. A row for each token of each prefix that is common, or that is not: token, key, n, pos, cls, and
+    how many of the set's prefix are common."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            tokens, pos, sizes = [], [], batch["n"].to_numpy(np.int64)
+            tokens, pos, held, sizes = [], [], [], batch["n"].to_numpy(np.int64)
             for n, low in zip(sizes.tolist(), batch["low"], strict=True):
                 u = np.asarray(low, np.int64).view(np.uint64)
                 at = np.minimum(np.searchsorted(common, u), max(0, len(common) - 1))
                 is_common = common[at] == u if len(common) else np.zeros(len(u), bool)
-                counted = u < _CUT
+                counted = u < cut(percent)
                 order = np.concatenate([np.flatnonzero(counted & ~is_common), np.flatnonzero(counted & is_common), np.flatnonzero(~counted)])[: prefix(n, percent)]
                 taken = np.flatnonzero(is_common[order] == of_common)
                 tokens.append(u[order[taken]])
                 pos.append(taken)
+                held.append(int(is_common[order].sum()))
             count = [len(t) for t in tokens]
             n = np.repeat(sizes, count)
             yield pd.DataFrame(
                 {
                     "token": np.concatenate(tokens).view(np.int64), "key": np.repeat(batch["key"].to_numpy(np.int64), count), "n": n,
-                    "pos": np.concatenate(pos), "cls": _classes(n, percent),
+                    "pos": np.concatenate(pos), "cls": _classes(n, percent), "held": np.repeat(held, count),
                 }
             )
 
-    return sets.mapInPandas(run, "token long, key long, n long, pos long, cls long")
+    return sets.mapInPandas(run, "token long, key long, n long, pos long, cls long, held long")
 
 
-def _rare_edges(entries: DataFrame, percent: int) -> DataFrame:
-    """(leader, member): pairs of sets that share a token which is not common, so in groups of bounded size, if their
-    sizes and the token's positions let them reach the threshold with this as their first common token."""
+def _rare_edges(entries: DataFrame, percent: int, raised: bool) -> DataFrame:
+    """(leader, member) for tokens that are not common. Of a token with COMMON sets at most, all pairs; of one with more
+    (only where the bound was raised), each size class's first set leads it and the next class.
+
+    A pair stays if some token's positions let it reach the threshold with that as the first common one, and if it has
+    enough tokens in common: of two sets that reach it, one's prefix ends first in the order, so lies in the other's
+    prefix but for the tokens that the other set lacks. Of those in common, the common tokens are not counted here, so
+    as many as both prefixes hold are taken for granted.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held = ["token", "key", "n", "pos"], None
+        names, held = ["token", "key", "n", "pos", "cls", "held"], None
         for batch in _with_end(batches):
             rows = held if batch is None else batch[names].to_numpy(np.int64)
             if batch is not None and held is not None:
@@ -258,20 +271,33 @@ def _rare_edges(entries: DataFrame, percent: int) -> DataFrame:
                 continue
             first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
             size = np.diff(np.append(first, len(rows)))
-            out = [np.zeros((0, 2), np.int64)]
-            for n in np.unique(size[size > 1]).tolist():  # all groups of one size together
+            out = [np.zeros((0, 4), np.int64)]
+            for n in np.unique(size[(size > 1) & (size <= COMMON)]).tolist():  # all groups of one size together
                 group = rows[first[size == n][:, None] + np.arange(n)]
                 i, j = np.triu_indices(n, 1)
-                x, y = group[:, i], group[:, j]
-                room = np.minimum(x[..., 2] - x[..., 3], y[..., 2] - y[..., 3])
-                fits = (room >= least(x[..., 2], y[..., 2], percent)) & (x[..., 1] != y[..., 1])
-                x, y = x[fits][:, 1], y[fits][:, 1]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            edges = np.unique(np.concatenate(out), axis=0)
-            yield pd.DataFrame({"leader": edges[:, 0], "member": edges[:, 1]})
-
-    rows = entries.drop("cls").repartition("token").sortWithinPartitions("token")
-    return rows.mapInPandas(run, "leader long, member long")
+                x, y = group[:, i].reshape(-1, 6), group[:, j].reshape(-1, 6)
+                o, larger = least(x[:, 2], y[:, 2], percent), np.maximum(x[:, 2], y[:, 2])
+                spare = o + percent * -larger // 100 + 1  # o - ceil(percent * larger / 100) + 1
+                want = np.ones(len(x), np.int64) if raised else np.maximum(1, spare - np.minimum(x[:, 5], y[:, 5]))
+                fits = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= o
+                can = (spare >= 1) & (x[:, 1] != y[:, 1])
+                out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), want, fits], axis=1)[can])
+            for at, n in zip(first[size > COMMON].tolist(), size[size > COMMON].tolist(), strict=True):
+                group = rows[at : at + n]
+                group = group[np.lexsort((group[:, 1], group[:, 4]))]
+                for c in np.unique(group[:, 4]):
+                    lo, hi = np.searchsorted(group[:, 4], c), np.searchsorted(group[:, 4], c + 1, side="right")
+                    members = group[lo + 1 : hi, 1]
+                    members = members[members != group[lo, 1]]
+                    one = np.ones(len(members), np.int64)
+                    out.append(np.stack([group[lo, 1] * one, members, one, one], axis=1))
+            edges, count = np.unique(np.concatenate(out), axis=0, return_counts=True)
+            yield pd.DataFrame({"leader": edges[:, 0], "member": edges[:, 1], "want": edges[:, 2], "fits": edges[:, 3], "shared": count})
+
+    rows = entries.repartition("token").sortWithinPartitions("token")
+    pairs = rows.mapInPandas(run, "leader long, member long, want long, fits long, shared long")
+    summed = pairs.groupBy("leader", "member").agg(F.min("want").alias("want"), F.max("fits").alias("fits"), F.sum("shared").alias("shared"))
+    return summed.where("fits = 1 and shared >= want").select("leader", "member")
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -299,7 +325,7 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     common = np.sort(common.view(np.uint64))
 
     tables.settle()
-    edges = _rare_edges(_entries(sets, common, percent, False), percent)
+    edges = _rare_edges(_entries(sets, common, percent, False), percent, bound > COMMON)
     if len(common):
         edges = edges.unionByName(_common_edges(tables.stored(_entries(sets, common, percent, True), "entries"), tables))
     edges = tables.stored(edges.distinct(), "all_edges")
@@ -319,8 +345,10 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     found = docs.join(small(wanted, wanted.count()), "key", "left_semi").select("key", tokens("text").alias("tokens"))
 
     members = edges.unionByName(edges.select("leader", F.col("leader").alias("member")).distinct())
-    parts = members.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
+    parts = members.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
+    parts = tables.stored(parts.withColumnRenamed("leader", "_l"), "parts")
+    dealt = members.join(small(parts, parts.count()), F.col("leader") == F.col("_l"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("leader", "member", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     dealt = tables.stored(dealt, "dealt")

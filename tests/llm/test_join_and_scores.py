@@ -52,9 +52,10 @@ def near_copies(seed, n=260):
     return rows
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_join_equals_all_pairs(spark, monkeypatch, n, percent):
+@pytest.mark.parametrize(("n", "percent", "most"), [(4, 85, 1 << 18), (5, 80, 1 << 18), (2, 60, 1 << 18), (4, 85, 20), (5, 80, 0)])
+def test_join_equals_all_pairs(spark, monkeypatch, n, percent, most):
     monkeypatch.setattr(jj, "COMMON", 8)
+    monkeypatch.setattr(jj, "MAX_COMMON", most)
     monkeypatch.setattr(jj, "PART", 16)
     rows = near_copies(n)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.join(documents(spark, [(k, t, "en", "s") for k, t in rows]), n, percent).collect()}
