@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import ship
+
 #: Fixed by the contracts: words are runs of anything but these ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,13 +22,13 @@ BROADCAST_ROWS = 500_000
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
 def n_words(text: Column) -> Column:
-    """How many words a text has, without keeping them."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE))).cast("long")
+    """How many words a text has."""
+    return F.size(words(text)).cast("long")
 
 
 def remainder(key: Column, parts: int) -> Column:
@@ -53,6 +55,7 @@ class Scratch:
     """Written tables in the shared folder. Reading them back cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:

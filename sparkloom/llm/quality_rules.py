@@ -25,62 +25,79 @@ SOFT_RATE, HOST_RATE = 0.005, 0.9
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(found: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more: windows by hash and position, sorted; those with an equal
-    neighbour; then the length of the union of [p, p + 3) over their positions."""
-
-    def spans(w: Column) -> Column:
-        n = F.size(w)
-        hashes = F.zip_with(F.zip_with(w, F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b)), F.slice(w, 3, n), lambda a, b: F.xxhash64(a, b))
-        keyed = F.array_sort(F.transform(F.slice(hashes, 1, n - 2), lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-        shifted = F.concat(F.slice(keyed, 2, n), F.array(F.lit(None)))
-        same = F.zip_with(keyed, shifted, lambda a, b: F.when(a.h == b.h, F.array(a.p, b.p)))
-        return F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda s: s.isNotNull()))))
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _repeat_words(w: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more. Windows are compared by hash; only if some are equal they
+    are sorted with their positions, those with an equal neighbour are taken, and the length of the union of [p, p + 3)
+    over their positions is added up."""
+
+    def hashes(n: Column) -> Column:
+        two = F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(two, F.slice(w, 3, n - 2), lambda a, b: F.xxhash64(a, b))
+
+    def positions(h: Column) -> Column:
+        keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return _once(keyed, lambda k: F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k) - 1), lambda a, b: F.when(a.h == b.h, F.array(a.p, b.p))))
 
     def length(p: Column) -> Column:
-        gaps = F.zip_with(F.slice(p, 2, F.size(p)), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(3)))
-        return F.when(F.size(p) > 0, F.aggregate(gaps, F.lit(3), lambda x, y: x + y)).otherwise(0)
+        gaps = F.zip_with(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(3)))
+        return F.aggregate(gaps, F.lit(3), lambda x, y: x + y)
 
-    many = F.transform(F.array(found), lambda w: F.when(F.size(w) >= 4, F.transform(F.array(spans(w)), length)[0]).otherwise(0))
-    return many[0].cast("long")
+    def covered(h: Column) -> Column:
+        pairs = F.flatten(F.filter(positions(h), lambda s: s.isNotNull()))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_once(F.sort_array(F.array_distinct(pairs)), length))
 
+    return F.when(F.size(w) < 4, 0).otherwise(_once(_once(F.size(w), hashes), covered)).cast("long")
 
-def metrics(text: Column) -> dict[str, Column]:
-    """The five measures of a text; all 0 of a null or empty one."""
+
+def metrics(text: Column) -> Column:
+    """The five measures of a text as a struct; all 0 of a null or empty one."""
     t = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def of(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words"))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w).alias("n_repeat_words"),
+        )
 
-    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    dup_lines = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
+    return _once(words(text), of)
+
+
+def failures(m: Column) -> dict[str, Column]:
+    """The rules that measures break."""
     return {
-        "_w": F.transform(F.array(words(text)), of)[0],
-        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": dup_lines.cast("long"),
+        "base_failed": (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words),
+        "fail_symbols": 100 * m.n_symbols > MAX_SYMBOL_PERCENT * m.n_words,
+        "fail_lines": 100 * m.n_dup_lines > MAX_DUP_LINE_PERCENT * m.n_words,
     }
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures, base_failed and the soft rules' failures, fail_symbols and fail_lines."""
-    out = docs.withColumns(metrics(F.col(text)))
-    out = out.withColumns({k: F.col(f"_w.{k}") for k in ("n_words", "word_chars", "n_repeat_words")}).drop("_w")
-    return out.withColumns(
-        {
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-            "fail_symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
-            "fail_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_words"),
-        }
-    )
+    """Adds a struct `m` of the measures and the rules' failures."""
+
+    def all_of(m: Column) -> Column:
+        return F.struct(*[m[k].alias(k) for k in METRICS], *[c.alias(k) for k, c in failures(m).items()])
+
+    return docs.withColumn("m", _once(metrics(F.col(text)), all_of))
 
 
 RULES = ["base_failed", "fail_symbols", "fail_lines", "any_failed"]
 
 
 def counted(rows: DataFrame, host: str) -> DataFrame:
-    """Documents and failures by rule of each non-null host."""
-    failed = rows.withColumn("any_failed", F.col("base_failed") | F.col("fail_symbols") | F.col("fail_lines"))
-    return failed.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES])
+    """rows: host and m. Documents and failures by rule of each non-null host."""
+    any_failed = F.col("m.base_failed") | F.col("m.fail_symbols") | F.col("m.fail_lines")
+    failed = [*[F.col(f"m.{r}") for r in RULES[:-1]], any_failed]
+    flags = [F.sum(f.cast("long")).alias(r) for r, f in zip(RULES, failed, strict=True)]
+    return rows.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), *flags)
 
 
 def shrunk(by_host: DataFrame) -> DataFrame:
@@ -104,18 +121,22 @@ def shrunk(by_host: DataFrame) -> DataFrame:
     return by_host.withColumns({f"rate_{r}": rate(r) for r in RULES})
 
 
-def judged(rows: DataFrame, by_host: DataFrame, host: str) -> DataFrame:
-    """Adds kept. A row without a host has only its own rules: any failure rejects it."""
+def _with_verdicts(rows: DataFrame, by_host: DataFrame, host: str) -> DataFrame:
+    """Adds the host's verdicts: reject, and whether each soft rule counts. A row without a host has only its own rules:
+    any failure rejects it."""
     verdicts = by_host.select(
         F.col(host).alias("_host"),
-        (F.col("rate_any_failed") >= HOST_RATE).alias("_reject"),
-        (F.col("rate_fail_symbols") >= SOFT_RATE).alias("_symbols"),
-        (F.col("rate_fail_lines") >= SOFT_RATE).alias("_lines"),
+        (F.col("rate_any_failed") >= HOST_RATE).alias("reject"),
+        (F.col("rate_fail_symbols") >= SOFT_RATE).alias("symbols"),
+        (F.col("rate_fail_lines") >= SOFT_RATE).alias("lines"),
     )
-    out = rows.join(verdicts, F.col(host) == F.col("_host"), "left")
-    soft = (F.col("fail_symbols") & F.coalesce("_symbols", F.lit(True))) | (F.col("fail_lines") & F.coalesce("_lines", F.lit(True)))
-    kept = ~F.col("base_failed") & ~soft & ~F.coalesce("_reject", F.lit(False))
-    return out.withColumn("kept", kept).drop("_host", "_reject", "_symbols", "_lines")
+    out = rows.join(verdicts, F.col(host) == F.col("_host"), "left").drop("_host")
+    return out.withColumns({"reject": F.coalesce("reject", F.lit(False)), "symbols": F.coalesce("symbols", F.lit(True)), "lines": F.coalesce("lines", F.lit(True))})
+
+
+def _kept(m: Column) -> Column:
+    soft = (m.fail_symbols & F.col("symbols")) | (m.fail_lines & F.col("lines"))
+    return ~m.base_failed & ~soft & ~F.col("reject")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -131,13 +152,18 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str =
     keyed = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
     rows = tables.stored(measured(keyed).drop("text"), "measured")
     by_host = tables.stored(counted(rows, "host"), "hosts")
-    out = judged(rows, small(shrunk(by_host), by_host.count()), "host")
-    return out.select(F.col("key").alias(key), F.col("host").alias(host), *METRICS, "base_failed", "fail_symbols", "fail_lines", "kept")
+    out = _with_verdicts(rows, small(shrunk(by_host), by_host.count()), "host")
+    return out.select(F.col("key").alias(key), F.col("host").alias(host), "m.*", _kept(F.col("m")).alias("kept"))
 
 
 def keep(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that are kept, with their own columns. Texts are measured twice rather than stored."""
-    own = docs.columns
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
     by_host = Scratch(docs.sparkSession).stored(counted(measured(packed.select("host", "text")), "host"), "hosts")
-    return judged(measured(packed), small(shrunk(by_host), by_host.count()), "host").where("kept").select("row.*")
+    rows = _with_verdicts(packed, small(shrunk(by_host), by_host.count()), "host")
+
+    def verdict(m: Column) -> Column:
+        return _kept(F.struct(*[m[k].alias(k) for k in METRICS], *[c.alias(k) for k, c in failures(m).items()]))
+
+    # one expression, so that the measures are not worked out again where the optimizer moves the filter
+    return rows.where(_once(metrics(F.col("text")), verdict)).select("row.*")

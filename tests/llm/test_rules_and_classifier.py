@@ -64,7 +64,7 @@ def test_hosts_decide(spark):
 def test_shrinking_needs_evidence(spark):
     """One failing document of a small host says less than all of a large one's."""
     rows = [(i, good(i), "en", f"s{i % 20}") for i in range(400)] + [(1000, "short", "en", "tiny")]
-    hosts = {r.host: r for r in qr.shrunk(qr.counted(qr.measured(documents(spark, rows).withColumn("host", F.col("source"))), "host")).collect()}
+    hosts = {r.source: r for r in qr.shrunk(qr.counted(qr.measured(documents(spark, rows)), "source")).collect()}
     assert 0 < hosts["tiny"].rate_any_failed < 1 and hosts["s1"].rate_any_failed < 0.05
 
 
