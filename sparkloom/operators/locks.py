@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import checkpointed
+
 #: Modes, and of each the modes it is compatible with. Fixed values.
 COMPATIBLE = {
     "IS": ("IS", "IX", "S", "SIX"),
@@ -52,10 +54,11 @@ def victims(cyclic: DataFrame, transactions: DataFrame, policy: str = "youngest"
 def waiting(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """For large graphs: the edges that remain when those out of nodes that wait for nobody, and into nodes that nobody
     waits on, are taken away again and again; none remain exactly if there is no cycle."""
-    left = edges.select("src", "dst").distinct().checkpoint()
+    left = checkpointed(edges.select("src", "dst").distinct())
     n = left.count()
     for _ in range(rounds):
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst").checkpoint()
+        waited_on, waits = left.select(F.col("src").alias("dst")).distinct(), left.select(F.col("dst").alias("src")).distinct()
+        left = checkpointed(left.join(waited_on, "dst", "left_semi").join(waits, "src", "left_semi").select("src", "dst"))
         before, n = n, left.count()
         if n in (0, before):
             break

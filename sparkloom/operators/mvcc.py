@@ -61,12 +61,17 @@ def vacuumed(versions: DataFrame, min_active: int, aborted: DataFrame | None = N
     return versions.join(gone, F.col("xmax") == F.col("_a"), "left").where(keep | F.col("_a").isNotNull()).drop("_a")
 
 
-def first_committer_losers(writes: DataFrame, key: str, start: Column, commit: Column, tx: str) -> DataFrame:
-    """writes: key, tx and the interval in which tx ran. Each transaction that committed after an overlapping one had
-    committed a write of the same key, with the first such one."""
-    a = writes.select(F.col(key).alias("k"), F.col(tx).alias("loser"), start.alias("s"), commit.alias("c"))
-    b = writes.select(F.col(key).alias("k"), F.col(tx).alias("winner"), commit.alias("w"))
-    both = a.join(b, "k").where((F.col("w") < F.col("c")) & (F.col("w") > F.col("s")))
+def first_committer_losers(writes: DataFrame, key: str, start: Column, commit: Column, tx: str, width: int = 1024) -> DataFrame:
+    """writes: key, tx and the interval in which tx ran, in whole numbers. Each transaction that committed after an
+    overlapping one had committed a write of the same key, with the first such one.
+
+    Intervals meet commits in bins of a width, which should be about a transaction's length: so a key that is written
+    all the time is spread over its bins.
+    """
+    a = writes.select(F.col(key).alias("k"), F.col(tx).alias("loser"), start.cast("long").alias("s"), commit.cast("long").alias("c"))
+    a = a.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("c") / width))))
+    b = writes.select(F.col(key).alias("k"), F.col(tx).alias("winner"), commit.cast("long").alias("w"))
+    both = a.join(b.withColumn("bin", F.floor(F.col("w") / width)), ["k", "bin"]).where((F.col("w") < F.col("c")) & (F.col("w") > F.col("s")))
     return both.groupBy("loser").agg(F.min("winner").alias("winner"))
 
 

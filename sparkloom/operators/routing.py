@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sparkloom.plans.ordering import numbered
+
 #: Virtual nodes of each node on the ring; bytes at which a range is split. Fixed values.
 VIRTUAL_NODES, SPLIT_BYTES = 256, 64 << 20
 
@@ -64,10 +66,8 @@ def by_ring(df: DataFrame, key: str, nodes: Sequence[int], virtual: int = VIRTUA
 def split_key(df: DataFrame, key: str) -> DataFrame:
     """The lower median of a key, exact, of one row: where a range that has grown too large is split. Ranges are sorted
     in parallel, and only their counts meet."""
-    n = df.count()
-    if not n:
-        return df.select(key).limit(0)
-    return df.orderBy(key).select(key).offset((n + 1) // 2 - 1).limit(1)
+    placed, n = numbered(df.select(key), F.col(key))
+    return placed.where(F.col("_i") == (n + 1) // 2 - 1).select(key)
 
 
 def oversized(manifest: DataFrame, limit: int = SPLIT_BYTES) -> DataFrame:

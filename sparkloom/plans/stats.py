@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.plans.ordering import numbered
+
 
 def column_stats(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """Rows, distinct values, least and largest value."""
@@ -18,23 +20,14 @@ def column_stats(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
 def equi_depth(df: DataFrame, column: str, tie: str, buckets: int) -> DataFrame:
     """A histogram of buckets with as many rows each, the first ones with one more where it does not come out even.
 
-    Rows are sorted in ranges by all tasks; a row's number is its range's start and its place in it, so that nothing
-    but the ranges' counts meets in one place.
+    Rows are sorted in ranges by all tasks, so that nothing but the ranges' counts meets in one place.
     """
-    ranged = df.select(column, tie).repartitionByRange(column, tie).withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    start, starts, total = 0, [], sum(counts.values())
-    for part in sorted(counts):
-        starts.append((part, start))
-        start += counts[part]
-    at = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start long"))  # a row for each range
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(column, tie))
-    numbered = ranged.withColumn("_row", place).join(at, "_part").withColumn("_i", F.col("_start") + F.col("_row") - 1)
+    placed, total = numbered(df.select(column, tie), F.col(column), F.col(tie))
     base, extra = divmod(total, buckets)
     first = extra * (base + 1)
     late = F.lit(extra) + F.floor((F.col("_i") - first) / max(base, 1))
     bucket = F.when(F.col("_i") < first, F.floor(F.col("_i") / (base + 1))).otherwise(late) + 1
-    return numbered.groupBy(bucket.cast("long").alias("b")).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("cnt"))
+    return placed.groupBy(bucket.cast("long").alias("b")).agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("cnt"))
 
 
 def percentiles(df: DataFrame, by: str, value: str, **shares: float) -> DataFrame:

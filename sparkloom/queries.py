@@ -231,7 +231,7 @@ def vacuum(spark, d):
 
 def first_committer(spark, d):
     writes = table(spark, d, "events").select("user_id", "event_id")
-    return mvcc.first_committer_losers(writes, "user_id", F.col("event_id") - 20, F.col("event_id"), "event_id")
+    return mvcc.first_committer_losers(writes, "user_id", F.col("event_id") - 20, F.col("event_id"), "event_id", width=20)
 
 
 def ssi_pivots(spark, d):

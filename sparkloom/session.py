@@ -41,3 +41,11 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         return query(spark, *args)
 
     return run
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a reliable checkpoint, in the folder of spark.checkpoint.dir or, where that is unset, our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
