@@ -4,17 +4,19 @@ Documents are read once, into packs: some tens of megabytes of text become a lis
 64-bit hashes) and the documents' tokens as places in that list. The lists, not the tokens, are shuffled: every word's
 counts are summed over the packs, and each pack gets back the counts of its own words, however rare.
 
-The automaton has a state for each frequent word, one for the start of a text and the root. An arc leads from a state
-over a token that often follows it, with a discounted probability; where there is no arc, the failure arc leads to the
-root with the state's backoff weight, and the root takes any token with its smoothed unigram probability, the same as
-in the base score. A text is traversed once from left to right. Both kinds of arcs are bounded in number by their least
-share of all tokens, so that the automaton can be broadcast whatever the corpus's size.
+The automaton's states are frequent words, the start of a text, and the frequent n-grams of these, up to one word less
+than its order; and the root. An arc leads from a state over a token that often follows it, with a discounted
+probability, to the state of the n-gram it completes; where there is no arc, the failure arc leads to the state of the
+n-gram without its first word, with the state's backoff weight, and at last to the root, which takes any token with its
+smoothed unigram probability, the same as in the base score. A text is traversed once from left to right. States and
+arcs are bounded in number by their least share of all tokens, so that the automaton can be broadcast whatever the
+corpus's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,46 +28,67 @@ from pyspark.sql import Window
 
 from .common import Scratch, lowered, word_hashes
 
-#: The least share of all tokens for a word to be a state (at most 1 / STATE of them) and for a pair to be an arc, and
-#: the least count of either; the discount of an arc's count; bytes of text in a pack.
-STATE, ARC, LEAST, DISCOUNT, PACK = 5e-5, 5e-7, 2, 0.5, 32 << 20
+#: The longest n-gram; the least share of all tokens for a word to be a state (at most 1 / STATE of them) and for an
+#: n-gram to be an arc, and the least count of either; the discount of an arc's count; bytes of text in a pack.
+ORDER, STATE, ARC, LEAST, DISCOUNT, PACK = 3, 5e-5, 5e-7, 2, 0.5, 32 << 20
+
+
+def _found(keys: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Where each of ask is among sorted keys, -1 if nowhere."""
+    if not len(keys):
+        return np.full(len(ask), -1)
+    at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+    return np.where(keys[at] == ask, at, -1)
+
+
+@dataclass(frozen=True)
+class Level:
+    """The arcs of n-grams of one length: each is also the state of its n-gram."""
+
+    keys: np.ndarray  # int64, sorted: the state before * (words + 2) + the token's word state
+    weights: np.ndarray  # log10 of each
+    counts: np.ndarray
+    suffix: np.ndarray  # the state of the n-gram without its first word, among those of the level before
+    failure: np.ndarray  # log10 of the backoff weights of the states before, that of "none" (-1) last: 0
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """States by number: frequent words in the order of their hashes, then the text's end, then its start; -1 is the root."""
+    """Word states by number: frequent words in the order of their hashes, then a text's end, then its start; -1 is none."""
 
     tokens: int  # in training
     types: int
-    states: np.ndarray  # uint64 hashes, sorted
+    words: np.ndarray  # uint64 hashes, sorted
     ends: int  # training texts
-    arcs: np.ndarray  # int64, state * (len(states) + 2) + next token's state, sorted
-    weights: np.ndarray  # log10 of each arc
-    failure: np.ndarray  # log10 of each state's backoff weight, at -1 that of the root: 0
+    levels: tuple[Level, ...] = ()
+
+    @property
+    def width(self) -> int:
+        return len(self.words) + 2
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """log10 of tokens with these counts: (c + 1) / (N + V + 1)."""
         return np.log10((count + 1) / (self.tokens + self.types + 1))
 
-    def state_of(self, words: np.ndarray) -> np.ndarray:
-        """The state that each word leads to."""
-        if not len(self.states):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.states, words), len(self.states) - 1)
-        return np.where(self.states[at] == words, at, -1)
-
-    def traverse(self, state: np.ndarray, unigram: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each token in its place. state: that each token leads to; starts: where texts start. As a token's
-        arc and its failure lead to the same state, the states carried are those of the tokens before, and all steps
-        can be taken at once."""
-        n = len(self.states) + 2
-        before = np.concatenate([[-1], state[:-1]])
-        before[starts] = n - 1
-        out = self.failure[before] + unigram
-        if len(self.arcs):
-            ask = np.where((before >= 0) & (state >= 0), before * n + state, -1)
-            at = np.minimum(np.searchsorted(self.arcs, ask), len(self.arcs) - 1)
-            out = np.where(self.arcs[at] == ask, self.weights[at], out)
+    def asked(self, word: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Level by level, the state before each token and the arc asked for (-1 for none), the level behind the last
+        too. As the state after a token is that of the longest n-gram of a level that ends with it, whatever arcs led
+        there, the whole traversal's states come level by level for all places at once."""
+        state, first = word, self.width - 1
+        for level in (*self.levels, None):
+            before = np.concatenate([[-1], state[:-1]])
+            before[starts] = first
+            ask = np.where((before >= 0) & (word >= 0), before * self.width + word, -1)
+            yield before, ask
+            if level is not None:
+                state, first = _found(level.keys, ask), -1
+
+    def traverse(self, word: np.ndarray, unigram: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 of each token in its place: by its longest n-gram's arc, after the failure arcs down to it."""
+        out = unigram
+        for (before, ask), level in zip(self.asked(word, starts), self.levels, strict=False):
+            at = _found(level.keys, ask)
+            out = np.where(at >= 0, np.append(level.weights, 0.0)[at], level.failure[before] + out)
         return out
 
 
@@ -124,44 +147,58 @@ def _counted(packs: DataFrame) -> DataFrame:
 
 
 def fit(packs: DataFrame, counted: DataFrame) -> Automaton:
-    """packs, counted: stored tables. Only states and arcs come to the driver: at most 1 / STATE and 1 / ARC rows."""
+    """packs, counted: stored tables. Only word states and arcs come to the driver: at most 1 / STATE and, for each
+    length, 1 / ARC rows."""
     ends = packs.select(F.explode("trains").alias("t")).where("t").count()
     once = counted.where("first and count > 0")
     total = once.agg(F.sum("count"), F.count("*")).first()
     tokens, types = (total[0] or 0) + ends, total[1] + (ends > 0)
     frequent = once.where(F.col("count") >= max(LEAST, STATE * tokens)).select("word", "count").toPandas()
-    states = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(states)
-    states, held = states[order], frequent["count"].to_numpy(np.int64)[order]
-    n = len(states) + 2
-    held = np.concatenate([held, [ends, ends]])  # of the end, and of the start
-    blank = Automaton(tokens, types, states, ends, np.zeros(0, np.int64), np.zeros(0), np.zeros(n + 1))
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = frequent["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    model = Automaton(tokens, types, words[order], ends)
+    held = np.concatenate([frequent["count"].to_numpy(np.int64)[order], [ends, ends]])  # of the end, and of the start
+    below, suffix_of = model.unigram(held), None
+    for _ in range(ORDER - 1):
+        level = _level(packs, model, held, below, suffix_of)
+        model = replace(model, levels=(*model.levels, level))
+        held, below, suffix_of = level.counts, level.weights, level.suffix
+    return model
+
+
+def _level(packs: DataFrame, model: Automaton, held: np.ndarray, below: np.ndarray, suffix_of: np.ndarray | None) -> Level:
+    """The next level. held: counts of the states before; below: log10 of the arcs without their first word (of word
+    states: the root's); suffix_of: the states before, without their first word."""
+    spark = packs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for words, trains, lengths, data in zip(batch["words"], batch["trains"], batch["lengths"], batch["tokens"], strict=True):
-                state, starts = _states(blank, words, lengths, data)
-                before = np.concatenate([[-1], state[:-1]])
-                before[starts] = n - 1
-                ask = (before * n + state)[(before >= 0) & (state >= 0) & np.repeat(np.asarray(trains, bool), np.asarray(lengths))]
-                pair, count = np.unique(ask, return_counts=True)
-                yield pd.DataFrame({"pair": pair, "n": count})
-
-    followed = packs.select("words", "trains", "lengths", "tokens").mapInPandas(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    arcs = followed.where(F.col("n") >= max(LEAST, ARC * tokens)).toPandas().sort_values("pair")
-    pair, seen = arcs["pair"].to_numpy(np.int64), arcs["n"].to_numpy(np.float64)
-    before, after = np.divmod(pair, n)
-    p = (seen - DISCOUNT) / held[before]
-    arc_mass, root_mass = np.zeros(n), np.zeros(n)
-    np.add.at(arc_mass, before, p)
-    np.add.at(root_mass, before, 10 ** blank.unigram(held[after]))
-    failure = np.log10(np.maximum(1 - arc_mass, 1e-12) / np.maximum(1 - root_mass, 1e-12))
-    return Automaton(tokens, types, states, ends, pair, np.log10(p), np.append(failure, 0.0))
+            for row in batch.itertuples(index=False):
+                word, starts = _states(shared.value, row.words, row.lengths, row.tokens)
+                *_, (_, ask) = shared.value.asked(word, starts)
+                key, n = np.unique(ask[(ask >= 0) & np.repeat(np.asarray(row.trains, bool), np.asarray(row.lengths))], return_counts=True)
+                yield pd.DataFrame({"key": key, "n": n})
+
+    counts = packs.select("words", "trains", "lengths", "tokens").mapInPandas(asked, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    arcs = counts.where(F.col("n") >= max(LEAST, ARC * model.tokens)).toPandas().sort_values("key")
+    keys, n = arcs["key"].to_numpy(np.int64), arcs["n"].to_numpy(np.int64)
+    before, word = np.divmod(keys, model.width)
+    if suffix_of is None:
+        suffix = word
+    else:  # a frequent n-gram's end is at least as frequent, so it has an arc
+        suffix = _found(model.levels[-1].keys, suffix_of[before] * model.width + word)
+    p = (n - DISCOUNT) / held[before]
+    mine, theirs = np.zeros(len(held)), np.zeros(len(held))
+    np.add.at(mine, before, p)
+    np.add.at(theirs, before, 10 ** below[suffix])
+    failure = np.log10(np.maximum(1 - mine, 1e-12) / np.maximum(1 - theirs, 1e-12))
+    return Level(keys, np.log10(p), n, suffix, np.append(failure, 0.0))
 
 
 def _states(model: Automaton, words, lengths, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The state that each token of a pack leads to, and where its documents start."""
-    of_place = np.append(model.state_of(np.asarray(words, np.int64).view(np.uint64)), len(model.states))
+    """The word state of each token of a pack, and where its documents start."""
+    of_place = np.append(_found(model.words, np.asarray(words, np.int64).view(np.uint64)), len(model.words))
     lengths = np.asarray(lengths, np.int64)
     return of_place[_tokens(data)], np.cumsum(lengths) - lengths
 

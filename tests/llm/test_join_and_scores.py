@@ -187,36 +187,62 @@ def test_scores_of_odd_rows(spark):
     assert lm.score(documents(spark, []), F.lit(True)).count() == 0
 
 
-def test_automaton_is_a_distribution(spark, monkeypatch):
-    """From each state, the probabilities of all tokens and of an unknown one add up to 1; and a plain traversal agrees."""
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_automaton_is_a_distribution(spark, monkeypatch, order):
+    """After any history, the probabilities of all tokens and of an unknown one add up to 1; and a plain traversal with
+    states and failure arcs agrees."""
+    monkeypatch.setattr(lm, "ORDER", order)
     monkeypatch.setattr(lm, "STATE", 1e-9)
     monkeypatch.setattr(lm, "ARC", 1e-9)
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choices("abcdef", weights=[9, 5, 3, 2, 1, 1], k=rng.randint(0, 9)))) for i in range(60)] + [(60, "once")]
+    rows = [(i, " ".join(rng.choices("abcdef", weights=[9, 5, 3, 2, 1, 1], k=rng.randint(0, 9)))) for i in range(80)] + [(80, "once")]
     docs = documents(spark, [(k, t, "en", "s") for k, t in rows])
     tables = Scratch(spark)
     packs = tables.stored(lm._packed(docs.select(F.col("doc_id").cast("string").alias("key"), F.lit(True).alias("train"), "text")), "packs")
     m = lm.fit(packs, tables.stored(lm._counted(packs), "counted"))
     count = Counter(w for _, t in rows for w in [*words(t), None])
     names = {int(word_hashes(w.encode())[0]): w for w in count if w is not None}
-    states = [names[int(h)] for h in m.states] + [None]
-    n = len(m.states) + 2
-    arcs = dict(zip(m.arcs.tolist(), m.weights.tolist(), strict=True))
+    states = [names[int(h)] for h in m.words] + [None, "<start>"]
     uni = {w: float(m.unigram(np.array([c]))[0]) for w, c in count.items()}
     unknown = float(m.unigram(np.array([0]))[0])
 
-    def log_p(before, w):
-        state = states.index(w) if w in states else -1
-        arc = arcs.get(before * n + state) if state >= 0 and before >= 0 else None
-        return arc if arc is not None else m.failure[before] + uni.get(w, unknown)
-
-    assert "once" not in states and arcs
-    for before in [*range(len(m.states)), n - 1, -1]:
-        assert sum(10 ** log_p(before, w) for w in count) + 10 ** (m.failure[before] + unknown) == pytest.approx(1)
+    def followed(level, state, w):
+        """The arc's place, or None."""
+        if state < 0 or w not in states[:-1]:
+            return None
+        at = np.flatnonzero(m.levels[level].keys == state * m.width + states.index(w))
+        return int(at[0]) if len(at) else None
+
+    def log_p(level, state, w):
+        """level: of the state; -1 is the root."""
+        if level < 0:
+            return uni.get(w, unknown)
+        at = followed(level, state, w)
+        if at is not None:
+            return m.levels[level].weights[at]
+        lower = int(m.levels[level - 1].suffix[state]) if level else -1
+        return m.levels[level].failure[state] + log_p(level - 1, lower, w)
+
+    def after(history):
+        """The state of the longest n-gram that ends a history."""
+        for k in range(min(order - 1, len(history)), 0, -1):
+            gram = history[-k:]
+            if gram[0] not in states:
+                continue
+            state = states.index(gram[0])
+            for level, w in enumerate(gram[1:]):
+                state = followed(level, state, w) if state is not None else None
+            if state is not None:
+                return k - 1, state
+        return -1, -1
+
+    assert "once" not in states and len(m.levels) == order - 1 and all(len(x.keys) and (x.suffix >= 0).all() for x in m.levels)
     got = {r.doc_id: r.score for r in lm.score(docs, F.lit(True)).collect()}
     for k, t in rows:
-        before, total = n - 1, 0.0
+        history, total = ["<start>"], 0.0
         for w in [*words(t), None]:
-            total += log_p(before, w)
-            before = states.index(w) if w in states else -1
+            level, state = after(history)
+            assert sum(10 ** log_p(level, state, x) for x in [*count, "unknown"]) == pytest.approx(1)
+            total += log_p(level, state, w)
+            history.append(w)
         assert got[k] == pytest.approx(total)
