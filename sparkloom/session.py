@@ -22,8 +22,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.config(map=settings).getOrCreate()
 
 
+#: Bytes of a batch that goes to a Python worker. Spark's own default of 64 MB is held several times over by each task,
+#: outside the heap and in the worker; it is lowered where a session has not set another.
+BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that functions of it run there."""
+    if spark.conf.get(BATCH_SETTING) == f"{BATCH_DEFAULT}b":
+        spark.conf.set(BATCH_SETTING, f"{BATCH}b")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parent
