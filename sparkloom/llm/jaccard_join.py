@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lowered, mixed, scratch, small, word_hashes
+from .common import Scratch, lowered, mixed, scratch, small, tidied, word_hashes
 
 #: Tokens in the lower part of the hash space are counted: this many times a prefix's share of a set, so that the common
 #: ones among them can be left out of most prefixes.
@@ -220,6 +220,7 @@ def _entries(sets: DataFrame, common: np.ndarray, percent: int, of_common: bool)
     """sets: key, n, low. A row for each token of each prefix that is common, or that is not: token, key, n, pos, cls, and
     how many of the set's prefix are common."""
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -257,6 +258,7 @@ def _rare_edges(entries: DataFrame, percent: int, raised: bool) -> DataFrame:
     as many as both prefixes hold are taken for granted.
     """
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held = ["token", "key", "n", "pos", "cls", "held"], None
         for batch in _with_end(batches):
@@ -354,6 +356,7 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     dealt = tables.stored(dealt, "dealt")
     joined = found.join(small(dealt, dealt.count()), found["key"] == dealt["member"])
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         at = None

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, scratch
+from .common import mixed, scratch, tidied
 
 #: Characters of an n-gram; the share of a language's documents that must hold it; bits a slot's share of set ones
 #: aims at 1 in 8; probes. With a share of 1/100, a language has at most 100 times a document's n-grams.
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     bounded by the languages and the share, not by the rows. More than MAX_LANGUAGES languages raise ValueError.
     """
 
+    @tidied
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[np.ndarray]] = {}
         size = 0

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, lowered, word_hashes
+from .common import Scratch, lowered, tidied, word_hashes
 
 #: The longest n-gram; the least share of all tokens for a word to be a state (at most 1 / STATE of them) and for an
 #: n-gram to be an arc, and the least count of either; the discount of an arc's count; bytes of text in a pack.
@@ -114,6 +114,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         }
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack, size, keys, trains, hashes = TaskContext.get().partitionId() << 24, 0, [], [], []
         for batch in batches:
@@ -172,6 +173,7 @@ def _level(packs: DataFrame, model: Automaton, held: np.ndarray, below: np.ndarr
     spark = packs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    @tidied
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, n_words, scratch, small
+from .common import Scratch, n_words, scratch, small, tidied
 
 #: Documents, or open documents of buckets, that are paired in one bucket.
 BUCKET = 1024
@@ -82,6 +82,7 @@ _OPEN = "key string, pos long, size long, h long, base int, bucket long, p doubl
 def _paired(rows: DataFrame, seed: int) -> DataFrame:
     """One level: rows of _OPEN, by (pos, bucket); all come back, with p 0 or 1 but for one of each bucket at most."""
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _OPEN.split(", ")]
         held = None  # the open row of the bucket at hand

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, small, tidied
 
 #: Field names of the header lines, by version. Fixed values.
 ARC_FIELDS = {
@@ -189,6 +189,7 @@ def archived(pages: DataFrame, path: str, key: str = "page_id", url: str = "url"
     # longs with nulls would lose digits in pandas
     rows = rows.select(F.col("key").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
 
+    @tidied
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         version = 1
         for batch in batches:
@@ -216,6 +217,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     payload_bytes, payload_digest, refers_to and payload (null of a revisit). A payload that does not fit its digest
     raises."""
 
+    @tidied
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
