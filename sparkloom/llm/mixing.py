@@ -165,6 +165,7 @@ def mix(
 
 def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mixed documents with their own columns; one that is taken twice comes twice. Documents without words go.
+    Texts are shuffled once, by key, if more documents are taken than a broadcast may hold; else not at all.
     Rows with the same key, or none, are matched by key, size and rank among those."""
     plan = Scratch(docs.sparkSession).stored(mix(docs, key=key, text=text, **options).select(F.col(key).alias("_k"), "size", "copies"), "plan")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(key).alias("key"))
@@ -172,7 +173,8 @@ def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
         many = s.stored(packed.groupBy("key").count().where("count > 1 or key is null"), "many")
         repeated = bool(many.take(1))
     if not repeated:
-        rows = packed.join(plan.where("copies > 0"), F.col("key") == F.col("_k"))
+        taken = plan.where("copies > 0").select("_k", "copies")
+        rows = packed.join(small(taken, taken.count()), F.col("key") == F.col("_k"))
     else:
         numbered = plan.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_k", "size").orderBy(F.desc("copies"))))
         sized = packed.withColumn("_size", n_words(F.col(f"row.{text}")))
