@@ -57,7 +57,7 @@ class Codec:
         self.block, self.piece = block, piece
         self._split = regex.compile(PATTERN)
         self._stop = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._long = regex.compile(rf"\p{{L}}{{{piece},}}|\p{{N}}{{{piece},}}|[^\s\p{{L}}\p{{N}}]{{{piece},}}|\s{{{piece},}}")
+        self._blank = regex.compile(rf"\s{{{piece},}}")
 
     # --- encoding
 
@@ -74,10 +74,14 @@ class Codec:
         return out
 
     def _plain(self, text: str) -> list[int]:
-        if len(text) <= self.block and (len(text) < self.piece or not self._long.search(text)):
+        if len(text) <= self.block and (len(text) < self.piece or not self._unsplit(text)):
             return self._bpe.encode_ordinary(text)
         return [i for ids, _ in self._pieces(text) for i in ids]
 
+    def _unsplit(self, text: str) -> bool:
+        """Whether a piece may be long."""
+        return max(map(len, text.split()), default=0) >= self.piece or self._blank.search(text) is not None
+
     def _pieces(self, text: str) -> list[tuple[list[int], str]]:
         """(ids, text) of each piece; texts over a block by halves."""
         if len(text) <= self.block:
