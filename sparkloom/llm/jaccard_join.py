@@ -249,8 +249,8 @@ def _entries(sets: DataFrame, common: np.ndarray, percent: int, of_common: bool)
 
 
 def _rare_edges(entries: DataFrame, percent: int, raised: bool) -> DataFrame:
-    """(leader, member) for tokens that are not common. Of a token with COMMON sets at most, all pairs; of one with more
-    (only where the bound was raised), each size class's first set leads it and the next class.
+    """(leader, member, whole) for tokens that are not common. Of a token with COMMON sets at most, all pairs; of one with
+    more (only where the bound was raised), each size class's first set leads it and the next class, and whole is 1.
 
     A pair stays if some token's positions let it reach the threshold with that as the first common one, and if it has
     enough tokens in common: of two sets that reach it, one's prefix ends first in the order, so lies in the other's
@@ -273,7 +273,7 @@ def _rare_edges(entries: DataFrame, percent: int, raised: bool) -> DataFrame:
                 continue
             first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
             size = np.diff(np.append(first, len(rows)))
-            out = [np.zeros((0, 4), np.int64)]
+            out = [np.zeros((0, 5), np.int64)]
             for n in np.unique(size[(size > 1) & (size <= COMMON)]).tolist():  # all groups of one size together
                 group = rows[first[size == n][:, None] + np.arange(n)]
                 i, j = np.triu_indices(n, 1)
@@ -283,7 +283,7 @@ def _rare_edges(entries: DataFrame, percent: int, raised: bool) -> DataFrame:
                 want = np.ones(len(x), np.int64) if raised else np.maximum(1, spare - np.minimum(x[:, 5], y[:, 5]))
                 fits = np.minimum(x[:, 2] - x[:, 3], y[:, 2] - y[:, 3]) >= o
                 can = (spare >= 1) & (x[:, 1] != y[:, 1])
-                out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), want, fits], axis=1)[can])
+                out.append(np.stack([np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1]), want, fits, 0 * want], axis=1)[can])
             for at, n in zip(first[size > COMMON].tolist(), size[size > COMMON].tolist(), strict=True):
                 group = rows[at : at + n]
                 group = group[np.lexsort((group[:, 1], group[:, 4]))]
@@ -292,14 +292,14 @@ def _rare_edges(entries: DataFrame, percent: int, raised: bool) -> DataFrame:
                     members = group[lo + 1 : hi, 1]
                     members = members[members != group[lo, 1]]
                     one = np.ones(len(members), np.int64)
-                    out.append(np.stack([group[lo, 1] * one, members, one, one], axis=1))
+                    out.append(np.stack([group[lo, 1] * one, members, one, one, one], axis=1))
             edges, count = np.unique(np.concatenate(out), axis=0, return_counts=True)
-            yield pd.DataFrame({"leader": edges[:, 0], "member": edges[:, 1], "want": edges[:, 2], "fits": edges[:, 3], "shared": count})
+            yield pd.DataFrame({"leader": edges[:, 0], "member": edges[:, 1], "want": edges[:, 2], "fits": edges[:, 3], "whole": edges[:, 4], "shared": count})
 
     rows = entries.repartition("token").sortWithinPartitions("token")
-    pairs = rows.mapInPandas(run, "leader long, member long, want long, fits long, shared long")
-    summed = pairs.groupBy("leader", "member").agg(F.min("want").alias("want"), F.max("fits").alias("fits"), F.sum("shared").alias("shared"))
-    return summed.where("fits = 1 and shared >= want").select("leader", "member")
+    pairs = rows.mapInPandas(run, "leader long, member long, want long, fits long, whole long, shared long")
+    summed = pairs.groupBy("leader", "member").agg(F.min("want").alias("want"), F.max("fits").alias("fits"), F.max("whole").alias("whole"), F.sum("shared").alias("shared"))
+    return summed.where("fits = 1 and shared >= want").select("leader", "member", "whole")
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -308,11 +308,32 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 
 def _common_edges(entries: DataFrame, tables: Scratch) -> DataFrame:
-    """(leader, member) of each common token: of each size class its least key leads, and also the next class."""
+    """(leader, member, whole) of each common token: of each size class its least key leads, and also the next class."""
     rows = entries.select("token", "key", "cls")
     leaders = tables.stored(rows.groupBy("token", "cls").agg(F.min("key").alias("leader")), "leaders")
     both = rows.select("token", F.col("key").alias("member"), F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("cls"))
-    return both.join(small(leaders, leaders.count()), ["token", "cls"]).select("leader", "member").where("leader <> member")
+    return both.join(small(leaders, leaders.count()), ["token", "cls"]).select("leader", "member", F.lit(1).cast("long").alias("whole")).where("leader <> member")
+
+
+def _needed(edges: DataFrame, tables: Scratch) -> DataFrame:
+    """edges: leader, member, whole. (leader, member) of blocks that still hold every pair of sets which is to be compared.
+
+    Where whole is 0 only the leader and the member are to be compared, else all members of the block. So the former edge
+    goes if another block holds its two sets; the latter only with its whole block, if one other block, led by a lesser
+    key, holds all of it.
+    """
+    above = tables.stored(edges.groupBy(F.col("member").alias("_m")).agg(F.min("leader").alias("_a")), "above")
+    n_above = above.count()
+    of_leader = small(above.select(F.col("_m").alias("_l"), F.col("_a").alias("_b")), n_above)
+    both = edges.join(small(above, n_above), F.col("member") == F.col("_m")).join(of_leader, F.col("leader") == F.col("_l"), "left")
+    edges = tables.stored(both.where("whole = 1 or _b is null or _a <> _b").select("leader", "member"), "single")
+    outer = edges.groupBy(F.col("member").alias("_l")).agg(F.min("leader").alias("_a")).where("_a < _l")
+    outer = tables.stored(outer, "outer")
+    asked = edges.join(small(outer, outer.count()), F.col("leader") == F.col("_l")).select("_l", "_a", "member")
+    held = edges.select(F.col("leader").alias("_a"), "member", F.lit(True).alias("held"))
+    inside = asked.join(held, ["_a", "member"], "left").groupBy("_l").agg(F.min((F.col("member") == F.col("_a")) | F.coalesce("held", F.lit(False))).alias("all"))
+    inner = tables.stored(inside.where("all").select(F.col("_l").alias("leader")), "inner")
+    return edges.join(small(inner, inner.count()), "leader", "left_anti")
 
 
 def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: int) -> DataFrame:
@@ -330,14 +351,9 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     edges = _rare_edges(_entries(sets, common, percent, False), percent, bound > COMMON)
     if len(common):
         edges = edges.unionByName(_common_edges(tables.stored(_entries(sets, common, percent, True), "entries"), tables))
-    edges = tables.stored(edges.distinct(), "all_edges")
+    edges = tables.stored(edges.groupBy("leader", "member").agg(F.max("whole").alias("whole")), "all_edges")
     tables.settle()
-    # of two sets that another's block holds both, the one need not lead the other
-    above = tables.stored(edges.groupBy(F.col("member").alias("_m")).agg(F.min("leader").alias("_a")), "above")
-    n_above = above.count()
-    of_leader = small(above.select(F.col("_m").alias("_l"), F.col("_a").alias("_b")), n_above)
-    both = edges.join(small(above, n_above), F.col("member") == F.col("_m")).join(of_leader, F.col("leader") == F.col("_l"), "left")
-    edges = tables.stored(both.where("_b is null or _a <> _b").select("leader", "member"), "edges")
+    edges = tables.stored(_needed(edges, tables), "edges")
     wanted = tables.stored(edges.select(F.explode(F.array("leader", "member")).alias("key")).distinct(), "wanted")
 
     @F.pandas_udf("array<long>")

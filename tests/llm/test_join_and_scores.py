@@ -72,6 +72,36 @@ def test_one_large_group(spark):
     assert got == components(rows, 4, 85)
 
 
+def test_overlapping_blocks_of_common_tokens(spark, monkeypatch):
+    """Token 1 is of sets 0, 1, 2 and token 2 of 1, 2, 3: 0 leads 1 and 2, and 1 leads 2 and 3, so 2 meets 3 only there."""
+    monkeypatch.setattr(jj, "COMMON", 2)
+    near = [f"n{i}" for i in range(40)]
+    texts = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)], near, [*near[:-1], "other"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "key long, text string")
+    sets = spark.createDataFrame([(0, 37, [1]), (1, 37, [1, 2]), (2, 37, [1, 2]), (3, 37, [2])], "key long, n long, low array<long>")
+    got = jj.links(docs, sets, Scratch(spark), 4, 85).collect()
+    assert {(min(r.u, r.v), max(r.u, r.v)) for r in got} == {(2, 3)}
+
+
+def test_blocks_that_are_needed(spark):
+    """Whatever blocks are left out, each pair that is to be compared shares one that stays."""
+    rng = random.Random(6)
+    for _ in range(6):
+        edges = {(a, b): rng.random() < 0.5 for a, b in ((rng.randrange(12), rng.randrange(14)) for _ in range(40)) if a != b}
+        df = spark.createDataFrame([(a, b, int(w)) for (a, b), w in edges.items()], "leader long, member long, whole long")
+
+        def blocks(pairs):
+            out = {}
+            for a, b in pairs:
+                out.setdefault(a, {a}).add(b)
+            return list(out.values())
+
+        want = [set(e) for e in edges]
+        want += [{a, b} for block in blocks(e for e, w in edges.items() if w) for a in block for b in block if a < b]
+        kept = blocks((r.leader, r.member) for r in jj._needed(df, Scratch(spark)).collect())
+        assert all(any(p <= block for block in kept) for p in want)
+
+
 def test_join_of_odd_rows(spark):
     same = " ".join(f"s{i}" for i in range(50))
     rows = [(9, same), (9, same), (5, same), (None, same), (1, None), (2, ""), (3, " \n\t"), (4, "One"), (7, "one"), (8, "one two"), (6, "One Two"), (10, "one two three"), (11, "Éa"), (12, "éa"), (13, " ".join(f"w{i}" for i in range(60_000))), (14, "a b"), (20, same), (20, "one")]
