@@ -4,13 +4,15 @@ Documents are read once, into packs: some tens of megabytes of text become a lis
 64-bit hashes) and the documents' tokens as places in that list. The lists, not the tokens, are shuffled: every word's
 counts are summed over the packs, and each pack gets back the counts of its own words, however rare.
 
-The automaton's states are frequent words, the start of a text, and the frequent n-grams of these, up to one word less
-than its order; and the root. An arc leads from a state over a token that often follows it, with a discounted
-probability, to the state of the n-gram it completes; where there is no arc, the failure arc leads to the state of the
-n-gram without its first word, with the state's backoff weight, and at last to the root, which takes any token with its
-smoothed unigram probability, the same as in the base score. A text is traversed once from left to right. States and
-arcs are bounded in number by their least share of all tokens, so that the automaton can be broadcast whatever the
-corpus's size.
+The automaton's states are words seen LEAST times, the start of a text, and the n-grams of these seen LEAST times, up to
+one word less than its order; and the root. An arc leads from a state over a token that followed it LEAST times, with a
+discounted probability, to the state of the n-gram it completes; where there is no arc, the failure arc leads to the
+state of the n-gram without its first word, with the state's backoff weight, and at last to the root, which takes any
+token with its smoothed unigram probability, the same as in the base score. A text is traversed once from left to right.
+
+LEAST is the same at every size, so states and arcs grow with the corpus. They are nowhere in one place: each pack asks
+for what its own n-grams need, their counts and their states' backoff weights, by keys that are dealt by range. `fit`
+makes the same automaton in one place, for corpora or bounds that allow that.
 """
 
 from __future__ import annotations
@@ -26,12 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, lowered, tidied, word_hashes
+from .common import Scratch, give_back, lowered, mixed, tidied, word_hashes
 
-#: The longest n-gram; the least share of all tokens for a word to be a state (at most 1 / STATE of them) and for an
-#: n-gram to be an arc, and the least count of either; the discount of an arc's count; bytes of text in a pack.
+#: The longest n-gram; only in `fit`, the least share of all tokens for a word to be a state (at most 1 / STATE of them)
+#: and for an n-gram to be an arc; the least count of either; the discount of an arc's count; bytes of text in a pack.
 ORDER, STATE, ARC, LEAST, DISCOUNT, PACK = 3, 5e-5, 5e-7, 2, 0.5, 32 << 20
 
+#: Tokens of all packs for each range of keys.
+RANGE = 2 << 20
+
+_STEP, _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
+
 
 def _found(keys: np.ndarray, ask: np.ndarray) -> np.ndarray:
     """Where each of ask is among sorted keys, -1 if nowhere."""
@@ -148,7 +155,7 @@ def _counted(packs: DataFrame) -> DataFrame:
 
 
 def fit(packs: DataFrame, counted: DataFrame) -> Automaton:
-    """packs, counted: stored tables. Only word states and arcs come to the driver: at most 1 / STATE and, for each
+    """The automaton in one place. packs, counted: stored tables. Only word states and arcs come to the driver: at most 1 / STATE and, for each
     length, 1 / ARC rows."""
     ends = packs.select(F.explode("trains").alias("t")).where("t").count()
     once = counted.where("first and count > 0")
@@ -205,6 +212,142 @@ def _states(model: Automaton, words, lengths, data: bytes) -> tuple[np.ndarray,
     return of_place[_tokens(data)], np.cumsum(lengths) - lengths
 
 
+# --- the same automaton, each pack holding what its own n-grams need --------------------------------
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """8-byte values, byte plane by byte plane."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+
+
+def _unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def _asks(pack: int, kind: str, ranges: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """Rows of one pack's sorted keys and their values, a row for each range that has any."""
+    cuts = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
+    for part, (lo, hi) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)):
+        if lo < hi:
+            yield kind, part, pack, _squeezed(np.diff(keys[lo:hi], prepend=np.uint64(0))), [_squeezed(v[lo:hi]) for v in values]
+
+
+def _answered(rows: pd.DataFrame) -> pd.DataFrame:
+    """All packs' rows of one kind and range. Counts are summed; the answer to each is twice the sum, and one more in the
+    one pack that is to account for the key. Probabilities of states' arcs are summed to backoff weights."""
+    rows = rows.sort_values("pack")
+    kind, part = rows["kind"].iloc[0], rows["part"].iloc[0]
+    keys = [np.cumsum(_unsqueezed(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
+    ends = np.cumsum([len(k) for k in keys])
+    place = np.unique(np.concatenate(keys), return_inverse=True)[1].reshape(-1)
+    del keys
+    firsts, total = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    if kind[0] == "n":
+        n = np.concatenate([_unsqueezed(v[0], np.int64) for v in rows["values"]])
+        sums = np.zeros(int(place.max()) + 1, np.int64)
+        np.add.at(sums, place, n)
+        held = np.flatnonzero(n > 0)
+        first = np.zeros(len(n), np.int64)
+        first[held[np.unique(place[held], return_index=True)[1]]] = 1
+        firsts, total = np.add.reduceat(first, ends - np.diff(ends, prepend=0)), np.add.reduceat(first * sums[place], ends - np.diff(ends, prepend=0))
+        if kind != "n1":
+            sums[sums < LEAST] = 0
+        answer = np.where(sums[place] > 0, 2 * sums[place] + first, 0)
+    else:
+        mine, theirs = (np.bincount(place, np.concatenate([_unsqueezed(v[i], np.float64) for v in rows["values"]])) for i in (0, 1))
+        answer = np.log10(np.maximum(1 - mine, 1e-12) / np.maximum(1 - theirs, 1e-12))[place]
+    data = [_squeezed(a) for a in np.split(answer, ends[:-1])]
+    return pd.DataFrame({"kind": kind, "part": part, "pack": rows["pack"].to_numpy(), "data": data, "firsts": firsts, "total": total})
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, and the place of each among them; range by range, as that takes less memory."""
+    place, out, n = np.empty(len(hashes), np.int32), [], 0
+    top = (hashes >> np.uint64(60)).astype(np.uint8)
+    for i in range(16):
+        at = np.flatnonzero(top == i)
+        some, inverse = np.unique(hashes[at], return_inverse=True)
+        place[at] = inverse.reshape(-1) + n
+        out.append(some)
+        n += len(some)
+    return np.concatenate(out), place
+
+
+def _words_asked(row) -> tuple[np.ndarray, np.ndarray]:
+    """A pack's words, the end and the start, sorted, and their counts in training."""
+    words = np.asarray(row.words, np.int64).view(np.uint64)
+    keys = np.sort(np.concatenate([words, [_END, _START]]))
+    n = np.zeros(len(keys), np.int64)
+    n[np.searchsorted(keys, words)], n[np.searchsorted(keys, [_END, _START])] = row.counts, int(np.sum(row.trains))
+    return keys, n
+
+
+def _decoded(got: dict[str, list[bytes]], kind: str) -> np.ndarray:
+    of = np.int64 if kind[0] == "n" else np.float64
+    return np.concatenate([np.zeros(0, of), *(_unsqueezed(d, of) for d in got.get(kind, []))])
+
+
+def _worked(row, got: dict[str, list[bytes]], tokens: int, types: int, order: int, last: bool) -> tuple:
+    """What a pack, with the answers it has, still has to ask for, by kind: n2, n3 ... for counts of n-grams and f1, f2 ...
+    for backoff weights of states. If it has all (last): its documents' known tokens, base scores and scores."""
+    words = np.asarray(row.words, np.int64).view(np.uint64)
+    keys = of_word = np.sort(np.concatenate([words, [_END, _START]]))
+    of_place = np.searchsorted(keys, np.append(words, _END)).astype(np.int32)
+    start, always = int(np.searchsorted(keys, _START)), np.searchsorted(keys, [_END, _START])
+    held = _decoded(got, "n1") >> 1
+    state = held >= LEAST
+    state[always] = True
+    lower = (held + 1) / (tokens + types + 1)
+    lengths = np.asarray(row.lengths, np.int64)
+    starts, trained = np.cumsum(lengths) - lengths, np.repeat(np.asarray(row.trains, bool), lengths)
+    word = of_place[_tokens(row.tokens)]
+    if last:
+        known = np.add.reduceat((held > 0)[word], starts, dtype=np.int64)
+        out = np.log10(lower)[word]
+        base = np.add.reduceat(out, starts)
+    at = np.where(state[word], word, np.int32(-1))
+    usual = at >= 0
+    asks: dict[str, tuple] = {}
+    for k in range(2, order + 1):
+        before = np.concatenate([np.array([-1], np.int32), at[:-1]])
+        before[starts] = start if k == 2 else -1
+        # an n-gram that is frequent has a frequent end
+        asked = np.flatnonzero((before >= 0) & usual & (at >= 0)).astype(np.int32)
+        grams = np.empty(len(asked), np.uint64)
+        for lo in range(0, len(asked), 1 << 18):
+            some = asked[lo : lo + (1 << 18)]
+            grams[lo : lo + len(some)] = mixed(keys[before[some]] * _STEP + of_word[word[some]])
+        grams, place = _distinct(grams)
+        if f"n{k}" not in got and len(grams):
+            asks[f"n{k}"] = grams, np.bincount(place[trained[asked]], minlength=len(grams)).astype(np.int64)
+            return asks, None
+        n = _decoded(got, f"n{k}")
+        first = (n & 1) == 1
+        n >>= 1
+        one = np.zeros(len(grams), np.int32)
+        one[place] = asked  # a place of each
+        arc, behind = n >= LEAST, before[one]
+        p = np.where(arc, (n - DISCOUNT) / np.maximum(held[behind], 1), 0.0)
+        states = np.flatnonzero(state)
+        if last:
+            failure = np.zeros(len(keys) + 1)
+            failure[states] = _decoded(got, f"f{k - 1}")
+            out += failure[before]
+            hit = arc[place]
+            out[asked[hit]] = np.log10(np.where(arc, p, 1.0))[place[hit]]
+        elif f"f{k - 1}" not in got and len(states):
+            counted = arc & first
+            mine, theirs = (np.bincount(behind[counted], v[counted], minlength=len(keys)) for v in (p, lower[at[one]]))
+            asks[f"f{k - 1}"] = keys[states], mine[states], theirs[states]
+        at = np.full(len(at), -1, np.int32)
+        at[asked] = np.where(arc, np.arange(len(grams), dtype=np.int32), np.int32(-1))[place]
+        del before, asked, place
+        keys, held, state, lower = grams, n, arc, p
+    return asks, (known, base, np.add.reduceat(out, starts)) if last else None
+
+
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -212,34 +355,62 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     training rows nothing is known and both scores are 0. Repeated rows are learned from, and scored, each; ties score
     alike; an empty table gives no rows; other columns are left out. Texts are never shuffled.
     """
-    tables, spark = Scratch(docs.sparkSession), docs.sparkSession
+    tables = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
     packs = tables.stored(_packed(rows), "packs")
-    counted = tables.stored(_counted(packs), "counted")
-    model = spark.sparkContext.broadcast(fit(packs, counted))
+    n_all = packs.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    ends = packs.select(F.explode("trains").alias("t")).where("t").count()
+    ranges, order = 1 + n_all // RANGE, ORDER
+    kind = "kind string, part int, pack long, data binary, firsts long, total long"
+
+    def gathered(theirs: pd.DataFrame) -> dict[str, list[bytes]]:
+        theirs = theirs[["kind", "part", "data"]].sort_values(["kind", "part"])
+        return {k: list(of["data"]) for k, of in theirs.groupby("kind")}
+
+    def words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield pd.DataFrame(list(_asks(row.pack, "n1", ranges, *_words_asked(row))), columns=columns)
+
+    def asking(tokens: int, types: int):
+        def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            got, out = gathered(theirs), []
+            for row in mine.itertuples(index=False):
+                for k, ask in _worked(row, got, tokens, types, order, False)[0].items():
+                    out.extend(_asks(row.pack, k, ranges, *ask))
+            give_back()
+            return pd.DataFrame(out, columns=columns)
+
+        return run
+
+    columns, asked = ["kind", "part", "pack", "keys", "values"], "kind string, part int, pack long, keys binary, values array<binary>"
+    asks = packs.select("pack", "words", "counts", "trains").mapInPandas(tidied(words_asked), asked)
+    answers = tables.stored(asks.groupBy("kind", "part").applyInPandas(_answered, kind), "answers1")
+    firsts, total = answers.agg(F.sum("firsts"), F.sum("total")).first()
+    tokens, types = (total or 0) - ends, (firsts or 0) - (ends > 0)  # the start is no token
+    packs = packs.drop("counts")
+    for step in range(2, order + 2 if order > 1 else 2):
+        tables.settle()
+        asks = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(asking(tokens, types), asked)
+        answers = answers.unionByName(tables.stored(asks.groupBy("kind", "part").applyInPandas(_answered, kind), f"answers{step}"))
+    tables.settle()
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        m, parts = model.value, []
-        count = np.zeros(len(theirs), np.int64)
-        count[theirs["place"].to_numpy(np.int64)] = theirs["count"].to_numpy(np.int64)
-        count = np.append(count, m.ends)
+        got, parts = gathered(theirs), []
         for row in mine.itertuples(index=False):
-            tokens = _tokens(row.tokens)
-            state, starts = _states(m, row.words, row.lengths, row.tokens)
-            unigram = m.unigram(count)[tokens]
+            known, base, full = _worked(row, got, tokens, types, order, True)[1]
             parts.append(
                 pd.DataFrame(
                     {
                         "key": list(row.keys), "held_out": ~np.asarray(row.trains, bool), "n_tokens": np.asarray(row.lengths, np.int64),
-                        "n_known": np.add.reduceat((count > 0).astype(np.int64)[tokens], starts), "train_tokens": m.tokens,
-                        "base_score": np.add.reduceat(unigram, starts), "score": np.add.reduceat(m.traverse(state, unigram, starts), starts),
+                        "n_known": known, "train_tokens": tokens, "base_score": base, "score": full,
                     }
                 )
             )
+        give_back()
         return pd.concat(parts) if parts else pd.DataFrame(columns=names)
 
-    kind = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    names = [c.split()[0] for c in kind.split(", ")]
-    theirs = counted.select("pack", "place", "count").groupBy("pack")
-    out = packs.drop("counts").groupBy("pack").cogroup(theirs).applyInPandas(run, kind)
+    schema = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(run, schema)
     return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *names[1:])

@@ -276,3 +276,28 @@ def test_automaton_is_a_distribution(spark, monkeypatch, order):
             total += log_p(level, state, w)
             history.append(w)
         assert got[k] == pytest.approx(total)
+
+
+def test_arcs_do_not_depend_on_the_corpus_size(spark, monkeypatch):
+    """What is seen LEAST times is an arc however much else is learned: the scores are those of the gathered automaton
+    without shares, over several packs and ranges, also where its own shares would leave out such n-grams."""
+    monkeypatch.setattr(lm, "PACK", 1 << 14)
+    monkeypatch.setattr(lm, "RANGE", 1 << 13)
+    rng = random.Random(9)
+    pairs = [f"p{i} q{i} r{i}" for i in range(40)] * 2  # each seen twice
+    rows = [(i, " ".join([rng.choice(pairs), *rng.choices("abcdefgh", k=600)])) for i in range(140)] + [(140 + i, t) for i, t in enumerate(pairs)]
+    docs = documents(spark, [(k, t, "en", "s") for k, t in rows])
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= 0).collect()}
+    monkeypatch.setattr(lm, "STATE", 0)
+    monkeypatch.setattr(lm, "ARC", 0)
+    tables = Scratch(spark)
+    packs = tables.stored(lm._packed(docs.select(F.col("doc_id").cast("string").alias("key"), F.lit(True).alias("train"), "text")), "packs")
+    assert packs.count() > 4
+    m = lm.fit(packs, tables.stored(lm._counted(packs), "counted"))
+    assert m.tokens * 5e-5 > lm.LEAST
+    count = Counter(w for _, t in rows for w in [*words(t), None])
+    of = {int(h): i for i, h in enumerate(m.words)}
+    for k, t in rows:
+        state = np.array([*[of.get(int(h), -1) for h in word_hashes(t.encode())], len(m.words)])
+        unigram = m.unigram(np.array([count[w] for w in [*words(t), None]]))
+        assert got[k] == pytest.approx(m.traverse(state, unigram, np.array([0])).sum())
