@@ -165,17 +165,25 @@ def lsm_manifest(spark, d):
     return e.groupBy((F.col("event_id") % 4).alias("file_no")).agg(F.min("user_id").alias("smallest_key"), F.max("user_id").alias("largest_key"), F.count("*").alias("key_count"))
 
 
-def _files(spark, d):
-    e = table(spark, d, "events").where("event_id < 200")
-    return e.groupBy((F.col("event_id") % 40).alias("file_no")).agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+def _files(events):
+    return events.groupBy((F.col("event_id") % 40).alias("file_no")).agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
 
 
-def overlap_join(spark, d):
-    a, b = _files(spark, d).where("file_no < 4").alias("a"), _files(spark, d).where("file_no >= 4").alias("b")
+def _overlaps(files):
+    a, b = files.where("file_no < 4").alias("a"), files.where("file_no >= 4").alias("b")
     on = overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
     return R.theta_join(a, b, on).select(F.col("a.file_no").alias("src"), F.col("b.file_no").alias("dst"))
 
 
+def overlap_join(spark, d):
+    """Over the first 200 events, as its SQL says; overlap_join_all is over all."""
+    return _overlaps(_files(table(spark, d, "events").where("event_id < 200")))
+
+
+def overlap_join_all(spark, d):
+    return _overlaps(_files(table(spark, d, "events")))
+
+
 def bloom_semi(spark, d):
     cars = table(spark, d, "customer").where("c_mktsegment = 'AUTOMOBILE'")
     return bloom.semi_join(table(spark, d, "orders"), "o_custkey", cars, "c_custkey").select("o_orderkey")
@@ -244,14 +252,22 @@ def lock_conflict(spark, d):
     return spark.createDataFrame(asked, "held string, req string").join(F.broadcast(locks.matrix(spark).where("not ok")), ["held", "req"], "left_semi")
 
 
-def lock_waits(spark, d):
+def _lock_waits(orders):
     """Orders as requests for their customer: urgent ones exclusive, the others shared."""
-    o = table(spark, d, "orders").where("o_custkey < 50")
     mode = F.when(F.col("o_orderpriority").startswith("1"), "X").otherwise("S")
-    rows = o.select(F.col("o_custkey").alias("resource"), F.col("o_orderkey").alias("tx"), mode.alias("mode"))
+    rows = orders.select(F.col("o_custkey").alias("resource"), F.col("o_orderkey").alias("tx"), mode.alias("mode"))
     return locks.conflicts(rows, rows)
 
 
+def lock_waits(spark, d):
+    """For customers below 50, as its SQL says; lock_waits_all is for all."""
+    return _lock_waits(table(spark, d, "orders").where("o_custkey < 50"))
+
+
+def lock_waits_all(spark, d):
+    return _lock_waits(table(spark, d, "orders"))
+
+
 def deadlock_cycle(spark, d):
     n = table(spark, d, "nation")
     return locks.cycles(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst")))
@@ -322,8 +338,8 @@ def json_log(spark, d):
 _ALL = [
     scan_seq, index_point, index_range, filter_bool, filter_between, project_expr, hash_join_inner, hash_join_left, nested_loop_join, hash_agg,
     global_agg_empty, having, topk_offset, sort_all, partial_final_agg, flagship, dml_insert, dml_update, dml_delete, constraint_pk, constraint_fk,
-    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_entries, lsm_manifest, overlap_join, bloom_semi,
-    wal_att, wal_dpt, wal_redo, two_pc, raft_commit, mvcc_visible, vacuum, first_committer, ssi_pivots, lock_conflict, lock_waits, deadlock_cycle,
+    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_entries, lsm_manifest, overlap_join, overlap_join_all, bloom_semi,
+    wal_att, wal_dpt, wal_redo, two_pc, raft_commit, mvcc_visible, vacuum, first_committer, ssi_pivots, lock_conflict, lock_waits, lock_waits_all, deadlock_cycle,
     route_range, route_bounds, route_hash, ring_route, split_key, col_stats, equi_depth, percentiles, phi_window, phi_moments, phi_level, crc32c, json_log,
 ]
 
