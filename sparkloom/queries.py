@@ -139,17 +139,27 @@ def lsm_get(spark, d):
     return V.get(_events(spark, d), 7, **_KEYED).select("user_id", "seq", "value")
 
 
-def _two_runs(spark, d):
+def _runs(spark, d, n):
+    """The first n of the events' four runs."""
     e = _events(spark, d)
-    return V.merged([e.where("seq % 4 = 0"), e.where("seq % 4 = 1")])
+    return V.merged([e.where(f"seq % 4 = {i}") for i in range(n)])
 
 
 def lsm_compact_keep(spark, d):
-    return V.compacted(_two_runs(spark, d), False, **_KEYED).select("user_id", "seq", "tomb")
+    """Of two runs, as its SQL says; lsm_compact_keep_all is of all four. So is lsm_compact_drop."""
+    return V.compacted(_runs(spark, d, 2), False, **_KEYED).select("user_id", "seq", "tomb")
 
 
 def lsm_compact_drop(spark, d):
-    return V.compacted(_two_runs(spark, d), True, **_KEYED).select("user_id", "seq", "tomb")
+    return V.compacted(_runs(spark, d, 2), True, **_KEYED).select("user_id", "seq", "tomb")
+
+
+def lsm_compact_keep_all(spark, d):
+    return V.compacted(_runs(spark, d, 4), False, **_KEYED).select("user_id", "seq", "tomb")
+
+
+def lsm_compact_drop_all(spark, d):
+    return V.compacted(_runs(spark, d, 4), True, **_KEYED).select("user_id", "seq", "tomb")
 
 
 def lsm_entries(spark, d):
@@ -338,7 +348,7 @@ def json_log(spark, d):
 _ALL = [
     scan_seq, index_point, index_range, filter_bool, filter_between, project_expr, hash_join_inner, hash_join_left, nested_loop_join, hash_agg,
     global_agg_empty, having, topk_offset, sort_all, partial_final_agg, flagship, dml_insert, dml_update, dml_delete, constraint_pk, constraint_fk,
-    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_entries, lsm_manifest, overlap_join, overlap_join_all, bloom_semi,
+    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_compact_keep_all, lsm_compact_drop_all, lsm_entries, lsm_manifest, overlap_join, overlap_join_all, bloom_semi,
     wal_att, wal_dpt, wal_redo, two_pc, raft_commit, mvcc_visible, vacuum, first_committer, ssi_pivots, lock_conflict, lock_waits, lock_waits_all, deadlock_cycle,
     route_range, route_bounds, route_hash, ring_route, split_key, col_stats, equi_depth, percentiles, phi_window, phi_moments, phi_level, crc32c, json_log,
 ]

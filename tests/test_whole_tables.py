@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 import __spark_entry__ as entry
 from sparkloom.sources.tables import table
 
@@ -23,3 +25,14 @@ def test_overlaps_of_all_events(spark, sf):
     files = {f: (min(u), max(u)) for f, u in users.items()}
     want = sorted((a, b) for a in files for b in files if a < 4 <= b and files[b][1] >= files[a][0] and files[b][0] <= files[a][1])
     assert sorted(tuple(r) for r in entry.queries()["overlap_join_all"](spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_compaction_of_all_runs(spark, sf, drop):
+    newest = {}
+    for e in table(spark, sf, "events").orderBy("event_id").collect():
+        newest[e.user_id] = (e.event_id, e.event_type == "error")
+    assert {seq % 4 for seq, _ in newest.values()} == {0, 1, 2, 3}
+    want = sorted((u, *v) for u, v in newest.items() if not (drop and v[1]))
+    got = entry.queries()["lsm_compact_drop_all" if drop else "lsm_compact_keep_all"](spark, sf)
+    assert sorted(tuple(r) for r in got.collect()) == want
