@@ -134,7 +134,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
     with scratch(docs.sparkSession) as s:
         counts = rows.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        counts = s.stored(counts.where("n >= 2 or gram = 0"), "counts")
+        counts = s.stored(counts, "counts")
         total = counts.where("gram = 0").select("lang", F.col("n").alias("docs"))
         names = tuple(sorted(r.lang for r in total.select("lang").limit(MAX_LANGUAGES + 1).collect()))
         if len(names) > MAX_LANGUAGES:

@@ -182,6 +182,12 @@ def test_language_of_odd_rows(spark):
         li.fit(documents(spark, [(i, "x", f"l{i}", "s") for i in range(70)]))
 
 
+def test_language_of_one_document(spark):
+    rows = [(i, f"the cat and the hat {i}", "en", "s") for i in range(5)] + [(9, "le chat et la souris", "fr", "s")]
+    got = {r.doc_id: r.lang_pred for r in li.identify(documents(spark, [*rows, (10, "la souris et le chat", None, "s")]), F.col("doc_id") < 10).collect()}
+    assert got[9] == got[10] == "fr" and got[0] == "en"
+
+
 # --- language model
 
 
