@@ -51,15 +51,26 @@ def victims(cyclic: DataFrame, transactions: DataFrame, policy: str = "youngest"
     return on.orderBy(*order).limit(1)
 
 
-def waiting(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def waiting(edges: DataFrame) -> DataFrame:
     """For large graphs: the edges that remain when those out of nodes that wait for nobody, and into nodes that nobody
-    waits on, are taken away again and again; none remain exactly if there is no cycle."""
+    waits on, are taken away until none is left to take; none remain exactly if there is no cycle."""
     left = checkpointed(edges.select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(rounds):
+    before, n = None, left.count()
+    while n not in (0, before):
         waited_on, waits = left.select(F.col("src").alias("dst")).distinct(), left.select(F.col("dst").alias("src")).distinct()
         left = checkpointed(left.join(waited_on, "dst", "left_semi").join(waits, "src", "left_semi").select("src", "dst"))
         before, n = n, left.count()
-        if n in (0, before):
-            break
     return left
+
+
+def cycle_lengths(edges: DataFrame) -> DataFrame:
+    """Like `cycles`, for cycles of any length: who reaches whom within what `waiting` leaves, a step more each round."""
+    left = waiting(edges)
+    onward = left.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    front, found, d = left, left.withColumn("cycle_len", F.lit(1)), 1
+    while front.take(1):
+        d += 1
+        step = front.join(onward, "dst").select("src", F.col("to").alias("dst")).distinct()
+        front = checkpointed(step.join(found, ["src", "dst"], "left_anti"))
+        found = checkpointed(found.unionByName(front.withColumn("cycle_len", F.lit(d))))
+    return found.where("src = dst").select("src", "cycle_len")

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as entry
+from sparkloom.operators import locks
 from sparkloom.sources.tables import table
 
 
@@ -36,3 +37,11 @@ def test_compaction_of_all_runs(spark, sf, drop):
     want = sorted((u, *v) for u, v in newest.items() if not (drop and v[1]))
     got = entry.queries()["lsm_compact_drop_all" if drop else "lsm_compact_keep_all"](spark, sf)
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_long_chains_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(140)]
+    assert locks.waiting(spark.createDataFrame(chain, "src long, dst long")).count() == 0
+    ring = [(i, (i + 1) % 30) for i in range(30)] + [(0, 100), (100, 0), (100, 200), (200, 201)]
+    got = {r.src: r.cycle_len for r in locks.cycle_lengths(spark.createDataFrame(ring, "src long, dst long")).collect()}
+    assert got == {i: 30 for i in range(1, 30)} | {0: 2, 100: 2}
