@@ -21,8 +21,8 @@ from sparkloom.session import ship
 #: Fixed by the contracts: words are runs of anything but these ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of a keyed table that one broadcast may hold: at 64 bytes a row, 32 MB.
-BROADCAST_ROWS = 500_000
+#: Bytes that one broadcast may hold, and what a row takes beside its columns.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
 
 
 def words(text: Column) -> Column:
@@ -45,14 +45,18 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or,
+    if all run in one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="shared-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        folder = _own[app]
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tables"
+        else:
+            app = spark.sparkContext.applicationId
+            if app not in _own:
+                _own[app] = tempfile.mkdtemp(prefix="shared-")
+                atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+            folder = _own[app]
     return folder.rstrip("/")
 
 
@@ -62,18 +66,36 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Of each passing() that is open, the folders made within it.
+_passing: list[list[str]] = []
+
+
 class Scratch:
     """Written tables in the shared folder. Reading them back cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
         ship(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", {}
+        if _passing:
+            _passing[-1].append(self.base)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+        """Stored in buckets, so that work by a key finds its rows together as often as it reads them, without a shuffle.
+        Rows are added to those that the name has."""
+        table = self.names.setdefault(name, f"bucketed_{uuid.uuid4().hex}")
+        df.write.mode("append").bucketBy(buckets, by).option("path", f"{self.base}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def gone(self) -> None:
+        for name in self.names.values():
+            self.spark.sql(f"drop table if exists {name}")
+        delete(self.spark, self.base)
+
     def settle(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more, as stored tables have replaced
         them; it does so once the driver's garbage is collected."""
@@ -88,12 +110,27 @@ def scratch(spark: SparkSession):
     try:
         yield found
     finally:
-        delete(spark, found.base)
+        found.gone()
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Deletes, at the end, the tables of every Scratch that is made within: nothing may read them any more."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for base in _passing.pop():
+            delete(spark, base)
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Asks for a broadcast only if the counted rows stay within the bound; else Spark shuffles."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Asks for a broadcast only if the counted rows, with their texts, stay within the bound; else Spark shuffles."""
+    held = rows * (ROW_BYTES + 8 * len(df.columns))
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    if texts and 0 < held <= most:
+        held += df.agg(F.sum(functools.reduce(Column.__add__, texts).cast("long"))).first()[0]
+    return F.broadcast(df) if held <= most else df
 
 
 def give_back() -> None:
@@ -137,7 +174,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit; works in place."""
+    """A bijection of 64-bit integers that spreads every bit; works in place. Its numbers are fixed values: those of a
+    public finalizer."""
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)

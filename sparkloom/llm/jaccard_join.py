@@ -428,7 +428,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
     an empty set and are linked with nothing. Keys are integers; rows of one key are one document, with links from each
     of its texts; a row with a null key links nothing and has a null component. Repeated rows give a row each; an empty
     table gives none; other columns are left out. Texts are read twice and never shuffled unless more than
-    common.BROADCAST_ROWS documents have candidates. Hashes of 64 bits stand for n-grams; of two different n-grams of
+    common.BROADCAST_BYTES of documents have candidates. Hashes of 64 bits stand for n-grams; of two different n-grams of
     a pair to be taken for the same, the chance is below 1 in 10^12 for a pair of sets of 3,000.
     """
     tables = Scratch(docs.sparkSession)

@@ -1,18 +1,22 @@
 """Language-model scoring with a weighted backoff automaton over exact corpus counts.
 
-Documents are read once, into packs: some tens of megabytes of text become a list of the pack's different words (as
-64-bit hashes) and the documents' tokens as places in that list. The lists, not the tokens, are shuffled: every word's
-counts are summed over the packs, and each pack gets back the counts of its own words, however rare.
-
-The automaton's states are words seen LEAST times, the start of a text, and the n-grams of these seen LEAST times, up to
-one word less than its order; and the root. An arc leads from a state over a token that followed it LEAST times, with a
-discounted probability, to the state of the n-gram it completes; where there is no arc, the failure arc leads to the
-state of the n-gram without its first word, with the state's backoff weight, and at last to the root, which takes any
-token with its smoothed unigram probability, the same as in the base score. A text is traversed once from left to right.
-
-LEAST is the same at every size, so states and arcs grow with the corpus. They are nowhere in one place: each pack asks
-for what its own n-grams need, their counts and their states' backoff weights, by keys that are dealt by range. `fit`
-makes the same automaton in one place, for corpora or bounds that allow that.
+Documents are read once, into packs: some megabytes of text become a list of the pack's different words (as 64-bit hashes)
+and the documents' tokens as places in that list. Packs are stored in buckets and stay where they are. What is shuffled
+are a pack's different words and n-grams with their counts, dealt by ranges of their hashes; each range sums them over
+all packs and answers every pack for its own ones, however rare.
+
+The automaton's states are the n-grams seen LEAST times, from words (and the start of a text) up to one word less than
+its order; and the root. An arc leads from a state over a token that followed it LEAST times, to the state of the n-gram
+that it completes; it weighs (c - DISCOUNT) / c(state) and, beside that, the token's probability behind the failure arc.
+The failure arc leads to the state of the n-gram without its first word and weighs what the discounts and the tokens
+without an arc leave; the root takes any token with its smoothed share, the same as in the base score. So after any
+history the probabilities add up to 1. A text is traversed once from left to right.
+
+LEAST is the same at every size, so states and arcs grow with the corpus; they are nowhere in one place. A range knows
+its n-grams' counts, but not their states, as it has hashes only. So of the packs that hold an n-gram one is told to
+account for it, and sums such arcs by state; the ranges add these sums up in a second round, in which a state goes by
+its number in its range instead of its hash. What is shuffled is in proportion to the input: each different n-gram of
+each pack, once, in some four bytes, and its answer.
 """
 
 from __future__ import annotations
@@ -26,100 +30,67 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import Scratch, give_back, lowered, mixed, tidied, word_hashes
+from .common import Scratch, give_back, lowered, mixed, scratch, tidied, word_hashes
 
-#: The longest n-gram; only in `fit`, the least share of all tokens for a word to be a state (at most 1 / STATE of them)
-#: and for an n-gram to be an arc; the least count of either; the discount of an arc's count; bytes of text in a pack.
-ORDER, STATE, ARC, LEAST, DISCOUNT, PACK = 3, 5e-5, 5e-7, 2, 0.5, 32 << 20
+#: The longest n-gram; the least count of a state or an arc; the discount of an arc's count; bytes of text in a pack.
+ORDER, LEAST, DISCOUNT, PACK = 3, 2, 0.5, 8 << 20
 
-#: Tokens of all packs for each range of keys.
+#: Tokens of all packs for each range of keys; twice as many at most.
 RANGE = 2 << 20
 
+#: An n-gram's hash has this many bits more than it takes to count all tokens.
+SPARE_BITS = 20
+
 _STEP, _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
-def _found(keys: np.ndarray, ask: np.ndarray) -> np.ndarray:
-    """Where each of ask is among sorted keys, -1 if nowhere."""
-    if not len(keys):
-        return np.full(len(ask), -1)
-    at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-    return np.where(keys[at] == ask, at, -1)
+def _squeezed(values: np.ndarray) -> bytes:
+    """8-byte values, byte plane by byte plane."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
-@dataclass(frozen=True)
-class Level:
-    """The arcs of n-grams of one length: each is also the state of its n-gram."""
+def _unsqueezed(data: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).reshape(-1)
 
-    keys: np.ndarray  # int64, sorted: the state before * (words + 2) + the token's word state
-    weights: np.ndarray  # log10 of each
-    counts: np.ndarray
-    suffix: np.ndarray  # the state of the n-gram without its first word, among those of the level before
-    failure: np.ndarray  # log10 of the backoff weights of the states before, that of "none" (-1) last: 0
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Rising keys by their differences."""
+    return _squeezed(np.diff(keys, prepend=keys.dtype.type(0)))
 
-@dataclass(frozen=True)
-class Automaton:
-    """Word states by number: frequent words in the order of their hashes, then a text's end, then its start; -1 is none."""
-
-    tokens: int  # in training
-    types: int
-    words: np.ndarray  # uint64 hashes, sorted
-    ends: int  # training texts
-    levels: tuple[Level, ...] = ()
-
-    @property
-    def width(self) -> int:
-        return len(self.words) + 2
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        """log10 of tokens with these counts: (c + 1) / (N + V + 1)."""
-        return np.log10((count + 1) / (self.tokens + self.types + 1))
-
-    def asked(self, word: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Level by level, the state before each token and the arc asked for (-1 for none), the level behind the last
-        too. As the state after a token is that of the longest n-gram of a level that ends with it, whatever arcs led
-        there, the whole traversal's states come level by level for all places at once."""
-        state, first = word, self.width - 1
-        for level in (*self.levels, None):
-            before = np.concatenate([[-1], state[:-1]])
-            before[starts] = first
-            ask = np.where((before >= 0) & (word >= 0), before * self.width + word, -1)
-            yield before, ask
-            if level is not None:
-                state, first = _found(level.keys, ask), -1
-
-    def traverse(self, word: np.ndarray, unigram: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each token in its place: by its longest n-gram's arc, after the failure arcs down to it."""
-        out = unigram
-        for (before, ask), level in zip(self.asked(word, starts), self.levels, strict=False):
-            at = _found(level.keys, ask)
-            out = np.where(at >= 0, np.append(level.weights, 0.0)[at], level.failure[before] + out)
-        return out
+
+def _keys(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_unsqueezed(data, kind), dtype=kind)
+
+
+# --- packs ------------------------------------------------------------------------------------------
+
+_PACK = "pack long, keys array<string>, words binary, uses binary, counts binary, trains binary, lengths binary, tokens binary"
+
+
+def _made(pack: int, keys: list, trains: list, hashes: list[np.ndarray]) -> pd.DataFrame:
+    lengths, trains = np.array([len(h) for h in hashes], np.int64), np.array(trains, bool)
+    every = np.concatenate([np.concatenate([h, [_END]]) for h in hashes] + [np.array([_START])])
+    words, place, uses = np.unique(every, return_inverse=True, return_counts=True)
+    place = place.reshape(-1)[:-1]  # the start is no token
+    rank = np.empty(len(words), np.uint32)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+    counts = np.bincount(place[np.repeat(trains, lengths + 1)], minlength=len(words))
+    counts[np.searchsorted(words, _START)] = trains.sum()
+    planes = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T)
+    row = {
+        "pack": pack, "keys": keys, "words": _steps(words), "uses": _squeezed(uses.astype(np.int64)), "counts": _squeezed(counts.astype(np.int64)),
+        "trains": trains.tobytes(), "lengths": _squeezed(lengths + 1), "tokens": zstandard.ZstdCompressor(1).compress(planes.tobytes()),
+    }
+    return pd.DataFrame({k: [v] for k, v in row.items()})
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """docs: key string, train boolean, text. A row for each pack: pack, words, counts (in training), keys, trains,
-    lengths (tokens of each document, its end included) and tokens (places in words, the end being len(words))."""
-
-    def made(pack: int, keys: list, trains: list, hashes: list[np.ndarray]) -> pd.DataFrame:
-        lengths = np.array([len(h) for h in hashes])
-        every = np.concatenate(hashes)
-        words, place, count = np.unique(every, return_inverse=True, return_counts=True)
-        by_count = np.argsort(-count, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[by_count] = np.arange(len(words), dtype=np.uint32)
-        place = rank[place.reshape(-1)]
-        trained = np.bincount(place[np.repeat(np.array(trains), lengths)], minlength=len(words))
-        ends = np.cumsum(lengths)
-        tokens = np.insert(place, ends, len(words)).astype(np.uint32)
-        planes = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes()
-        row = {
-            "pack": pack, "words": words[by_count].view(np.int64), "counts": trained, "keys": keys, "trains": trains,
-            "lengths": lengths + 1, "tokens": zstandard.ZstdCompressor(1).compress(planes),
-        }
-        return pd.DataFrame({k: [v] for k, v in row.items()})
+    """docs: key string, train boolean, text. A row for each pack: its number; its documents' keys, whether they train and
+    their tokens, an end included; its different words with the end and the start, sorted, their uses in it and of these
+    the ones in training; and all tokens, as the places of words by falling use."""
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,224 +99,178 @@ def _packed(docs: DataFrame) -> DataFrame:
             for key, train, text in zip(batch["key"], batch["train"], batch["text"], strict=True):
                 data = lowered(text)
                 if hashes and size + len(data) > PACK:
-                    yield made(pack, keys, trains, hashes)
+                    yield _made(pack, keys, trains, hashes)
                     pack, size, keys, trains, hashes = pack + 1, 0, [], [], []
                 size += len(data)
                 keys.append(key)
                 trains.append(bool(train))
                 hashes.append(word_hashes(data))
         if hashes:
-            yield made(pack, keys, trains, hashes)
+            yield _made(pack, keys, trains, hashes)
 
-    kind = "pack long, words array<long>, counts array<long>, keys array<string>, trains array<boolean>, lengths array<long>, tokens binary"
-    return docs.mapInPandas(run, kind)
+    return docs.mapInPandas(run, _PACK)
 
 
-def _tokens(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
-
-
-def _counted(packs: DataFrame) -> DataFrame:
-    """(pack, place, word, count, first) for each word of each pack: its count over all packs; first holds once a word."""
-    rows = packs.select("pack", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("pack", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    of_word = Window.partitionBy("word")
-    out = rows.select("pack", "place", "word", F.sum("n").over(of_word).alias("count"), F.row_number().over(of_word.orderBy("pack")).alias("_r"))
-    return out.select("pack", "place", "word", "count", (F.col("_r") == 1).alias("first"))
-
-
-def fit(packs: DataFrame, counted: DataFrame) -> Automaton:
-    """The automaton in one place. packs, counted: stored tables. Only word states and arcs come to the driver: at most 1 / STATE and, for each
-    length, 1 / ARC rows."""
-    ends = packs.select(F.explode("trains").alias("t")).where("t").count()
-    once = counted.where("first and count > 0")
-    total = once.agg(F.sum("count"), F.count("*")).first()
-    tokens, types = (total[0] or 0) + ends, total[1] + (ends > 0)
-    frequent = once.where(F.col("count") >= max(LEAST, STATE * tokens)).select("word", "count").toPandas()
-    words = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    model = Automaton(tokens, types, words[order], ends)
-    held = np.concatenate([frequent["count"].to_numpy(np.int64)[order], [ends, ends]])  # of the end, and of the start
-    below, suffix_of = model.unigram(held), None
-    for _ in range(ORDER - 1):
-        level = _level(packs, model, held, below, suffix_of)
-        model = replace(model, levels=(*model.levels, level))
-        held, below, suffix_of = level.counts, level.weights, level.suffix
-    return model
-
-
-def _level(packs: DataFrame, model: Automaton, held: np.ndarray, below: np.ndarray, suffix_of: np.ndarray | None) -> Level:
-    """The next level. held: counts of the states before; below: log10 of the arcs without their first word (of word
-    states: the root's); suffix_of: the states before, without their first word."""
-    spark = packs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+class Pack:
+    """A pack's row, read."""
 
-    @tidied
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                word, starts = _states(shared.value, row.words, row.lengths, row.tokens)
-                *_, (_, ask) = shared.value.asked(word, starts)
-                key, n = np.unique(ask[(ask >= 0) & np.repeat(np.asarray(row.trains, bool), np.asarray(row.lengths))], return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n})
-
-    counts = packs.select("words", "trains", "lengths", "tokens").mapInPandas(asked, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    arcs = counts.where(F.col("n") >= max(LEAST, ARC * model.tokens)).toPandas().sort_values("key")
-    keys, n = arcs["key"].to_numpy(np.int64), arcs["n"].to_numpy(np.int64)
-    before, word = np.divmod(keys, model.width)
-    if suffix_of is None:
-        suffix = word
-    else:  # a frequent n-gram's end is at least as frequent, so it has an arc
-        suffix = _found(model.levels[-1].keys, suffix_of[before] * model.width + word)
-    p = (n - DISCOUNT) / held[before]
-    mine, theirs = np.zeros(len(held)), np.zeros(len(held))
-    np.add.at(mine, before, p)
-    np.add.at(theirs, before, 10 ** below[suffix])
-    failure = np.log10(np.maximum(1 - mine, 1e-12) / np.maximum(1 - theirs, 1e-12))
-    return Level(keys, np.log10(p), n, suffix, np.append(failure, 0.0))
-
-
-def _states(model: Automaton, words, lengths, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The word state of each token of a pack, and where its documents start."""
-    of_place = np.append(_found(model.words, np.asarray(words, np.int64).view(np.uint64)), len(model.words))
-    lengths = np.asarray(lengths, np.int64)
-    return of_place[_tokens(data)], np.cumsum(lengths) - lengths
-
-
-# --- the same automaton, each pack holding what its own n-grams need --------------------------------
+    def __init__(self, row):
+        self.words = _keys(row.words, np.uint64)
+        self.trains = np.frombuffer(row.trains, bool)
+        self.lengths = _unsqueezed(row.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        by_use = np.argsort(-_unsqueezed(row.uses), kind="stable").astype(np.int32)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.tokens), np.uint8)
+        self.word = by_use[np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)]
+        self.start = int(np.searchsorted(self.words, _START))
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    """8-byte values, byte plane by byte plane."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+# --- asking and answering ---------------------------------------------------------------------------
 
+_ASK = "kind string, part int, pack long, keys binary, values array<binary>"
+_ANSWER = "kind string, part int, pack long, values array<binary>, types long, total long"
+_ASK_NAMES = [c.split()[0] for c in _ASK.split(", ")]
 
-def _unsqueezed(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).reshape(-1)
 
+@dataclass(frozen=True)
+class Plan:
+    """What all packs go by."""
+
+    order: int
+    ranges: int  # a power of two
+    bits: int  # of an n-gram's hash
+    tokens: int = 0  # in training
+    types: int = 0
 
-def _asks(pack: int, kind: str, ranges: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """Rows of one pack's sorted keys and their values, a row for each range that has any."""
-    cuts = np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64))
-    for part, (lo, hi) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)):
-        if lo < hi:
-            yield kind, part, pack, _squeezed(np.diff(keys[lo:hi], prepend=np.uint64(0))), [_squeezed(v[lo:hi]) for v in values]
+    def asks(self, pack: int, kind: str, keys: np.ndarray, values: np.ndarray, bits: int) -> Iterator[tuple]:
+        """A row for each range that has any of a pack's rising keys."""
+        part = (keys >> np.uint64(bits - self.ranges.bit_length())) >> np.uint64(1)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                yield kind, int(part[lo]), pack, _steps(keys[lo:hi]), [_squeezed(values[lo:hi])]
 
 
 def _answered(rows: pd.DataFrame) -> pd.DataFrame:
-    """All packs' rows of one kind and range. Counts are summed; the answer to each is twice the sum, and one more in the
-    one pack that is to account for the key. Probabilities of states' arcs are summed to backoff weights."""
+    """All packs' rows of one kind and range.
+
+    n1, n2 ...: counts of words and n-grams are summed. Each pack gets, for each of its keys, twice the sum (0 of an n-gram
+    that is no arc), and one more in the one pack that accounts for it; and the numbers of those seen LEAST times. The
+    first row says how many keys were seen, and how often.
+    f1, f2 ...: numbers of arcs and their counts are summed by state; each pack gets those of its states.
+    """
     rows = rows.sort_values("pack")
     kind, part = rows["kind"].iloc[0], rows["part"].iloc[0]
-    keys = [np.cumsum(_unsqueezed(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
-    ends = np.cumsum([len(k) for k in keys])
-    place = np.unique(np.concatenate(keys), return_inverse=True)[1].reshape(-1)
-    del keys
-    firsts, total = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    of = np.uint64 if kind[0] == "n" else np.int64
+    keys = [_keys(k, of) for k in rows["keys"]]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    values = [np.concatenate([_unsqueezed(v[i]) for v in rows["values"]]) for i in range(len(rows["values"].iloc[0]))]
+    seen = total = 0
     if kind[0] == "n":
-        n = np.concatenate([_unsqueezed(v[0], np.int64) for v in rows["values"]])
-        sums = np.zeros(int(place.max()) + 1, np.int64)
-        np.add.at(sums, place, n)
-        held = np.flatnonzero(n > 0)
-        first = np.zeros(len(n), np.int64)
-        first[held[np.unique(place[held], return_index=True)[1]]] = 1
-        firsts, total = np.add.reduceat(first, ends - np.diff(ends, prepend=0)), np.add.reduceat(first * sums[place], ends - np.diff(ends, prepend=0))
-        if kind != "n1":
-            sums[sums < LEAST] = 0
-        answer = np.where(sums[place] > 0, 2 * sums[place] + first, 0)
+        _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        place = place.reshape(-1)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, place, values[0])
+        seen, total, often = int((sums > 0).sum()), int(sums.sum()), sums >= LEAST
+        number = np.cumsum(often) - 1
+        answer = 2 * (sums if kind == "n1" else np.where(often, sums, 0))[place]
+        answer[first] += 1
+        counts = np.split(answer, ends)
+        numbers = [number[p[often[p]]] for p in np.split(place, ends)]
+        out = [[_squeezed(a), _steps(n)] for a, n in zip(counts, numbers, strict=True)]
     else:
-        mine, theirs = (np.bincount(place, np.concatenate([_unsqueezed(v[i], np.float64) for v in rows["values"]])) for i in (0, 1))
-        answer = np.log10(np.maximum(1 - mine, 1e-12) / np.maximum(1 - theirs, 1e-12))[place]
-    data = [_squeezed(a) for a in np.split(answer, ends[:-1])]
-    return pd.DataFrame({"kind": kind, "part": part, "pack": rows["pack"].to_numpy(), "data": data, "firsts": firsts, "total": total})
-
-
-def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes, and the place of each among them; range by range, as that takes less memory."""
-    place, out, n = np.empty(len(hashes), np.int32), [], 0
-    top = (hashes >> np.uint64(60)).astype(np.uint8)
-    for i in range(16):
-        at = np.flatnonzero(top == i)
-        some, inverse = np.unique(hashes[at], return_inverse=True)
-        place[at] = inverse.reshape(-1) + n
-        out.append(some)
-        n += len(some)
-    return np.concatenate(out), place
-
-
-def _words_asked(row) -> tuple[np.ndarray, np.ndarray]:
-    """A pack's words, the end and the start, sorted, and their counts in training."""
-    words = np.asarray(row.words, np.int64).view(np.uint64)
-    keys = np.sort(np.concatenate([words, [_END, _START]]))
-    n = np.zeros(len(keys), np.int64)
-    n[np.searchsorted(keys, words)], n[np.searchsorted(keys, [_END, _START])] = row.counts, int(np.sum(row.trains))
-    return keys, n
-
-
-def _decoded(got: dict[str, list[bytes]], kind: str) -> np.ndarray:
-    of = np.int64 if kind[0] == "n" else np.float64
-    return np.concatenate([np.zeros(0, of), *(_unsqueezed(d, of) for d in got.get(kind, []))])
-
-
-def _worked(row, got: dict[str, list[bytes]], tokens: int, types: int, order: int, last: bool) -> tuple:
-    """What a pack, with the answers it has, still has to ask for, by kind: n2, n3 ... for counts of n-grams and f1, f2 ...
-    for backoff weights of states. If it has all (last): its documents' known tokens, base scores and scores."""
-    words = np.asarray(row.words, np.int64).view(np.uint64)
-    keys = of_word = np.sort(np.concatenate([words, [_END, _START]]))
-    of_place = np.searchsorted(keys, np.append(words, _END)).astype(np.int32)
-    start, always = int(np.searchsorted(keys, _START)), np.searchsorted(keys, [_END, _START])
-    held = _decoded(got, "n1") >> 1
-    state = held >= LEAST
-    state[always] = True
-    lower = (held + 1) / (tokens + types + 1)
-    lengths = np.asarray(row.lengths, np.int64)
-    starts, trained = np.cumsum(lengths) - lengths, np.repeat(np.asarray(row.trains, bool), lengths)
-    word = of_place[_tokens(row.tokens)]
-    if last:
-        known = np.add.reduceat((held > 0)[word], starts, dtype=np.int64)
-        out = np.log10(lower)[word]
-        base = np.add.reduceat(out, starts)
-    at = np.where(state[word], word, np.int32(-1))
-    usual = at >= 0
-    asks: dict[str, tuple] = {}
-    for k in range(2, order + 1):
+        state = np.concatenate(keys)
+        sums = [np.bincount(state, v)[state].astype(np.int64) for v in values]
+        out = [[_squeezed(v) for v in parts] for parts in zip(*(np.split(s, ends) for s in sums), strict=True)]
+    first_row = np.arange(len(rows)) == 0
+    return pd.DataFrame({"kind": kind, "part": part, "pack": rows["pack"].to_numpy(), "values": out, "types": first_row * seen, "total": first_row * total})
+
+
+class Answers:
+    """What a pack has been answered, by kind in the order of ranges."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["kind", "part"])
+        self.of = {k: (list(x["part"]), list(x["values"])) for k, x in rows.groupby("kind")}
+
+    def values(self, kind: str, i: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(_unsqueezed(v[i]) for v in self.of.get(kind, ((), ()))[1])])
+
+    def numbers(self, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, numbers of the states in it)."""
+        for part, v in zip(*self.of.get(kind, ((), ())), strict=True):
+            yield part, _keys(v[1], np.int64)
+
+
+def _levels(pack: Pack, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 up: (length, the number of the shorter n-gram before each token or -1, the sorted hashes of
+    the pack's different n-grams, the number of the one that ends with each token or -1)."""
+    keys, at = pack.words, pack.word
+    for k in range(2, plan.order + 1):
         before = np.concatenate([np.array([-1], np.int32), at[:-1]])
-        before[starts] = start if k == 2 else -1
-        # an n-gram that is frequent has a frequent end
-        asked = np.flatnonzero((before >= 0) & usual & (at >= 0)).astype(np.int32)
-        grams = np.empty(len(asked), np.uint64)
-        for lo in range(0, len(asked), 1 << 18):
-            some = asked[lo : lo + (1 << 18)]
-            grams[lo : lo + len(some)] = mixed(keys[before[some]] * _STEP + of_word[word[some]])
-        grams, place = _distinct(grams)
-        if f"n{k}" not in got and len(grams):
-            asks[f"n{k}"] = grams, np.bincount(place[trained[asked]], minlength=len(grams)).astype(np.int64)
-            return asks, None
-        n = _decoded(got, f"n{k}")
-        first = (n & 1) == 1
-        n >>= 1
-        one = np.zeros(len(grams), np.int32)
-        one[place] = asked  # a place of each
-        arc, behind = n >= LEAST, before[one]
-        p = np.where(arc, (n - DISCOUNT) / np.maximum(held[behind], 1), 0.0)
-        states = np.flatnonzero(state)
-        if last:
-            failure = np.zeros(len(keys) + 1)
-            failure[states] = _decoded(got, f"f{k - 1}")
-            out += failure[before]
-            hit = arc[place]
-            out[asked[hit]] = np.log10(np.where(arc, p, 1.0))[place[hit]]
-        elif f"f{k - 1}" not in got and len(states):
-            counted = arc & first
-            mine, theirs = (np.bincount(behind[counted], v[counted], minlength=len(keys)) for v in (p, lower[at[one]]))
-            asks[f"f{k - 1}"] = keys[states], mine[states], theirs[states]
-        at = np.full(len(at), -1, np.int32)
-        at[asked] = np.where(arc, np.arange(len(grams), dtype=np.int32), np.int32(-1))[place]
-        del before, asked, place
-        keys, held, state, lower = grams, n, arc, p
-    return asks, (known, base, np.add.reduceat(out, starts)) if last else None
+        before[pack.starts] = pack.start if k == 2 else -1
+        there = np.flatnonzero(before >= 0)
+        keys, place = np.unique(mixed(keys[before[there]] * _STEP + pack.words[pack.word[there]]) >> np.uint64(64 - plan.bits), return_inverse=True)
+        at = np.full(len(before), -1, np.int32)
+        at[there] = place.reshape(-1)
+        del there, place
+        yield k, before, keys, at
+
+
+def _counts_asked(row, plan: Plan) -> Iterator[tuple]:
+    """A pack's words and n-grams with their counts in training."""
+    pack = Pack(row)
+    yield from plan.asks(row.pack, "n1", pack.words, _unsqueezed(row.counts), 64)
+    trained = np.repeat(pack.trains, pack.lengths)
+    for k, _, grams, at in _levels(pack, plan):
+        counts = np.bincount(at[trained & (at >= 0)], minlength=len(grams)).astype(np.int64)
+        yield from plan.asks(row.pack, f"n{k}", grams, counts, plan.bits)
+
+
+def _counts(got: Answers, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key, its count and whether this pack accounts for it."""
+    n = got.values(kind, 0)
+    return n >> 1, (n & 1) == 1
+
+
+def _arcs_asked(row, got: Answers, plan: Plan) -> Iterator[tuple]:
+    """A pack's states, with the number and the counts of those of their arcs that it accounts for."""
+    pack = Pack(row)
+    held, _ = _counts(got, "n1")
+    for k, before, grams, at in _levels(pack, plan):
+        n, mine = _counts(got, f"n{k}")
+        mine &= n >= LEAST
+        there = at >= 0
+        behind = np.zeros(len(grams), np.int32)
+        behind[at[there]] = before[there]  # the state before an n-gram is the same at all its places
+        state = held >= LEAST
+        arcs, counts = (np.bincount(behind[mine], w, len(held))[state].astype(np.int64) for w in (None, n[mine]))
+        lo = 0
+        for part, numbers in got.numbers(f"n{k - 1}"):
+            hi = lo + len(numbers)
+            if lo < hi:
+                yield f"f{k - 1}", part, row.pack, _steps(numbers), [_squeezed(arcs[lo:hi]), _squeezed(counts[lo:hi])]
+            lo = hi
+        held = n
+
+
+def _scored(row, got: Answers, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The traversal, at all places of a pack at once: known tokens, base scores and scores of its documents."""
+    pack = Pack(row)
+    held, _ = _counts(got, "n1")
+    known = np.add.reduceat((held > 0)[pack.word], pack.starts, dtype=np.int64)
+    p = ((held + 1) / (plan.tokens + plan.types + 1))[pack.word]
+    base = np.add.reduceat(np.log10(p), pack.starts)
+    for k, before, _, at in _levels(pack, plan):
+        n, _ = _counts(got, f"n{k}")
+        state, left = held >= LEAST, np.ones(len(held) + 1)  # the last for no state, as of all that are no states
+        left[:-1][state] = (held[state] - got.values(f"f{k - 1}", 1) + DISCOUNT * got.values(f"f{k - 1}", 0)) / held[state]
+        p *= left[before]
+        there = at >= 0
+        there[there] = n[at[there]] >= LEAST
+        p[there] += (n[at[there]] - DISCOUNT) / held[before[there]]
+        held = n
+    return known, base, np.add.reduceat(np.log10(p), pack.starts)
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,64 +278,67 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     Learns from the rows for which train holds (null: not). Null and empty texts have one token, the end. Without
     training rows nothing is known and both scores are 0. Repeated rows are learned from, and scored, each; ties score
-    alike; an empty table gives no rows; other columns are left out. Texts are never shuffled.
+    alike; an empty table gives no rows; other columns are left out. Texts are read once; they and their tokens are
+    never shuffled, their different n-grams are. Words are told apart by hashes of 64 bits, n-grams by as many as make
+    one in 2^SPARE_BITS meet another.
     """
-    tables = Scratch(docs.sparkSession)
+    spark, order = docs.sparkSession, ORDER
     rows = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    packs = tables.stored(_packed(rows), "packs")
-    n_all = packs.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    ends = packs.select(F.explode("trains").alias("t")).where("t").count()
-    ranges, order = 1 + n_all // RANGE, ORDER
-    kind = "kind string, part int, pack long, data binary, firsts long, total long"
-
-    def gathered(theirs: pd.DataFrame) -> dict[str, list[bytes]]:
-        theirs = theirs[["kind", "part", "data"]].sort_values(["kind", "part"])
-        return {k: list(of["data"]) for k, of in theirs.groupby("kind")}
-
-    def words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield pd.DataFrame(list(_asks(row.pack, "n1", ranges, *_words_asked(row))), columns=columns)
-
-    def asking(tokens: int, types: int):
-        def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-            got, out = gathered(theirs), []
+    schema = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions()))
+    with scratch(spark) as s:
+        packs = s.bucketed(_packed(rows), "packs", "pack", buckets)
+
+        def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for lengths, trains in zip(batch["lengths"], batch["trains"], strict=True):
+                    yield pd.DataFrame({"tokens": [int(_unsqueezed(lengths).sum())], "ends": [int(np.frombuffer(trains, bool).sum())]})
+
+        n_all, ends = packs.select("lengths", "trains").mapInPandas(sizes, "tokens long, ends long").agg(F.sum("tokens"), F.sum("ends")).first()
+        n_all, ends = n_all or 0, ends or 0
+        plan = Plan(order, 1 << max(0, (n_all // RANGE).bit_length() - 1), min(64, max(1, n_all).bit_length() + SPARE_BITS))
+
+        def counts_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    yield pd.DataFrame(list(_counts_asked(row, plan)), columns=_ASK_NAMES)
+
+        def answers_to(asks: DataFrame) -> DataFrame:
+            """All answers, with those to more asks."""
+            dealt = asks.repartition(max(plan.ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))), "kind", "part")
+            answered = dealt.groupBy("kind", "part").applyInPandas(_answered, _ANSWER)
+            return s.bucketed(answered.repartition(buckets, "pack"), "answers", "pack", buckets)
+
+        def arcs_asked(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            got = Answers(theirs)
+            asks = [ask for row in mine.itertuples(index=False) for ask in _arcs_asked(row, got, plan)]
+            give_back()
+            return pd.DataFrame(asks, columns=_ASK_NAMES)
+
+        def by_pack(answers: DataFrame, run, kind: str) -> DataFrame:
+            held = answers.select("pack", "kind", "part", "values")
+            return packs.drop("counts").groupBy("pack").cogroup(held.groupBy("pack")).applyInPandas(run, kind)
+
+        answers = answers_to(packs.mapInPandas(tidied(counts_asked), _ASK))
+        types, total = answers.where("kind = 'n1'").agg(F.sum("types"), F.sum("total")).first()
+        # the start is no token
+        plan = replace(plan, tokens=(total or 0) - ends, types=(types or 0) - (ends > 0))
+        s.settle()
+        if order > 1:
+            answers = answers_to(by_pack(answers, arcs_asked, _ASK))
+            s.settle()
+
+        def scored(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            got, parts = Answers(theirs), []
             for row in mine.itertuples(index=False):
-                for k, ask in _worked(row, got, tokens, types, order, False)[0].items():
-                    out.extend(_asks(row.pack, k, ranges, *ask))
+                known, base, full = _scored(row, got, plan)
+                trains = np.frombuffer(row.trains, bool)
+                columns = [list(row.keys), ~trains, _unsqueezed(row.lengths), known, plan.tokens, base, full]
+                parts.append(pd.DataFrame(dict(zip(names, columns, strict=True))))
             give_back()
-            return pd.DataFrame(out, columns=columns)
-
-        return run
-
-    columns, asked = ["kind", "part", "pack", "keys", "values"], "kind string, part int, pack long, keys binary, values array<binary>"
-    asks = packs.select("pack", "words", "counts", "trains").mapInPandas(tidied(words_asked), asked)
-    answers = tables.stored(asks.groupBy("kind", "part").applyInPandas(_answered, kind), "answers1")
-    firsts, total = answers.agg(F.sum("firsts"), F.sum("total")).first()
-    tokens, types = (total or 0) - ends, (firsts or 0) - (ends > 0)  # the start is no token
-    packs = packs.drop("counts")
-    for step in range(2, order + 2 if order > 1 else 2):
-        tables.settle()
-        asks = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(asking(tokens, types), asked)
-        answers = answers.unionByName(tables.stored(asks.groupBy("kind", "part").applyInPandas(_answered, kind), f"answers{step}"))
-    tables.settle()
-
-    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        got, parts = gathered(theirs), []
-        for row in mine.itertuples(index=False):
-            known, base, full = _worked(row, got, tokens, types, order, True)[1]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "key": list(row.keys), "held_out": ~np.asarray(row.trains, bool), "n_tokens": np.asarray(row.lengths, np.int64),
-                        "n_known": known, "train_tokens": tokens, "base_score": base, "score": full,
-                    }
-                )
-            )
-        give_back()
-        return pd.concat(parts) if parts else pd.DataFrame(columns=names)
+            return pd.concat(parts) if parts else pd.DataFrame(columns=names)
 
-    schema = "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    names = [c.split()[0] for c in schema.split(", ")]
-    out = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(run, schema)
-    return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *names[1:])
+        out = by_pack(answers, scored, schema).withColumnRenamed("key", "_key")
+        out = out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), *names[1:])
+        return Scratch(spark).stored(out, "scores")

@@ -223,70 +223,67 @@ def test_scores_of_odd_rows(spark):
     assert lm.score(documents(spark, []), F.lit(True)).count() == 0
 
 
+class Plain:
+    """The automaton in dictionaries: states are n-grams (tuples of words; None ends a text, START starts it)."""
+
+    START = ("start",)
+
+    def __init__(self, texts, order):
+        self.order, self.count, self.arcs = order, Counter(), {}
+        for t in texts:
+            tokens = [self.START, *words(t), None]
+            for k in range(1, order + 1):  # an n-gram goes no further back than the start
+                self.count.update(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+        self.tokens = sum(c for g, c in self.count.items() if len(g) == 1 and g != (self.START,))
+        self.types = len([g for g in self.count if len(g) == 1 and g != (self.START,)])
+        for g, c in self.count.items():
+            if len(g) > 1 and c >= lm.LEAST:
+                self.arcs.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(self, state, w):
+        """state: an n-gram seen LEAST times, () the root."""
+        if not state:
+            return (self.count[w,] + 1) / (self.tokens + self.types + 1)
+        arcs, n = self.arcs.get(state, {}), self.count[state]
+        left = (n - sum(arcs.values()) + lm.DISCOUNT * len(arcs)) / n
+        return max(arcs.get(w, 0) - lm.DISCOUNT, 0) / n + left * self.p(state[1:], w)
+
+    def after(self, history):
+        """The state of the longest n-gram that ends a history."""
+        for k in range(min(self.order - 1, len(history)), 0, -1):
+            if self.count[tuple(history[-k:])] >= lm.LEAST:
+                return tuple(history[-k:])
+        return ()
+
+    def score(self, text):
+        total, history = 0.0, [self.START]
+        for w in [*words(text), None]:
+            total += math.log10(self.p(self.after(history), w))
+            history.append(w)
+        return total
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_automaton_is_a_distribution(spark, monkeypatch, order):
-    """After any history, the probabilities of all tokens and of an unknown one add up to 1; and a plain traversal with
-    states and failure arcs agrees."""
+    """A plain traversal with states and failure arcs agrees; after any history the probabilities of all tokens and of an
+    unknown one add up to 1."""
     monkeypatch.setattr(lm, "ORDER", order)
-    monkeypatch.setattr(lm, "STATE", 1e-9)
-    monkeypatch.setattr(lm, "ARC", 1e-9)
+    monkeypatch.setattr(lm, "PACK", 1 << 9)
+    monkeypatch.setattr(lm, "RANGE", 1 << 7)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices("abcdef", weights=[9, 5, 3, 2, 1, 1], k=rng.randint(0, 9)))) for i in range(80)] + [(80, "once")]
-    docs = documents(spark, [(k, t, "en", "s") for k, t in rows])
-    tables = Scratch(spark)
-    packs = tables.stored(lm._packed(docs.select(F.col("doc_id").cast("string").alias("key"), F.lit(True).alias("train"), "text")), "packs")
-    m = lm.fit(packs, tables.stored(lm._counted(packs), "counted"))
-    count = Counter(w for _, t in rows for w in [*words(t), None])
-    names = {int(word_hashes(w.encode())[0]): w for w in count if w is not None}
-    states = [names[int(h)] for h in m.words] + [None, "<start>"]
-    uni = {w: float(m.unigram(np.array([c]))[0]) for w, c in count.items()}
-    unknown = float(m.unigram(np.array([0]))[0])
-
-    def followed(level, state, w):
-        """The arc's place, or None."""
-        if state < 0 or w not in states[:-1]:
-            return None
-        at = np.flatnonzero(m.levels[level].keys == state * m.width + states.index(w))
-        return int(at[0]) if len(at) else None
-
-    def log_p(level, state, w):
-        """level: of the state; -1 is the root."""
-        if level < 0:
-            return uni.get(w, unknown)
-        at = followed(level, state, w)
-        if at is not None:
-            return m.levels[level].weights[at]
-        lower = int(m.levels[level - 1].suffix[state]) if level else -1
-        return m.levels[level].failure[state] + log_p(level - 1, lower, w)
-
-    def after(history):
-        """The state of the longest n-gram that ends a history."""
-        for k in range(min(order - 1, len(history)), 0, -1):
-            gram = history[-k:]
-            if gram[0] not in states:
-                continue
-            state = states.index(gram[0])
-            for level, w in enumerate(gram[1:]):
-                state = followed(level, state, w) if state is not None else None
-            if state is not None:
-                return k - 1, state
-        return -1, -1
-
-    assert "once" not in states and len(m.levels) == order - 1 and all(len(x.keys) and (x.suffix >= 0).all() for x in m.levels)
-    got = {r.doc_id: r.score for r in lm.score(docs, F.lit(True)).collect()}
+    plain = Plain([t for k, t in rows if k % 5], order)
+    got = {r.doc_id: r.score for r in lm.score(documents(spark, [(k, t, "en", "s") for k, t in rows]), F.col("doc_id") % 5 != 0).collect()}
+    every = [w for g in plain.count if len(g) == 1 for w in g if w != plain.START]
     for k, t in rows:
-        history, total = ["<start>"], 0.0
-        for w in [*words(t), None]:
-            level, state = after(history)
-            assert sum(10 ** log_p(level, state, x) for x in [*count, "unknown"]) == pytest.approx(1)
-            total += log_p(level, state, w)
-            history.append(w)
-        assert got[k] == pytest.approx(total)
+        assert got[k] == pytest.approx(plain.score(t))
+        history = [plain.START, *words(t)]
+        for i in range(1, len(history) + 1):
+            assert sum(plain.p(plain.after(history[:i]), w) for w in [*every, "unknown"]) == pytest.approx(1)
 
 
 def test_arcs_do_not_depend_on_the_corpus_size(spark, monkeypatch):
-    """What is seen LEAST times is an arc however much else is learned: the scores are those of the gathered automaton
-    without shares, over several packs and ranges, also where its own shares would leave out such n-grams."""
+    """What is seen LEAST times is an arc however much else is learned, over several packs and ranges."""
     monkeypatch.setattr(lm, "PACK", 1 << 14)
     monkeypatch.setattr(lm, "RANGE", 1 << 13)
     rng = random.Random(9)
@@ -294,16 +291,16 @@ def test_arcs_do_not_depend_on_the_corpus_size(spark, monkeypatch):
     rows = [(i, " ".join([rng.choice(pairs), *rng.choices("abcdefgh", k=600)])) for i in range(140)] + [(140 + i, t) for i, t in enumerate(pairs)]
     docs = documents(spark, [(k, t, "en", "s") for k, t in rows])
     got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= 0).collect()}
-    monkeypatch.setattr(lm, "STATE", 0)
-    monkeypatch.setattr(lm, "ARC", 0)
-    tables = Scratch(spark)
-    packs = tables.stored(lm._packed(docs.select(F.col("doc_id").cast("string").alias("key"), F.lit(True).alias("train"), "text")), "packs")
-    assert packs.count() > 4
-    m = lm.fit(packs, tables.stored(lm._counted(packs), "counted"))
-    assert m.tokens * 5e-5 > lm.LEAST
-    count = Counter(w for _, t in rows for w in [*words(t), None])
-    of = {int(h): i for i, h in enumerate(m.words)}
-    for k, t in rows:
-        state = np.array([*[of.get(int(h), -1) for h in word_hashes(t.encode())], len(m.words)])
-        unigram = m.unigram(np.array([count[w] for w in [*words(t), None]]))
-        assert got[k] == pytest.approx(m.traverse(state, unigram, np.array([0])).sum())
+    plain = Plain([t for _, t in rows], lm.ORDER)
+    assert all(got[k] == pytest.approx(plain.score(t)) for k, t in rows)
+
+
+def test_scores_at_shipped_parameters(spark):
+    """The query's own scores against the plain automaton, over all documents."""
+    from sparkloom.llm.queries import op10_lm_score
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, (r.text or "").translate(LOWER)) for r in table(spark, sf, "documents").collect()]
+    got = {r.doc_id: r for r in op10_lm_score(spark, sf).collect()}
+    plain = Plain([t for k, t in rows if not got[k].held_out], lm.ORDER)
+    assert len(got) == len(rows) and all(got[k].score == pytest.approx(plain.score(t)) for k, t in rows)
