@@ -158,19 +158,22 @@ def tidied(run):
 # --- words of a text as 64-bit hashes, in numpy -------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Bytes that are hashed at once, so that a very long text needs bounded memory beside its hashes.
+BLOCK = 1 << 20
 
+
+@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        n = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    """Those of _ODD up to n - 1, and of its inverse."""
+    out = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -184,19 +187,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of UTF-8 bytes, in order, a 64-bit hash and its bytes: a polynomial of them, from prefix sums, then
+    mixed. A word over several blocks is put together from its parts."""
+    sums_, sizes_, held, size = [], [], 0, 0  # held, size: of the word that is open at a block's end
+    for at in range(0, len(data), BLOCK):
+        b = np.frombuffer(data, np.uint8, min(BLOCK, len(data) - at), at)
+        up, down = _powers(1 << max(16, len(b).bit_length()))
+        inside = np.zeros(len(b) + 2, bool)
+        np.logical_not(_IS_SPACE[b], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        sums, n = (sums[end] - sums[start]) * down[start], (end - start).astype(np.uint64)
+        if size and len(start) and start[0] == 0:
+            sums[0] = np.uint64((held + pow(_ODD, size, 1 << 64) * int(sums[0])) & (1 << 64) - 1)
+            n[0] += np.uint64(size)
+        elif size:
+            sums, n = np.concatenate([np.array([held], np.uint64), sums]), np.concatenate([np.array([size], np.uint64), n])
+        held = size = 0
+        if len(end) and end[-1] == len(b) and at + BLOCK < len(data):
+            held, size, sums, n = int(sums[-1]), int(n[-1]), sums[:-1], n[:-1]
+        sums_.append(sums)
+        sizes_.append(n)
+    if size:
+        sums_.append(np.array([held], np.uint64))
+        sizes_.append(np.array([size], np.uint64))
+    if not sums_:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sizes = np.concatenate(sizes_) if len(sizes_) > 1 else sizes_[0]
+    return mixed((np.concatenate(sums_) if len(sums_) > 1 else sums_[0]) + sizes), sizes
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes, in order: a polynomial of its bytes, from prefix sums, then mixed."""
-    b = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(b) + 2, bool)
-    np.logical_not(_IS_SPACE[b], out=inside[1:-1])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[::2], edges[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b + np.uint64(1)) * up[: len(b)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return hashed_words(data)[0]
 
 
 def lowered(text: str | None) -> bytes:

@@ -7,7 +7,7 @@ that the weights did not see are calibrated by isotonic regression.
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, scratch, small
+from .common import BLOCK, Scratch, hashed_words, mixed, scratch, small
 
 #: Random features; the kernel's width in standard deviations; the ridge term for each row; bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 192, 3.0, 1e-4, 512, 17
 
+#: Partitions whose sums are added up in one task.
+GROUP = 64
+
 STATS = (
     "log_words", "word_len", "long_words", "symbols", "digits", "upper", "punct", "high", "bang", "repeat_words",
     "dup_lines", "line_len", "unique_words", "top_word", "other_space",
@@ -30,39 +33,37 @@ _KINDS = np.zeros((6, 256), np.float64)
 for _i, _chars in enumerate((b"#*$%&|<>", b"0123456789", bytes(range(65, 91)), b".,;:!?'\"()-", bytes(range(128, 256)), b"!")):
     _KINDS[_i, list(_chars)] = 1
 
-#: Words whose repeats are counted at once; longer texts are taken in parts of this many bytes.
-PART = 1 << 22
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def statistics(text: str | None) -> np.ndarray:
-    """The statistics of a whole text, as shares of its words or bytes; an empty one has 0 for all."""
+    """The statistics of a whole text, as shares of its words or bytes; an empty one has 0 for all. Words and windows of
+    three words are counted by 64-bit hashes, so a very long text takes some 30 bytes a word."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    parts = [data[i : i + PART] for i in range(0, len(data), PART)]
     out = np.zeros(len(STATS))
-    n_words = n_repeat = n_top = n_unique = n_long = n_chars = 0
-    bytes_ = np.zeros(256)
-    for part in parts:
-        bytes_ += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
-        w = part.split()
-        if not w:
-            continue
-        n = Counter(w)
-        thrice = Counter(zip(w, w[1:], w[2:])) if len(w) > 2 else {}
-        n_repeat += sum(c for c in thrice.values() if c > 1) if len(thrice) < len(w) - 2 else 0
-        n_words += len(w)
-        n_unique += len(n)
-        n_top += max(n.values())
-        n_long += sum(c for x, c in n.items() if len(x) > 20)
-        n_chars += sum(map(len, w))
-    if n_words:
-        lines = [x for x in data.split(b"\n") if x.strip()]
-        symbols, digits, upper, punct, high, bang = _KINDS @ bytes_
-        total = len(data)
-        out[:] = (
-            np.log1p(n_words), n_chars / n_words, n_long / n_words, min(symbols / n_words, 4), digits / total, upper / n_chars,
-            punct / n_words, high / total, min(bang / n_words, 3), n_repeat / n_words, (len(lines) - len(set(lines))) / len(lines),
-            np.log1p(total / len(lines)), n_unique / n_words, n_top / n_words, (total - n_chars) / total,
-        )
+    h, sizes = hashed_words(data)
+    n_words, total = len(h), len(data)
+    if not n_words:
+        return out
+    uses = np.unique(h, return_counts=True)[1]
+    n_repeat = 0
+    if n_words > 2:
+        windows = np.unique(mixed(mixed(h[:-2] * _STEP + h[1:-1]) * _STEP + h[2:]), return_counts=True)[1]
+        n_repeat = int(windows[windows > 1].sum())
+    n_chars, bytes_ = int(sizes.sum()), np.zeros(256)
+    for at in range(0, total, BLOCK):
+        bytes_ += np.bincount(np.frombuffer(data, np.uint8, min(BLOCK, total - at), at), minlength=256)
+    n_lines, lines = 0, set()
+    for line in io.BytesIO(data):
+        if line.strip():
+            n_lines += 1
+            lines.add(line.removesuffix(b"\n"))
+    symbols, digits, upper, punct, high, bang = _KINDS @ bytes_
+    out[:] = (
+        np.log1p(n_words), n_chars / n_words, (sizes > 20).sum() / n_words, min(symbols / n_words, 4), digits / total, upper / n_chars,
+        punct / n_words, high / total, min(bang / n_words, 3), n_repeat / n_words, (n_lines - len(lines)) / n_lines,
+        np.log1p(total / n_lines), len(uses) / n_words, uses.max() / n_words, (total - n_chars) / total,
+    )
     return out
 
 
@@ -121,7 +122,8 @@ def fit(rows: DataFrame) -> Model:
     """rows: x array<double> of statistics, y 0 or 1, fold: 0 is calibrated on, the others are fitted. Without rows to
     fit, every score is 0.5.
 
-    Each partition sends its sums of the normal equations, one row for each feature; these are added up by a shuffle.
+    Each partition sends its sums of the normal equations, one row for each feature; these are added up by shuffles,
+    those of some GROUP partitions first.
     """
     cols = [F.avg(F.get("x", i)).alias(f"m{i}") for i in range(len(STATS))] + [F.stddev_pop(F.get("x", i)).alias(f"s{i}") for i in range(len(STATS))]
     seen = rows.agg(F.count("*").alias("n"), *cols).first()
@@ -149,8 +151,10 @@ def fit(rows: DataFrame) -> Model:
         if held:
             yield pd.DataFrame({"i": list(held), "v": list(held.values())})
 
-    fitted = rows.where("fold <> 0")
-    parts = fitted.select("x", "y").mapInPandas(sums, "i int, v array<double>")
+    fitted = rows.where("fold <> 0").select("x", "y")
+    parts, n_parts = fitted.mapInPandas(sums, "i int, v array<double>"), fitted.rdd.getNumPartitions()
+    if n_parts > GROUP:
+        parts = parts.repartition(n_parts // GROUP, F.spark_partition_id()).mapInPandas(added, "i int, v array<double>")
     got = parts.repartition(8, "i").mapInPandas(added, "i int, v array<double>").orderBy("i").collect()  # FEATURES + 1 rows
     ata = np.array([r.v for r in got])
     n = ata[-1, -2] if len(ata) else 0  # the constant feature's square
@@ -216,17 +220,17 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     scored each; ties get equal scores; empty tables give no rows; other columns are left out. Texts are read once: the
     statistics of all rows are stored, and texts are never shuffled.
     """
-    tables = Scratch(docs.sparkSession)
     every = docs.select(F.col(key).alias(key), learn.alias("learn"), stats_of(F.col(text)).alias("x"))
-    stats = tables.stored(every, "stats")
     with scratch(docs.sparkSession) as s:
+        stats = s.stored(every, "stats")
         model = fit(s.stored(training_rows(stats.where("learn").select(key, "x"), labels, key, label), "rows"))
-    out = stats.select(key, (~F.col("learn")).alias("held_out"), scored(F.col("x"), model).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        out = stats.select(key, (~F.col("learn")).alias("held_out"), scored(F.col("x"), model).alias("score"))
+        return Scratch(docs.sparkSession).stored(out.withColumn("predicted", (F.col("score") >= threshold).cast("int")), "scores")
 
 
 def keep(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The documents that score the threshold or more, with their own columns. Scores are worked out from the text again
-    rather than joined, so that texts are not shuffled."""
+    rather than joined, so that texts are not shuffled. Null and empty texts are scored like any other, rows that repeat
+    are kept or go alike, without labels all stay, and an empty table stays empty."""
     model = train(docs, labels, learn, key, text, label)  # on rows with labels only
     return docs.where(scored_text(F.col(text), model) >= threshold)
