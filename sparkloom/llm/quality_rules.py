@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, words
+from .common import Scratch, scratch, small, words
 
 #: Fixed by the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, "[#*$%&|<>]"
@@ -31,8 +31,8 @@ def _once(value: Column, use) -> Column:
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more. Windows are compared by hash; only if some are equal they
-    are sorted with their positions, those with an equal neighbour are taken, and the length of the union of [p, p + 3)
+    """Words that lie in a 3-word window found twice or more. Windows are compared by 64-bit hash, which takes two different
+    ones of a text of a million words for equal in one text of 30 million; only if some are equal they are sorted with their positions, those with an equal neighbour are taken, and the length of the union of [p, p + 3)
     over their positions is added up."""
 
     def hashes(n: Column) -> Column:
@@ -71,20 +71,20 @@ def metrics(text: Column) -> Column:
     return _once(words(text), of)
 
 
-def failures(m: Column) -> dict[str, Column]:
+def failures(m: Column, min_words: int = MIN_WORDS) -> dict[str, Column]:
     """The rules that measures break."""
     return {
-        "base_failed": (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words),
+        "base_failed": (m.n_words < min_words) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words),
         "fail_symbols": 100 * m.n_symbols > MAX_SYMBOL_PERCENT * m.n_words,
         "fail_lines": 100 * m.n_dup_lines > MAX_DUP_LINE_PERCENT * m.n_words,
     }
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Adds a struct `m` of the measures and the rules' failures."""
 
     def all_of(m: Column) -> Column:
-        return F.struct(*[m[k].alias(k) for k in METRICS], *[c.alias(k) for k, c in failures(m).items()])
+        return F.struct(*[m[k].alias(k) for k in METRICS], *[c.alias(k) for k, c in failures(m, min_words).items()])
 
     return docs.withColumn("m", _once(metrics(F.col(text)), all_of))
 
@@ -103,19 +103,26 @@ def counted(rows: DataFrame, host: str) -> DataFrame:
 def shrunk(by_host: DataFrame) -> DataFrame:
     """Adds each rule's shrunk rate to a stored counted().
 
-    The prior of each rule is a beta distribution with the mean and variance of the hosts' own rates (each host counts
-    once); where the hosts do not differ, or there is one only, its weight is that of all documents of a mean host.
+    The prior of each rule is a beta distribution, fitted to the hosts by moments. Its mean is the share of all documents
+    that fail. How far the hosts' rates lie from it is due to their own differences and to sampling; the latter, which
+    is known from their sizes, is taken off, and what is left gives the prior's weight in documents. Where nothing is
+    left, or there is one host only, hosts do not differ, and the weight is that of all documents; it is 1 at least.
     """
-    rates = {r: F.col(r) / F.col("n_docs") for r in RULES}
-    moments = [F.avg("n_docs").alias("docs")]
+    n = F.col("n_docs").cast("double")
+    sums = [F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(n * n).alias("squares")]
     for r in RULES:
-        moments += [F.avg(rates[r]).alias(f"mean_{r}"), F.var_pop(rates[r]).alias(f"var_{r}")]
-    prior = by_host.agg(*moments).first()  # one row
+        sums += [F.sum(r).alias(f"failed_{r}"), F.sum(F.col(r) * F.col(r) / n).alias(f"spread_{r}")]
+    all_ = by_host.agg(*sums).first()  # one row
 
     def rate(r: str) -> Column:
-        mean, var, docs = prior[f"mean_{r}"] or 0.0, prior[f"var_{r}"] or 0.0, prior["docs"] or 0.0
-        fitted = mean * (1 - mean) / var - 1 if var > 0 else docs
-        weight = min(fitted, docs) if fitted > 0 else docs
+        docs, hosts, failed = all_["docs"] or 0.0, all_["hosts"], all_[f"failed_{r}"] or 0
+        mean = failed / docs if docs else 0.0
+        weight = docs
+        if 0 < mean < 1 and hosts > 1:
+            own = (all_[f"spread_{r}"] - docs * mean * mean) / (mean * (1 - mean)) - (hosts - 1)
+            likeness = own / (docs - all_["squares"] / docs - (hosts - 1)) if docs > hosts else 0.0
+            if likeness > 0:
+                weight = max(1.0, 1 / likeness - 1)
         return (F.col(r) + F.lit(weight * mean)) / (F.col("n_docs") + F.lit(weight))
 
     return by_host.withColumns({f"rate_{r}": rate(r) for r in RULES})
@@ -139,7 +146,7 @@ def _kept(m: Column) -> Column:
     return ~m.base_failed & ~soft & ~F.col("reject")
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Per row: key, host, the five measures, base_failed, fail_symbols, fail_lines and kept.
 
     Null and empty texts have no words and fail; words are taken from whole texts, in the row, so a long text costs its
@@ -148,22 +155,23 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str =
     texts) between the two passes, in the shared folder; hosts are as many as there are, so they are broadcast only
     where counted to be few.
     """
-    tables = Scratch(docs.sparkSession)
     keyed = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
-    rows = tables.stored(measured(keyed).drop("text"), "measured")
-    by_host = tables.stored(counted(rows, "host"), "hosts")
-    out = _with_verdicts(rows, small(shrunk(by_host), by_host.count()), "host")
-    return out.select(F.col("key").alias(key), F.col("host").alias(host), "m.*", _kept(F.col("m")).alias("kept"))
+    with scratch(docs.sparkSession) as s:
+        rows = s.stored(measured(keyed, min_words=min_words).drop("text"), "measured")
+        by_host = s.stored(counted(rows, "host"), "hosts")
+        out = _with_verdicts(rows, small(shrunk(by_host), by_host.count()), "host")
+        out = out.select(F.col("key").alias("_key"), F.col("host").alias("_host"), "m.*", _kept(F.col("m")).alias("kept"))
+        return Scratch(docs.sparkSession).stored(out.withColumnsRenamed({"_key": key, "_host": host}), "judged")
 
 
-def keep(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that are kept, with their own columns. Texts are measured twice rather than stored."""
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
-    by_host = Scratch(docs.sparkSession).stored(counted(measured(packed.select("host", "text")), "host"), "hosts")
-    rows = _with_verdicts(packed, small(shrunk(by_host), by_host.count()), "host")
-
-    def verdict(m: Column) -> Column:
-        return _kept(F.struct(*[m[k].alias(k) for k in METRICS], *[c.alias(k) for k, c in failures(m).items()]))
+def keep(docs: DataFrame, host: str = "source", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents that are kept, with their own columns.
 
-    # one expression, so that the measures are not worked out again where the optimizer moves the filter
-    return rows.where(_once(metrics(F.col("text")), verdict)).select("row.*")
+    Texts are measured once and stored beside their measures; hosts' verdicts are joined to that. Null and empty texts
+    go, rows that repeat are judged each, a null host has no verdict, and an empty table stays empty.
+    """
+    tables = Scratch(docs.sparkSession)
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
+    rows = tables.stored(measured(packed, min_words=min_words).drop("text"), "measured")
+    by_host = tables.stored(counted(rows, "host"), "hosts")
+    return _with_verdicts(rows, small(shrunk(by_host), by_host.count()), "host").where(_kept(F.col("m"))).select("row.*")

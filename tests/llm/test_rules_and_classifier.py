@@ -1,12 +1,16 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.llm import common
 from sparkloom.llm import quality_classifier as qc
 from sparkloom.llm import quality_rules as qr
 from sparkloom.llm.common import remainder
+from sparkloom.llm.queries import op1_quality_rules
 from sparkloom.sources.tables import table
 
 from .helpers import documents, repeat_words, words
@@ -68,6 +72,52 @@ def test_shrinking_needs_evidence(spark):
     assert 0 < hosts["tiny"].rate_any_failed < 1 and hosts["s1"].rate_any_failed < 0.05
 
 
+def test_verdicts_equal_a_plain_version(spark):
+    """The query's kept, and the shrunk rates, against loops over all documents."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.doc_id, r.text, r.source) for r in table(spark, sf, "documents").select("doc_id", "text", "source").collect()]
+    failed = {}
+    for k, t, _ in rows:
+        n, _, symbols, dup, repeat = measures(t)
+        base, sym, lines = n < 50 or 100 * repeat > 50 * n, 100 * symbols > 20 * n, 100 * dup > 10 * n
+        failed[k] = base, sym, lines, base or sym or lines
+    hosts = {}
+    for k, _, s in rows:
+        if s is not None:
+            held = hosts.setdefault(s, [0] * 5)
+            for i, x in enumerate((1, *failed[k])):
+                held[i] += x
+    rates = {s: [] for s in hosts}
+    docs = sum(h[0] for h in hosts.values())
+    for i in range(1, 5):
+        p = sum(h[i] for h in hosts.values()) / docs
+        spread = sum(h[0] * (h[i] / h[0] - p) ** 2 for h in hosts.values())
+        weight = docs
+        if 0 < p < 1:
+            likeness = (spread / (p * (1 - p)) - (len(hosts) - 1)) / (docs - sum(h[0] ** 2 for h in hosts.values()) / docs - (len(hosts) - 1))
+            weight = max(1, 1 / likeness - 1) if likeness > 0 else docs
+        for s, h in hosts.items():
+            rates[s].append((h[i] + weight * p) / (h[0] + weight))
+    got = {r.source: [r[f"rate_{x}"] for x in qr.RULES] for r in qr.shrunk(qr.counted(qr.measured(table(spark, sf, "documents")), "source")).collect()}
+    assert got.keys() == rates.keys() and all(got[s] == pytest.approx(rates[s]) for s in rates)
+
+    def kept(k, s):
+        base, sym, lines, _ = failed[k]
+        _, sym_rate, line_rate, any_rate = rates.get(s, (0, 1, 1, 0))
+        return not (base or (sym and sym_rate >= qr.SOFT_RATE) or (lines and line_rate >= qr.SOFT_RATE) or any_rate >= qr.HOST_RATE)
+
+    judged = {r.doc_id: r.kept for r in op1_quality_rules(spark, sf).collect()}
+    assert judged == {k: kept(k, s) for k, _, s in rows} and 0 < sum(judged.values()) < len(judged)
+
+
+def test_sampling_variance_is_no_difference(spark):
+    """Small hosts that fail at one rate by chance are all shrunk to about that rate."""
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(f"h{i}", 10, *[sum(rng.random() < 0.3 for _ in range(10))] * 4) for i in range(400)], "host string, n_docs long, " + ", ".join(f"{r} long" for r in qr.RULES))
+    got = [r.rate_any_failed for r in qr.shrunk(rows).collect()]
+    assert max(got) - min(got) < 0.1 and abs(sum(got) / 400 - 0.3) < 0.03
+
+
 def test_keep_returns_documents(spark):
     docs = documents(spark, ODD + [(i, good(i), "en", "s") for i in range(100, 120)], clashing=True)
     out = qr.keep(docs)
@@ -82,7 +132,8 @@ def test_empty(spark, make):
 def test_native(spark, sf):
     from sparkloom.plans.frontdoor import explained
 
-    assert "Python" not in explained(qr.judge(table(spark, sf, "documents"))) and "Arrow" not in explained(qr.keep(table(spark, sf, "documents")))
+    made = qr.measured(table(spark, sf, "documents")), qr.shrunk(qr.counted(qr.measured(table(spark, sf, "documents")), "source")), qr.keep(table(spark, sf, "documents"))
+    assert not any(word in explained(df) for df in made for word in ("Python", "Arrow", "Pandas"))
 
 
 # --- classifier
@@ -94,6 +145,63 @@ def test_statistics_of_odd_texts():
     assert (qc.statistics(None) == 0).all() and (qc.statistics("") == qc.statistics(None)).all()
 
 
+def plain_statistics(text):
+    data = text.encode()
+    w, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    n, three = len(w), Counter(zip(w, w[1:], w[2:]))
+    count = lambda chars: sum(b in chars for b in data)
+    chars, upper = sum(map(len, w)), bytes(range(65, 91))
+    return [
+        math.log1p(n), chars / n, sum(len(x) > 20 for x in w) / n, min(count(b"#*$%&|<>") / n, 4), count(b"0123456789") / len(data), count(upper) / chars,
+        count(b".,;:!?'\"()-") / n, sum(b > 127 for b in data) / len(data), min(count(b"!") / n, 3), sum(c for c in three.values() if c > 1) / n,
+        (len(lines) - len(set(lines))) / len(lines), math.log1p(len(data) / len(lines)), len(set(w)) / n, max(Counter(w).values()) / n, (len(data) - chars) / len(data),
+    ]
+
+
+@pytest.mark.parametrize("block", [1, 7, 97, 1 << 20])
+def test_statistics_do_not_depend_on_blocks(monkeypatch, block):
+    """Of whole texts, whatever is worked on at once: repeats across blocks, and words cut by them, count."""
+    monkeypatch.setattr(common, "BLOCK", block)
+    monkeypatch.setattr(qc, "BLOCK", block)
+    passage = "The quick brown fox, jumps over 13 lazy dogs!\n" + good(3) + " été\u00a0là\n"
+    for text in (passage * 2, passage + "x" * 300 + " " + passage, "a", " \n a b a b a b \n\n", passage[:-1]):
+        assert qc.statistics(text) == pytest.approx(plain_statistics(text))
+
+
+def test_statistics_of_a_very_long_text(spark):
+    text = (good(5) + "\n") * 12_000  # 6 MB
+    got = qc.statistics(text)
+    assert got == pytest.approx(plain_statistics(text))
+    rows = [(1, text, "en", "s"), (2, good(6), "en", "s")]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    assert qc.classify(documents(spark, rows), labels, F.lit(True)).count() == 2
+
+
+def test_scores_equal_a_plain_fit(spark, monkeypatch):
+    """The query's scores against normal equations in one place."""
+    monkeypatch.setattr(qc, "GROUP", 2)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").repartition(7), {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    learn = remainder(F.col("doc_id"), 5) != 0
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(qc.SEED)), F.lit(4))
+    rows = docs.select("doc_id", "text", learn.alias("learn"), fold.alias("fold")).collect()
+    x = np.array([qc.statistics(r.text) for r in rows])
+    y = np.array([labels.get(r.doc_id, -1) for r in rows])
+    known, f = np.array([r.learn for r in rows]) & (y >= 0), np.array([r.fold for r in rows])
+    mean, scale = x[known].mean(0), x[known].std(0)
+    scale[scale == 0] = 1
+    z = qc._fourier((x - mean) / scale)
+    fit, cal = known & (f != 0), known & (f == 0)
+    weights = np.linalg.solve(z[fit].T @ z[fit] + qc.RIDGE * fit.sum() * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    raw = z @ weights
+    bins = np.clip(np.floor((raw[cal] + 0.5) * (qc.BINS / 2)), 0, qc.BINS - 1)
+    of = [(raw[cal][bins == b].mean(), y[cal][bins == b].mean(), (bins == b).sum()) for b in np.unique(bins)]
+    steps, levels = qc.isotonic(*np.array(sorted(of)).T)
+    want = dict(zip([r.doc_id for r in rows], np.interp(raw, steps, levels), strict=True))
+    got = qc.classify(docs, table(spark, sf, "labels"), learn).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) for r in got)
+
+
 def test_isotonic_is_the_nearest_rising_fit():
     rng = np.random.default_rng(3)
     for _ in range(20):
