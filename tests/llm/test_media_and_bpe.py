@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -22,7 +23,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # --- progressive JPEG
 
 
-@pytest.mark.parametrize("n", [0, 1, 62, 63, 64, 126, 4096, 4097, 300_000])
+@pytest.mark.parametrize("n", [0, 1, 62, 63, 64, 126, 383, 384, 385, 4096, 4097, 300_000])
 def test_payload_round_trip(n):
     data = os.urandom(n)
     file = jpeg.encode(data)
@@ -31,9 +32,163 @@ def test_payload_round_trip(n):
     assert image.rgb().shape == (image.height, image.width, 3)
 
 
-def test_many_blocks_need_several_runs():
-    data = bytes(random.Random(1).randbytes(63 * 70_000))
-    assert jpeg.payload(jpeg.decode(jpeg.encode(data))) == data
+def test_payloads_with_many_zeros():
+    """Coefficients of 0, 1 and -1: runs, ends of blocks and coefficients that a refinement adds."""
+    rng = np.random.default_rng(1)
+    payloads = [rng.choice(np.array([128] * 9 + [127, 129, 130, 60], np.uint8), n).tobytes() for n in rng.integers(1, 3000, 60)]
+    payloads += [t.encode() for t in ("\U00010000" * 500, "\x7f\u0080\u0100" * 300, "\u0800" * 900)] + [b"\x80" * 5000]
+    files = jpeg.encode_many(payloads)
+    assert files == [jpeg.encode(p) for p in payloads]
+    assert [jpeg.payload(x) for x in jpeg.decode_many(files)] == payloads
+
+
+def test_parts_of_a_long_payload_fit_together(monkeypatch):
+    data = random.Random(1).randbytes(jpeg.WIDE * jpeg.UNIT * 5 + 1000)
+    whole = jpeg.encode(data)
+    monkeypatch.setattr(jpeg, "BATCH", 2 * jpeg.WIDE * jpeg.UNIT)
+    assert jpeg.encode(data) == whole and jpeg.payload(jpeg.decode(whole)) == data
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(jpeg, "MOST", len(data) - 1)
+        jpeg.encode(data)
+
+
+class Reader:
+    """A plain decoder, a bit and a block at a time, for files without runs of blocks."""
+
+    def __init__(self, data):
+        self.tables, self.scans, self.shape, self.comment = {}, [], None, b""
+        at = 2
+        while data[at + 1] != 0xD9:
+            kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            body, at = data[at + 4 : at + 2 + size], at + 2 + size
+            if kind == 0xC4:
+                while body:
+                    n, code, i, table = sum(body[1:17]), 0, 17, {}
+                    for length in range(1, 17):
+                        for _ in range(body[length]):
+                            table[f"{code:0{length}b}"] = body[i]
+                            code, i = code + 1, i + 1
+                        code <<= 1
+                    self.tables[body[0]], body = table, body[17 + n :]
+            elif kind == 0xC2:
+                self.shape = int.from_bytes(body[1:3], "big") // 16, int.from_bytes(body[3:5], "big") // 16
+            elif kind == 0xDD:
+                self.restart = int.from_bytes(body, "big")
+            elif kind == 0xFE:
+                self.comment = body
+            elif kind == 0xDA:
+                end = at
+                while data[end] != 0xFF or data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
+                    end += 1
+                self.scans.append((body, re.split(b"\xff[\xd0-\xd7]", data[at:end])))
+                at = end
+
+    def units(self):
+        rows, cols = self.shape
+        planes = {1: np.zeros((2 * rows, 2 * cols, 64), int), 2: np.zeros((rows, cols, 64), int), 3: np.zeros((rows, cols, 64), int)}
+        for body, pieces in self.scans:
+            ids = [body[1 + 2 * i] for i in range(body[0])]
+            use = {i: body[2 + 2 * j] for j, i in enumerate(ids)}
+            (ss, se, a), at = body[-3:], 0
+            high, low = a >> 4, a & 15
+            if len(ids) > 1:
+                units = [[(1, 2 * y + i, 2 * x + j) for i in (0, 1) for j in (0, 1)] + [(2, y, x), (3, y, x)] for y in range(rows) for x in range(cols)]
+            else:
+                h, w = planes[ids[0]].shape[:2]
+                units = [[(ids[0], y, x)] for y in range(h) for x in range(w)]
+            for piece in pieces:
+                self.bits, self.at = "".join(f"{b:08b}" for b in piece.replace(b"\xff\x00", b"\xff")), 0
+                last = dict.fromkeys(ids, 0)
+                for unit in units[at : at + self.restart]:
+                    for i, y, x in unit:
+                        block = planes[i][y, x]
+                        if ss == 0 and high:
+                            block[0] |= self.take(1) << low
+                        elif ss == 0:
+                            last[i] += self.signed(self.symbol(use[i] >> 4))
+                            block[0] = last[i] << low
+                        elif high:
+                            self.refined(block, 0x10 | use[i] & 15, ss, se)
+                        else:
+                            self.first(block, 0x10 | use[i] & 15, ss, se, low)
+                at += self.restart
+        return planes
+
+    def take(self, n):
+        self.at += n
+        return int(self.bits[self.at - n : self.at] or "0", 2)
+
+    def signed(self, n):
+        v = self.take(n)
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+    def symbol(self, table):
+        code = ""
+        while code not in self.tables[table]:
+            code += self.bits[self.at]
+            self.at += 1
+        return self.tables[table][code]
+
+    def first(self, block, table, ss, se, low):
+        k = ss
+        while k <= se:
+            zeros, n = divmod(self.symbol(table), 16)
+            if not n and zeros < 15:
+                return
+            k += zeros
+            if n:
+                block[k] = self.signed(n) * (1 << low)
+            k += 1
+
+    def refined(self, block, table, ss, se):
+        k = ss
+        while k <= se:
+            zeros, n = divmod(self.symbol(table), 16)
+            new = 0 if not n else 1 if self.take(1) else -1
+            if not n and zeros < 15:
+                zeros = 64
+            while k <= se:
+                if block[k]:
+                    block[k] += self.take(1) * (1 if block[k] > 0 else -1)
+                elif zeros:
+                    zeros -= 1
+                else:
+                    block[k] = new
+                    k += 1
+                    break
+                k += 1
+
+
+def test_own_files_by_a_plain_decoder(spark, sf):
+    """What op7 stores is read by a decoder of its own: payload, pixels and feature."""
+    texts = ["Grüße, world! " * 40, "x", "漢字 " * 300, *[r.text for r in table(spark, sf, "documents").where("length(text) < 3000").limit(6).collect()]]
+    got = {r.doc_id: r for r in media.digests(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    u = np.arange(8)
+    basis = np.where(u == 0, np.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * u[None] + 1) * u[:, None] * np.pi / 16)
+    for i, text in enumerate(texts):
+        data = media.padded(text.encode())
+        file = media.stored([data])[0]
+        reader = Reader(file)
+        planes = reader.units()
+        assert len(reader.scans) == 7 and reader.tables.keys() == {0, 0x10, 0x11}
+        rows, cols = reader.shape
+        units = np.concatenate([np.concatenate([planes[1][2 * y + a, 2 * x + b][None] for a in (0, 1) for b in (0, 1)] + [planes[2][y, x][None], planes[3][y, x][None]]) for y in range(rows) for x in range(cols)])
+        assert (units + 128).astype(np.uint8).tobytes()[: len(data)] == data and int.from_bytes(reader.comment, "big") == len(data)
+        samples = []
+        for plane in planes.values():
+            f = np.zeros(plane.shape)
+            f[..., jpeg.ZIGZAG] = plane
+            s = np.clip(np.rint(basis.T @ f.reshape(*plane.shape[:2], 8, 8) @ basis + 128), 0, 255)
+            s = s.swapaxes(1, 2).reshape(plane.shape[0] * 8, -1)
+            samples.append(s if len(samples) == 0 else s.repeat(2, 0).repeat(2, 1))
+        y, cb, cr = samples
+        rgb = np.clip(np.rint(np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)), 0, 255)
+        mine = jpeg.decode(file).rgb()
+        assert np.abs(rgb - mine).max() <= 2
+        assert got[i].rgb_sha256 == hashlib.sha256(mine.tobytes()).hexdigest()
+        steps = int(np.abs(np.diff(mine[..., 0].astype(int), axis=1)).sum()) // (rows * cols * 256)
+        means = [int(v) // (rows * cols * 256) for v in mine.reshape(-1, 3).sum(0, dtype=int)]
+        assert got[i].feature == f"1:{rows * 16}x{cols * 16}:{','.join(map(str, means))}:{steps}"
 
 
 class Writer:
@@ -225,7 +380,7 @@ def test_media_digests(spark):
         p = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
         r = by_key[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        file = media.stored(p)
+        file = media.stored([p])[0]
         assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
     assert by_key[2][1:] == by_key[3][1:] and by_key[2].feature != by_key[7].feature
     assert media.digests(documents(spark, [])).count() == 0
@@ -234,14 +389,16 @@ def test_media_digests(spark):
 def test_media_in_segments(spark, monkeypatch):
     monkeypatch.setattr(media, "SEGMENT", 256)
     data = os.urandom(1000)
-    parts = list(media.images(media.stored(media.padded(data))))
-    assert len(parts) == 4 and b"".join(jpeg.payload(p) for p in parts) == media.padded(data)
+    parts, other = media.images(media.stored([media.padded(data), bytes(64)]))
+    assert len(parts) == 4 and b"".join(jpeg.payload(p) for p in parts) == media.padded(data) and len(other) == 1
 
 
 def test_tensors(spark):
     rows = media.with_media(documents(spark, [(1, "hello " * 100, "en", "s"), (2, None, "en", "s")]))
     got = media.tensors(rows).collect()
     assert len(got) == 2 and all(len(r.rgb) == r.height * r.width * 3 for r in got)
+    digest = {r.doc_id: r.rgb_sha256 for r in media.measured(rows).collect()}
+    assert all(hashlib.sha256(r.rgb).hexdigest() == digest[r.doc_id] for r in got)
     assert media.measured(rows.withColumn("media", F.lit(None).cast("binary"))).first().feature is None
 
 
