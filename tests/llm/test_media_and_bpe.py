@@ -458,6 +458,37 @@ def test_digests(spark, sf, library):
     assert bpe.digests(documents(spark, []), VOCABULARY).count() == 0
 
 
+def test_trees_of_long_texts(spark, library, monkeypatch):
+    """Texts over a block, of words, of one long piece and with special tokens, through the DataFrame: every block and
+    every join is a row's work."""
+    rng = random.Random(3)
+    texts = [
+        "".join(rng.choices("abcdefgh", k=200_000)), " " * 70_000, "word " * 20_000, "a" * 33_000 + "<|endoftext|>" + "b c " * 9000 + "<|endoftext|>",
+        "".join(rng.choice(["the ", "é", "\n\n ", "12", "'ll", " \U0001f600"]) for _ in range(40_000)), "x" * bpe.BLOCK, "x" * (bpe.BLOCK + 1),
+    ]
+    rows = [(i % 6, t, "en", "s") for i, t in enumerate(texts + texts[:1] + ["short", None])]
+    got = sorted(tuple(r) for r in bpe.digests(documents(spark, rows, clashing=True), VOCABULARY).collect())
+    assert got == sorted((k, *expected(library, t)) for k, t, _, _ in rows)
+
+
+def test_a_long_piece_is_joined_from_its_parts(library, monkeypatch):
+    """Joins re-encode windows, not whole pieces."""
+    text, seen = "".join(random.Random(5).choices("abcdefgh", k=60_000)), []
+    codec = bpe.Codec(VOCABULARY, 1 << 12)
+    nodes, plain = [codec.leaf(b) for b in codec.blocks(text)], codec._bpe
+
+    class Watched:
+        def _encode_single_piece(self, data):
+            seen.append(len(data))
+            return plain._encode_single_piece(data)
+
+    codec._bpe = Watched()
+    while len(nodes) > 1:
+        nodes = [codec.joined(a, b) for a, b in zip(nodes[::2], nodes[1::2], strict=True)]
+    assert nodes[0].ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(seen) < len(text) / 10
+
+
 def test_columns(spark, library):
     df = documents(spark, [(1, "The cat's <|endoftext|>", "en", "s"), (2, None, "en", "s")]).withColumn("ids", bpe.encode(F.col("text"), VOCABULARY))
     rows = {r.doc_id: r for r in df.withColumn("back", bpe.decode(F.col("ids"), VOCABULARY)).collect()}
