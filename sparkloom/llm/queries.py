@@ -61,7 +61,11 @@ def _op4_sql() -> str:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    second = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(86_400))  # pages have no date and no address, so these are made up
+    clock = [F.lpad(F.floor(second / n % m).cast("string"), 2, "0") for n, m in ((3600, 24), (60, 60), (1, 60))]
+    ip = F.concat_ws(".", F.lit("10"), *[F.floor(second / n % 256).cast("string") for n in (65_536, 256, 1)])
+    return warc.round_trip(pages, date=F.concat(F.lit("20260101"), *clock), ip=ip)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """WARC from legacy ARC: version-specific header lines and declared lengths in, equivalent WARC records out.
 
 An ARC file starts with a version block whose last line names the fields of the header line that precedes each
-document; version 1 has five fields, version 2 ten. The converter reads both, and synthesises for each document a WARC
-identifier, timestamp, type and digests. Archives are written by Spark's text sink (records are UTF-8 text or bytes, the
-sink's line end closes each), gzipped, so that they go to any store Spark can write, with its commit protocol.
+document; version 1 has five fields, version 2 ten. `read_arcs` takes folders of such files, plain or gzipped, apart;
+`convert` synthesises for each document a WARC identifier, timestamp, type and digests, and writes WARC files, each
+record a gzip member of its own. Files are bounded by bytes, so that one file is little to read at a time. They are
+written by Spark's text sink, a file a row, to any store that Spark can write and with its commit protocol: the sink's
+line end is the zero that ends a gzip member.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, tidied
+from .common import Scratch, scratch, small, tidied
 
 #: Field names of the header lines, by version. Fixed values.
 ARC_FIELDS = {
@@ -30,8 +32,14 @@ ARC_FIELDS = {
 
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
-#: Records in one archive file; one file is read at a time.
-FILE_RECORDS = 4000
+#: Bytes from which an archive file is closed, and of records that are handed on together.
+FILE_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
+
+#: A line of an HTTP head that carries a page's key through an archive.
+KEY_LINE = b"X-Page-Key: "
+
+#: A record's where it is not known.
+DATE, IP = "20260101000000", "0.0.0.0"
 
 #: The upper 48 bits of identifiers that hold a 64-bit key (as version 8 of UUIDs allows).
 _TAG = int.from_bytes(hashlib.sha1(b"page key").digest()[:6], "big")
@@ -56,15 +64,18 @@ def arc_header(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain {rest}{len(body)}\n".encode() + body
 
 
-def arc_record(version: int, url: str, date: str, content: bytes, name: str, offset: int, kind: str = "text/html") -> bytes:
+def arc_record(version: int, url: str, ip: str, date: str, content: bytes, name: str, offset: int, kind: str = "text/html") -> bytes:
     """One document after its header line; white space in urls is percent-encoded, as the line is split at blanks."""
     url = "".join(f"%{b:02X}" if b <= 32 or b == 127 else chr(b) for b in url.encode("utf-8", "surrogatepass")) if any(c <= " " or c == "\x7f" for c in url) or not url.isascii() else url
     rest = "" if version == 1 else f"200 - - {offset} {name} "
-    return f"\n{url or '-'} 0.0.0.0 {date} {kind} {rest}{len(content)}\n".encode("latin-1") + content
+    return f"\n{url or '-'} {ip} {date} {kind} {rest}{len(content)}\n".encode("latin-1") + content
 
 
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The version block and the documents of an ARC file; ValueError where a line or a length does not fit."""
+    """The version block and the documents of an ARC file, gzipped or not; ValueError where a line or a length does not
+    fit."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, names = 0, None
     while at < len(data):
         if data[at : at + 1] == b"\n":
@@ -126,7 +137,7 @@ def to_warc(record: ArcRecord, key: int | None = None, refers_to: int | None = N
     refers_to: the key of the record whose payload is the same; the record is then a revisit without its payload."""
     url, date = record.get("URL"), _iso(record.get("Archive-date"))
     http = record.content.startswith(b"HTTP/")
-    head, _, payload = record.content.partition(b"\r\n\r\n") if http else (b"", b"", record.content)
+    head, payload = split_http(record.content)
     kind = "warcinfo" if url.startswith("filedesc:") else "revisit" if refers_to is not None else "response" if http else "resource"
     own = key_id(key) if key is not None else uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {digest(record.content)}")
     block = head + b"\r\n\r\n" if kind == "revisit" else record.content
@@ -165,94 +176,168 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 # --- DataFrames -------------------------------------------------------------------------------------
 
 
-def revisits(pages: DataFrame, tables: Scratch, key: str, payload: str, min_bytes: int) -> DataFrame:
-    """Adds refers_to: the largest key of the rows with the same payload, if that is not the row's own and the payload
-    has min_bytes at least. Only digests are shuffled; digests of single rows are not looked up."""
-    with_digest = pages.withColumn("_digest", F.sha1(F.encode(F.coalesce(payload, F.lit("")), "UTF-8")))
-    sized = with_digest.where(F.octet_length(F.coalesce(payload, F.lit(""))) >= min_bytes)
-    shared = sized.groupBy("_digest").agg(F.max(key).alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    shared = tables.stored(shared, "shared")
-    out = with_digest.join(small(shared, shared.count()), "_digest", "left")
-    revisit = F.col("_last").isNotNull() & (F.col(key).isNull() | (F.col(key) < F.col("_last")))
-    return out.withColumn("refers_to", F.when(revisit, F.col("_last"))).drop("_digest", "_last")
+def _member(data: bytes) -> bytes:
+    return gzip.compress(data, 1, mtime=0)
 
 
-def archived(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "20260101000000", min_bytes: int = 0) -> None:
-    """Writes the pages through ARC to gzipped WARC files in a folder.
+def _ending_in_zero(file: bytes) -> bytes:
+    """A gzip member ends with its length, low byte first; an empty one more is added to those of 16 MB and more."""
+    return file if file.endswith(b"\0") else file + _member(b"")
 
-    Each batch of rows becomes an ARC file in memory, of version 1 and 2 in turns, with an HTTP head before each payload;
-    the converter reads that file by its header lines and lengths. Null urls and payloads are empty.
-    """
-    tables = Scratch(pages.sparkSession)
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
-    rows = revisits(rows, tables, "key", "payload", min_bytes)
-    # longs with nulls would lose digits in pandas
-    rows = rows.select(F.col("key").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
+
+def _write(files: DataFrame, path: str) -> None:
+    """files: file binary, each a row's, ending in a zero, which the sink adds."""
+    bare = F.expr("substring(file, 1, octet_length(file) - 1)").cast("string")
+    files.select(bare).write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def archived(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: Column | str = DATE, ip: Column | str = IP) -> None:
+    """Writes pages as gzipped ARC files, of version 1 and 2 in turns, with an HTTP head before each payload. date, ip:
+    columns, or the same for all. Null urls and payloads are empty; a key goes into the head."""
+    date, ip = (F.lit(c) if isinstance(c, str) else c for c in (date, ip))
+    rows = pages.select(F.col(key).cast("long").cast("string").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"), date.alias("date"), ip.alias("ip"))
 
     @tidied
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        version = 1
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        version, held, size, offset = 1, [], 0, 0
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, name = batch.iloc[at : at + 256], "pages.arc"
-                arc = [arc_header(version, name, date)]
-                size = len(arc[0])
-                for u, p in zip(part["url"], part["payload"], strict=True):
-                    body = (p or "").encode("utf-8", "surrogatepass")
-                    content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-                    arc.append(arc_record(version, u or "", date, content, name, size))
-                    size += len(arc[-1])
-                records = read_arc(b"".join(arc))
-                next(records)  # the version block
-                made = [to_warc(r, None if k is None else int(k), None if t is None else int(t)) for r, k, t in zip(records, part["key"], part["refers_to"], strict=True)]
-                yield pd.DataFrame({"record": [m[:-1] for m in made]})  # the sink adds the last line end
-                version = 3 - version
-
-    made = rows.mapInPandas(convert, "record binary")
-    made.select(F.col("record").cast("string")).write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+            for key, u, p, d, i in zip(*(batch[c] for c in ("key", "url", "payload", "date", "ip")), strict=True):
+                if not held:
+                    head = arc_header(version, "pages.arc", DATE)
+                    held, offset = [_member(head)], len(head)
+                    size = len(held[0])
+                body = (p or "").encode("utf-8", "surrogatepass")
+                line = b"" if key is None else KEY_LINE + key.encode() + b"\r\n"
+                content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n" % (line, len(body)) + body
+                record = arc_record(version, u or "", i or IP, d or DATE, content, "pages.arc", offset)
+                held.append(_member(record))
+                offset, size = offset + len(record), size + len(held[-1])
+                if size >= FILE_BYTES:
+                    yield pd.DataFrame({"file": [_ending_in_zero(b"".join(held))]})
+                    held, version = [], 3 - version
+        if held:
+            yield pd.DataFrame({"file": [_ending_in_zero(b"".join(held))]})
+
+    _write(rows.mapInPandas(run, "file binary"), path)
+
+
+_ARC = "file string, nth int, fields map<string,string>, key long, payload_bytes long, payload_digest string, content binary"
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a folder's ARC files, plain or gzipped, of any version that names its fields: file, nth (0 is the
+    version block), fields (the header line's, by name), key (null if the head has none), payload_bytes, payload_digest
+    and content. A length that does not fit raises."""
+
+    @tidied
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _ARC.split(", ")]
+        for batch in batches:
+            for file, data in zip(batch["path"], batch["content"], strict=True):
+                rows, size = [], 0
+                for nth, r in enumerate(read_arc(data)):
+                    head, body = split_http(r.content)
+                    key = next((line[len(KEY_LINE) :] for line in head.split(b"\r\n") if line.startswith(KEY_LINE)), None)
+                    rows.append((file, nth, r.fields, None if key is None else int(key), len(body), digest(body), r.content))
+                    size += len(r.content)
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parsed, _ARC)
+
+
+def split_http(content: bytes) -> tuple[bytes, bytes]:
+    """The HTTP head, if any, and the payload."""
+    head, _, payload = content.partition(b"\r\n\r\n") if content.startswith(b"HTTP/") else (b"", b"", content)
+    return head, payload
+
+
+def convert(spark: SparkSession, arcs: str, path: str, min_bytes: int = 0) -> None:
+    """Converts a folder of ARC files into one of WARC files.
+
+    Of documents with equal payloads of min_bytes or more, that with the largest key is the response, and others with a
+    lesser key, or none, are revisits of it. A version block becomes a warcinfo record. ARC files are read twice: once
+    for digests, of which only those shared by several documents are looked up, and once to write.
+    """
+    with scratch(spark) as s:
+        keyed = read_arcs(spark, arcs).where("nth > 0").select("key", "payload_bytes", "payload_digest")
+        keyed = s.stored(keyed.where(F.col("payload_bytes") >= min_bytes), "digests")
+        shared = keyed.groupBy("payload_digest").agg(F.max("key").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_d"), "_last")
+        shared = s.stored(shared, "shared")
+        rows = read_arcs(spark, arcs).drop("payload_bytes")
+        # a version block's own digest is nobody's payload
+        same = (F.col("payload_digest") == F.col("_d")) & (F.col("nth") > 0)
+        rows = rows.join(small(shared, shared.count()), same, "left")
+        revisit = F.col("_last").isNotNull() & (F.col("key").isNull() | (F.col("key") < F.col("_last")))
+        # longs with nulls would lose digits in pandas
+        rows = rows.select("fields", F.col("key").cast("string"), F.when(revisit, F.col("_last")).cast("string").alias("refers_to"), "content")
+
+        @tidied
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, size = [], 0
+            for batch in batches:
+                for fields, key, to, content in zip(*(batch[c] for c in ("fields", "key", "refers_to", "content")), strict=True):
+                    record = to_warc(ArcRecord(dict(fields), content), None if key is None else int(key), None if to is None else int(to))
+                    held.append(_member(record))
+                    size += len(held[-1])
+                    if size >= FILE_BYTES:
+                        yield pd.DataFrame({"file": [_ending_in_zero(b"".join(held))]})
+                        held, size = [], 0
+            if held:
+                yield pd.DataFrame({"file": [_ending_in_zero(b"".join(held))]})
+
+        _write(rows.mapInPandas(run, "file binary"), path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a folder's gzipped WARC files: key (null if the identifier holds none), record_type, uri, date,
-    payload_bytes, payload_digest, refers_to and payload (null of a revisit). A payload that does not fit its digest
-    raises."""
+    """The records of a folder's WARC files, gzipped or not: key (null if the identifier holds none), record_type, uri,
+    date, ip, payload_bytes, payload_digest, refers_to and payload (null of a revisit). A payload that does not fit its
+    digest raises."""
+    kind = "key long, record_type string, uri string, date string, ip string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+    names = [c.split()[0] for c in kind.split(", ")]
 
     @tidied
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                with gzip.open(io.BytesIO(content)) as stream:
+                rows, held = [], 0
+                with gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content) as stream:
                     for h, block in read_warc(stream):
-                        head, _, body = block.partition(b"\r\n\r\n") if h["content-type"].startswith("application/http") else (b"", b"", block)
-                        said = h["warc-payload-digest"].removeprefix("sha1:")
+                        info = h["warc-type"] == "warcinfo"
+                        head, body = split_http(block)
+                        said = digest(body) if info else h["warc-payload-digest"].removeprefix("sha1:")
                         size = len(body)
                         if h["warc-type"] == "revisit":
                             size, body = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None
                         elif digest(body) != said:
                             raise ValueError(f"{h['warc-record-id']} does not fit its digest")
                         key, to = id_key(h["warc-record-id"]), h.get("warc-refers-to")
-                        rows.append((key, h["warc-type"], h.get("warc-target-uri"), h["warc-date"], size, said, id_key(to) if to else None, body))
-                        if len(rows) == 512:
+                        rows.append((key, h["warc-type"], h.get("warc-target-uri"), h["warc-date"], h.get("warc-ip-address"), size, said, id_key(to) if to else None, body))
+                        held += len(block)
+                        if held >= BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=names, dtype=object)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    kind = "key long, record_type string, uri string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    names = [c.split()[0] for c in kind.split(", ")]
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, kind)
 
 
-def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes the pages as WARC records in the shared folder and reads them back: key, payload_bytes, payload_digest,
-    record_type, refers_to.
+def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: Column | str = DATE, ip: Column | str = IP) -> DataFrame:
+    """Writes the pages as ARC files in the shared folder, converts these to WARC files and reads those back: key,
+    payload_bytes, payload_digest, record_type, refers_to, uri, date, ip.
 
     Null payloads are empty ones, and equal to these. Of rows with equal payloads that with the largest key is the
     response; rows that repeat it, key and all, are responses too. A row without a key is a revisit if another row with
     its payload has one. An empty table gives no rows; other columns are left out.
     """
-    path = f"{Scratch(pages.sparkSession).base}/warc"
-    archived(pages, path, key, url, payload, min_bytes=min_bytes)
-    out = read_archives(pages.sparkSession, path)
-    return out.select(F.col("key").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    spark = pages.sparkSession
+    with scratch(spark) as s:
+        archived(pages, f"{s.base}/arc", key, url, payload, date, ip)
+        convert(spark, f"{s.base}/arc", f"{s.base}/warc", min_bytes)
+        out = read_archives(spark, f"{s.base}/warc").where("record_type <> 'warcinfo'").withColumnRenamed("key", "_key")
+        out = out.select(F.col("_key").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "date", "ip")
+        return Scratch(spark).stored(out, "records")
