@@ -1,8 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
 For each language, the character n-grams that are common in its training documents go into one bit-sliced Bloom filter:
-a slot holds a bit for each language, so that ANDing an n-gram's slots returns all the languages that contain it. A
-text's n-grams are counted by language; the counts are corrected for the filter's false positives, and the language
+a slot holds a bit for each language, in as many words of 64 as that takes, so that ANDing an n-gram's slots returns all
+the languages that contain it. A text's n-grams are counted by language; the counts are corrected for the filter's false positives, and the language
 with the largest corrected share decides.
 """
 
@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,6 @@ from .common import mixed, scratch, tidied
 #: aims at 1 in 8; probes. With a share of 1/100, a language has at most 100 times a document's n-grams.
 N, SHARE, PROBES = 3, 0.01, 3
 
-#: The most languages: the bits of a slot.
-MAX_LANGUAGES = 64
-
 #: Characters that are worked on at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 20
 
@@ -64,12 +62,14 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    slots: np.ndarray  # uint64, a power of two of them
+    slots: np.ndarray  # uint64: a power of two of slots, words of 64 languages each
     false_rate: np.ndarray  # by language
 
     def masks(self, g: np.ndarray) -> np.ndarray:
-        out = np.full(len(g), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for slot in _slots(g, len(self.slots)):
+        """Of each n-gram, the languages that hold it: a row of words."""
+        first, *more = _slots(g, len(self.slots))
+        out = self.slots[first]
+        for slot in more:
             out &= self.slots[slot]
         return out
 
@@ -78,20 +78,22 @@ class Model:
         n, hits = 0, np.zeros(len(self.languages))
         for g in grams(text):
             n += len(g)
-            masks = self.masks(g)
-            if len(self.languages) <= 12:
-                seen = np.bincount(masks.astype(np.int64), minlength=1 << len(self.languages))
-                for i in range(len(hits)):
-                    hits[i] += seen[(np.arange(len(seen)) >> i & 1) == 1].sum()
-            else:
-                for i in range(len(hits)):
-                    hits[i] += int((masks >> np.uint64(i) & np.uint64(1)).sum())
+            if len(hits):
+                hits += self.popcounts(self.masks(g))
         if not n or not len(hits):
             return "und", 0.0
         share = np.maximum(0.0, (hits / n - self.false_rate) / (1 - self.false_rate))
         best = int(share.argmax())
         return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
 
+    def popcounts(self, masks: np.ndarray) -> np.ndarray:
+        """How many masks have each language's bit."""
+        if len(self.languages) <= 12:
+            seen = np.bincount(masks[:, 0].astype(np.int64), minlength=1 << len(self.languages))
+            every = np.arange(len(seen))
+            return np.array([seen[(every >> i & 1) == 1].sum() for i in range(len(self.languages))])
+        return np.array([np.count_nonzero(masks[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)) for i in range(len(self.languages))])
+
 
 def _slots(g: np.ndarray, size: int) -> list[np.ndarray]:
     h = mixed(g.copy())
@@ -103,7 +105,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     """Learns from rows with a language; empty without such rows.
 
     The n-grams' document counts are summed over all rows: per task first, then by a shuffle. What goes to the driver is
-    bounded by the languages and the share, not by the rows. More than MAX_LANGUAGES languages raise ValueError.
+    bounded by the languages and the share, not by the rows: of a language, as many n-grams at most as its mean document
+    has, divided by the share. A slot's bit of a language is set in one of eight slots at most.
     """
 
     @tidied
@@ -136,27 +139,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
         counts = rows.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         counts = s.stored(counts, "counts")
         total = counts.where("gram = 0").select("lang", F.col("n").alias("docs"))
-        names = tuple(sorted(r.lang for r in total.select("lang").limit(MAX_LANGUAGES + 1).collect()))
-        if len(names) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        names = tuple(sorted(r.lang for r in total.select("lang").collect()))
         common = counts.where("gram <> 0").join(F.broadcast(total), "lang")  # total: a row for each language
         kept = common.where(F.col("n") >= F.lit(share) * F.col("docs")).select("lang", "gram").toPandas()
-    size = 1 << max(10, (len(kept) * PROBES * 8).bit_length())
-    slots = np.zeros(size, np.uint64)
+    own = {name: g.to_numpy(np.int64).view(np.uint64) for name, g in kept.groupby("lang")["gram"]}
+    size = 1 << max(10, (max(map(len, own.values()), default=0) * PROBES * 8 - 1).bit_length())
+    slots = np.zeros((size, -(-len(names) // 64)), np.uint64)
     for i, name in enumerate(names):
-        g = kept.loc[kept["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64)
-        for at in _slots(g, size):
-            slots[at] |= np.uint64(1 << i)
-    fill = np.array([float((slots >> np.uint64(i) & np.uint64(1)).mean()) for i in range(len(names))])
+        for at in _slots(own.get(name, np.zeros(0, np.uint64)), size):
+            slots[at, i >> 6] |= np.uint64(1 << (i & 63))
+    fill = np.array([float((slots[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)).mean()) for i in range(len(names))])
     return Model(names, slots, fill**PROBES)
 
 
-def predicted(text: Column, model: Model) -> Column:
+def predicted(text: Column, model: Broadcast) -> Column:
     """A struct of lang_pred and score."""
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return run(text)
 
@@ -169,6 +170,6 @@ def identify(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "t
     are judged, each; of languages with equal shares the first by name wins; empty tables give no rows; other columns
     are left out.
     """
-    model = fit(docs.where(train), text, lang, share)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(train), text, lang, share))
     rows = docs.select(F.col(key).alias(key), (~train).alias("held_out"), predicted(F.col(text), model).alias("_p"))
     return rows.select(key, "held_out", "_p.*")

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -147,13 +148,13 @@ def test_language_of_held_out_documents(spark):
 def test_filter_knows_its_languages():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(1, 1 << 60, 500).astype(np.uint64)) for _ in range(5)]
-    slots = np.zeros(1 << 14, np.uint64)
+    slots = np.zeros((1 << 14, 1), np.uint64)
     for i, g in enumerate(sets):
         for at in li._slots(g, len(slots)):
-            slots[at] |= np.uint64(1 << i)
+            slots[at, 0] |= np.uint64(1 << i)
     model = li.Model(tuple("abcde"), slots, np.zeros(5))
     for i, g in enumerate(sets):
-        masks = model.masks(g)
+        masks = model.masks(g)[:, 0]
         assert ((masks >> np.uint64(i)) & np.uint64(1)).all()
         assert ((masks & ~np.uint64(1 << i)) != 0).mean() < 0.05
 
@@ -178,8 +179,48 @@ def test_language_of_odd_rows(spark):
     nothing = li.identify(documents(spark, odd), F.lit(False)).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
     assert li.identify(documents(spark, []), F.lit(True)).count() == 0
-    with pytest.raises(ValueError):
-        li.fit(documents(spark, [(i, "x", f"l{i}", "s") for i in range(70)]))
+
+
+def test_many_languages(spark):
+    """More than a word of 64 bits holds; each has its own letters."""
+    rows = [(i, " ".join(chr(0x4E00 + 40 * i + j) * 3 for j in range(40)), f"l{i:03}", "s") for i in range(150)]
+    model = li.fit(documents(spark, rows))
+    assert model.slots.shape[1] == 3 and len(model.languages) == 150
+    got = li.identify(documents(spark, rows), F.lit(True)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {k: x for k, _, x, _ in rows} and min(r.score for r in got) > 0.5
+
+
+def test_languages_equal_plain_sets(spark):
+    """The query's predictions against sets of n-grams, wherever these tell languages apart."""
+    from sparkloom.llm.queries import op6_language_id
+
+    sf = "/root/testdata/sf0.01"
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 4) != 2).alias("train")).collect()
+
+    def grams(text):
+        low = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+        t = f" {' '.join(low.split(' '))} "
+        t = re.sub(" +", " ", t)
+        return [t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " "]
+
+    docs, counts = Counter(), {}
+    for r in rows:
+        if r.train and r.lang is not None:
+            docs[r.lang] += 1
+            counts.setdefault(r.lang, Counter()).update(set(grams(r.text)))
+    sets = {x: {g for g, n in c.items() if n >= li.SHARE * docs[x]} for x, c in counts.items()}
+    got, sure = {r.doc_id: r for r in op6_language_id(spark, sf).collect()}, 0
+    for r in rows:
+        own = grams(r.text)
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        shares = sorted(((sum(g in s for g in own) / len(own), x) for x, s in sets.items()), reverse=True)
+        if shares[0][0] - shares[1][0] > 0.05:
+            sure += 1
+            assert got[r.doc_id].lang_pred == shares[0][1]
+            assert got[r.doc_id].score == pytest.approx(shares[0][0] / sum(p for p, _ in shares), abs=0.05)
+    assert sure > 0.95 * len(rows)
 
 
 def test_language_of_one_document(spark):
