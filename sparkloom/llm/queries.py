@@ -21,10 +21,6 @@ URL_RULES = [
     ("block", "org/es/"),
 ]
 
-#: Label parts of hosts that the list blocks.
-SPAM_TERMS = ["ads", "bets", "casino", "pills", "spam"]
-
-
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("source")
 
@@ -39,9 +35,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = url_filter.hosts_with_terms(pages, SPAM_TERMS)
-    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), URL_RULES, url_filter.copying(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _op4_sql() -> str:
@@ -49,14 +44,17 @@ def _op4_sql() -> str:
     fits = [(f"(host = '{h}' or host like '%.{h}') and starts_with(path, '/{p}')", v, r) for v, r in by_length for h, _, p in [r.partition("/")]]
     return f"""
         with parts as (
-            select page_id,
+            select page_id, html,
                 translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                 regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
-            from pages)
+            from pages),
+        served as (select html, host || path as k, max(page_id) as n from parts where html <> '' and host <> '' group by 1, 2),
+        last as (select html, arg_max(k, n) as k from served group by html),
+        listed as (select distinct s.k from served s join last l on s.html = l.html where s.k <> l.k)
         select page_id, host, path,
             case {' '.join(f"when {f} then '{r}'" for f, _, r in fits)} end as rule,
             case {' '.join(f"when {f} then '{v}'" for f, v, _ in fits)}
-                when list_has_any(regexp_split_to_array(host, '[.-]'), {SPAM_TERMS}) then 'block' else 'allow' end as verdict
+                when host <> '' and host || path in (select k from listed) then 'block' else 'allow' end as verdict
         from parts"""
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import url_filter as uf
 from sparkloom.llm import warc
-from sparkloom.llm.queries import SPAM_TERMS, URL_RULES
+from sparkloom.llm.queries import URL_RULES
+from sparkloom.sources.tables import table
 
 URLS = [
     None, "", "no scheme/en/1", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://example.com/en/71", "x://com/en/", "x://.com/en/", "x://a.net/de/8",
@@ -19,7 +20,7 @@ URLS = [
 ]
 
 
-def judged(url):
+def judged(url, listed=()):
     rest = (url or "").split("://", 1)
     cut = lambda s, stops: s[: min([s.find(c) for c in stops if c in s], default=len(s))]
     host, path = ("", "") if len(rest) < 2 else (cut(rest[1], "/?#"), cut(rest[1][len(cut(rest[1], "/?#")) :], "?#"))
@@ -29,17 +30,38 @@ def judged(url):
         h, _, p = rule.partition("/")
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
             fits.append((len(rule), rule, verdict))
-    listed = any(t in SPAM_TERMS for label in host.split(".") for t in label.split("-"))
-    return host, path, *(max(fits)[1:] if fits else (None, "block" if listed else "allow"))
+    return host, path, *(max(fits)[1:] if fits else (None, "block" if host and host + path in listed else "allow"))
+
+
+@pytest.mark.parametrize("max_bits", [uf.MAX_BITS, 1])
+def test_urls(spark, max_bits):
+    """By the cascade, and by a join where the list exceeds max_bits."""
+    urls = [*URLS, "x://long.example/" + "a" * 500_000]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string").withColumns({"row": F.lit(1), "key": F.lit(2)})
+    keys = ["com/en/7", "example.com/en/7", "spam-farm.example.org/", "spam-farm.example.org/", "www.casino-win.example.org/es/1", None, "", "unseen/", "long.example/" + "a" * 500_000]
+    listed = spark.createDataFrame([(k,) for k in keys], "url string")
+    out = uf.judge(pages, URL_RULES, listed, max_bits=max_bits)
+    assert out.columns == ["page_id", "url", "row", "key", "host", "path", "rule", "verdict"]
+    assert [tuple(r)[4:] for r in out.orderBy("page_id").collect()] == [judged(u, keys) for u in urls]
+    assert uf.judge(pages.limit(0), URL_RULES, listed, max_bits=max_bits).count() == 0
+    assert {r.verdict for r in uf.judge(pages, []).collect()} == {"allow"}
+    assert [tuple(r)[4:] for r in uf.judge(pages, URL_RULES, max_bits=max_bits).orderBy("page_id").collect()] == [judged(u) for u in urls]
 
 
-def test_urls(spark):
-    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, verdict string").withColumn("row", F.lit(1))
-    out = uf.judge(pages, URL_RULES, uf.hosts_with_terms(pages, SPAM_TERMS))
-    assert out.columns == ["page_id", "url", "row", "host", "path", "rule", "verdict"]
-    assert [tuple(r)[3:] for r in out.orderBy("page_id").collect()] == [judged(u) for u in URLS]
-    assert uf.judge(pages.limit(0), URL_RULES, uf.hosts_with_terms(pages.limit(0), SPAM_TERMS)).count() == 0
-    assert {r.verdict for r in uf.judge(pages, []).collect()} == {"allow"}
+def test_copying_pages(spark):
+    rows = [(1, "x://a/1", "same"), (2, "x://b/1", "same"), (3, "x://c/1", "same"), (4, "x://d/1", "own"), (5, "x://d/1?q", "own"), (6, None, "same"), (7, "x://e/", ""), (8, "x://f/", ""), (9, "x://g/", None), (9, "x://g/", "two"), (None, "x://h/", "two")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit(0), "n": F.lit(0)})
+    assert sorted(r.key for r in uf.copying(pages).collect()) == ["a/1", "b/1"]
+    assert uf.copying(pages.limit(0)).count() == 0
+
+
+def test_native(spark, sf):
+    from sparkloom.plans.frontdoor import explained
+
+    pages = table(spark, sf, "pages")
+    plans = explained(uf.judge(pages, URL_RULES, uf.copying(pages))), explained(uf.copying(pages))
+    assert not any(word in plan for plan in plans for word in ("Python", "Arrow", "Pandas"))
+    assert "Join" not in plans[0] and "Exchange" not in plans[0]  # the cascade is part of the scan's projection
 
 
 @pytest.mark.parametrize(("n_in", "n_out"), [(0, 50), (1, 5000), (300, 3000), (500, 0)])
@@ -51,8 +73,7 @@ def test_cascade_is_exact(spark, n_in, n_out):
     assert keys.limit(1).where(cascade.contains(F.lit(None).cast("string"))).count() == 0
     if n_in == 300:
         assert len(cascade.levels) > 1
-    with pytest.raises(ValueError):
-        uf.Level.of(listed, 10**6, 0.01, 0, 1 << 20)
+    assert n_in < 2 or uf.Cascade.build(listed, keys.select("key"), max_bits=64) is None
 
 
 def test_arc_versions():
