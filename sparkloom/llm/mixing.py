@@ -28,7 +28,7 @@ _MASK = (1 << 64) - 1
 
 
 def _draw(a: int, b: int, seed: int) -> float:
-    """A number in [0, 1) of two rows' hashes and a seed."""
+    """A number in [0, 1) of two rows' hashes and a seed. Its constants are fixed values of public mixing functions."""
     x = (a * 0x9E3779B97F4A7C15 ^ (b * 0xC2B2AE3D27D4EB4F + seed)) & _MASK
     for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = ((x ^ x >> shift) * odd) & _MASK
@@ -122,8 +122,14 @@ def mix(
     are rows each, and alike. An empty table gives no rows. Other columns are left out. Only sizes are shuffled, never
     texts; a large source is dealt to as many buckets as it needs.
     """
-    tables = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    with scratch(docs.sparkSession) as tables:
+        out = _mixed(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), weights, share, most, seed, tables)
+        out = out.withColumn("key", F.col("key").cast(docs.schema[key].dataType))
+        return Scratch(docs.sparkSession).stored(out.withColumnsRenamed({"key": key, "source": source}), "mix")
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, tables: Scratch) -> DataFrame:
+    """rows: key, source, size."""
     rows = tables.stored(rows.withColumn("h", F.xxhash64("key", "size", F.lit(seed))), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     by_source = tables.stored(targets(tables.stored(ranked(by_source, "source", tables), "ranked"), weights, share, most), "targets")
@@ -156,29 +162,51 @@ def mix(
         out = out.unionByName(part.select(*names))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("p").cast("int")).otherwise(0)
     out = out.join(small(by_source, seen[0]), "pos").withColumn("copies", copies)
-    kind = docs.schema[key].dataType
-    return out.select(
-        F.col("key").cast(kind).alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-    )
+    return out.select("key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mixed documents with their own columns; one that is taken twice comes twice. Documents without words go.
     Texts are shuffled once, by key, if more documents are taken than a broadcast may hold; else not at all.
-    Rows with the same key, or none, are matched by key, size and rank among those."""
-    plan = Scratch(docs.sparkSession).stored(mix(docs, key=key, text=text, **options).select(F.col(key).alias("_k"), "size", "copies"), "plan")
+    Rows with the same key, or none, are told apart by their sizes, and those of one size numbered: any of them are
+    taken, as often as the mix takes rows like them. An empty table gives no rows."""
+    spark, tables = docs.sparkSession, Scratch(docs.sparkSession)
+    plan = mix(docs, key=key, text=text, **options).select(F.col(key).alias("_k"), "size", "copies").where("copies > 0")
+    plan = tables.stored(plan, "plan")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(key).alias("key"))
-    with scratch(docs.sparkSession) as s:
+    with scratch(spark) as s:
         many = s.stored(packed.groupBy("key").count().where("count > 1 or key is null"), "many")
-        repeated = bool(many.take(1))
-    if not repeated:
-        taken = plan.where("copies > 0").select("_k", "copies")
-        rows = packed.join(small(taken, taken.count()), F.col("key") == F.col("_k"))
-    else:
-        numbered = plan.where("copies > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_k", "size").orderBy(F.desc("copies"))))
-        sized = packed.withColumn("_size", n_words(F.col(f"row.{text}")))
-        mine = sized.withColumn("_m", F.row_number().over(Window.partitionBy("key", "_size").orderBy(F.xxhash64("row"))))
-        same = F.col("key").eqNullSafe(F.col("_k")) & (F.col("_size") == F.col("size")) & (F.col("_m") == F.col("_n"))
-        rows = mine.join(numbered, same)
+        if not many.take(1):
+            rows = packed.join(small(plan, plan.count()), F.col("key") == F.col("_k"))
+        else:
+            many = small(many.select(F.col("key").alias("_m")), many.count())
+            apart = packed.join(many, F.col("key").eqNullSafe(F.col("_m")), "left_semi").withColumn("_size", n_words(F.col(f"row.{text}")))
+            apart = tables.stored(apart.withColumn("_part", F.spark_partition_id()), "apart")
+            once = plan.join(many, F.col("_k").eqNullSafe(F.col("_m")), "left_anti")
+            once = tables.stored(once, "once")
+            rows = packed.join(small(once, once.count()), F.col("key") == F.col("_k"))
+            ranges = plan.join(many, F.col("_k").eqNullSafe(F.col("_m")), "left_semi")
+            rows = rows.unionByName(_numbered(apart, tables).join(*_ranges(ranges, tables)), allowMissingColumns=True)
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
+def _numbered(rows: DataFrame, tables: Scratch) -> DataFrame:
+    """rows: key, _size, _part (their partition), stored. Adds _n: 0, 1, ... for those of one key and size; partition by
+    partition, so that a key of many rows is numbered by many tasks."""
+    counts = rows.groupBy("key", "_size", "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("key", "_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tables.stored(counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))), "before")
+    counts = counts.select(F.col("key").alias("_key"), F.col("_size").alias("_s"), F.col("_part").alias("_p"), "_before")
+    own = rows.withColumn("_row", F.row_number().over(Window.partitionBy("key", "_size", "_part").orderBy(F.xxhash64("row"))))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("_size") == F.col("_s")) & (F.col("_part") == F.col("_p"))
+    out = own.join(small(counts, counts.count()), same).withColumn("_n", F.col("_before") + F.col("_row") - 1)
+    return out.select("row", "key", "_size", "_n")
+
+
+def _ranges(plan: DataFrame, tables: Scratch) -> tuple[DataFrame, Column]:
+    """plan: _k, size, copies. For each key and size, the range of numbers that get so many copies; and the condition."""
+    counts = plan.groupBy("_k", "size", "copies").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy("_k", "size").orderBy(F.desc("copies"))  # a row for each number of copies
+    found = tables.stored(counts.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c")).drop("_c"), "ranges_of_copies")
+    inside = (F.col("_n") >= F.col("_lo")) & (F.col("_n") < F.col("_hi"))
+    return small(found, found.count()), F.col("key").eqNullSafe(F.col("_k")) & (F.col("_size") == F.col("size")) & inside

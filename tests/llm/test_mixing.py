@@ -2,8 +2,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing
+from sparkloom.llm.common import n_words
 
 from .helpers import documents, words
 
@@ -56,6 +58,54 @@ def test_targets_and_takes(mixed):
         assert abs(taken[s] - want[s]) <= 400, s
 
 
+def plain_mix(spark, docs, seed=1):
+    """Loops over all documents; hashes alone are Spark's. (key, copies) of each."""
+    size = n_words(F.col("text"))
+    rows = [[*r] for r in docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", size, F.lit(seed)).alias("h")).collect()]
+    sizes, n = defaultdict(int), defaultdict(int)
+    for _, s, words_, _ in rows:
+        sizes[s] += words_
+        n[s] += 1
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    rate = {s: t / sizes[s] if sizes[s] else 0.0 for s, t in zip(order, targets([sizes[s] for s in order]), strict=True)}
+    copies, still = [], []
+    for k, s, words_, h in rows:
+        base, p = int(rate[s]), rate[s] - int(rate[s])
+        if words_ and p:
+            still.append([order.index(s), h % max(1, -(-n[s] // mixing.BUCKET)), -words_, h, str(k), k, base, p])
+        else:
+            copies.append((k, base if words_ else 0))
+    level, widest = 0, -(-max(n.values()) // mixing.BUCKET)
+    while True:
+        held, left = None, []
+        for row in sorted(still, key=lambda r: r[:5]):
+            if held is not None and held[:2] == row[:2]:
+                held[7], row[7] = mixing.transfer(held[7], -held[2], row[7], -row[2], mixing._draw(held[3], row[3], seed + level))
+                copies += [(r[5], r[6] + int(r[7])) for r in (held, row) if r[7] in (0.0, 1.0)]
+                held = next((r for r in (held, row) if r[7] not in (0.0, 1.0)), None)
+            else:
+                left += [held] if held is not None else []
+                held = row
+        still, level = left + ([held] if held is not None else []), level + 1
+        if widest <= 1:
+            break
+        widest = -(-widest // mixing.BUCKET)
+        for r in still:
+            r[1] //= mixing.BUCKET
+    if still:
+        drawn = spark.createDataFrame([(i, r[3]) for i, r in enumerate(still)], "i int, h long").select("i", F.xxhash64("h", F.lit(seed + level)).alias("u")).collect()
+        u = {r.i: r.u % (1 << 53) / (1 << 53) for r in drawn}
+        copies += [(r[5], r[6] + (u[i] < r[7])) for i, r in enumerate(still)]
+    return copies
+
+
+def test_equals_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 64)
+    _, docs = made(spark, 7, 2500)
+    got = sorted((r.doc_id, r.copies) for r in mixing.mix(docs).collect())
+    assert got == sorted(plain_mix(spark, docs)) and {c for _, c in got} == {0, 1, 2}
+
+
 def test_reruns_agree_however_rows_are_dealt(spark, mixed):
     _, docs, got = mixed
     again = mixing.mix(docs.repartition(7, "text")).collect()
@@ -107,3 +157,15 @@ def test_sampled_repeats_documents(spark, mixed):
     for r in mixing.sampled(docs).select("doc_id").collect():
         n[r.doc_id] += 1
     assert n == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_sampled_of_repeated_keys(spark):
+    """One key, or none, may hold many rows: each row is taken as the mix takes rows of its key and size."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(5 + i % 2), "en", "ab"[i % 2]) for i in range(1200)]
+    docs = documents(spark, rows, clashing=True).repartition(9)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size] += r.copies
+    for r in mixing.sampled(docs).select("doc_id", "text").collect():
+        got[r.doc_id, len(words(r.text))] += 1
+    assert got == {k: n for k, n in want.items() if n}

@@ -1,18 +1,25 @@
 """The registry, and the pipeline against plain versions of its stages."""
 
+import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from sparkloom.llm import queries
+from sparkloom.llm.common import remainder
 from sparkloom.sources.tables import table
 
-from .helpers import documents, shingles, words
-from .test_rules_and_classifier import good
+from .helpers import components, documents, shingles, words
+from .test_mixing import plain_mix
+from .test_rules_and_classifier import good, plain_scores, plain_verdicts
 
 
 def test_registry():
@@ -59,7 +66,7 @@ def test_stages_take_effect(spark, folder):
         kept.append(Counter(r.doc_id for r in docs.collect()))
     clean = {k for k, *_ in rows if not 1000 <= k < 2000 and k < 4000}
     assert clean <= set(kept[0]) and not any(1000 <= k < 2000 for k in kept[0])
-    assert set(kept[1]) == clean
+    assert set(kept[1]) == clean  # without "too short" and the empty one
     texts = {k: t for k, t, _, _ in rows}
     near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
     want = set(range(300)) | {k for k in range(3000, 3030) if not near(shingles(texts[k], 5), shingles(texts[100 + k - 3000], 5))}
@@ -77,6 +84,36 @@ def test_run(spark, folder):
     assert 1.3 < size / left < 1.7
 
 
+def test_run_equals_plain_versions(spark, folder, tmp_path):
+    """run()'s whole rows against each stage's plain version, one after the other, over all documents."""
+    path, rows = folder
+    kept = {k: (t, s) for k, t, _, s in rows}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    scores = plain_scores(spark.read.parquet(f"{path}/documents.parquet"), labels, remainder(F.col("doc_id"), 5) != 0)
+    kept = {k: v for k, v in kept.items() if scores[k] >= 0.3}
+    verdicts, _ = plain_verdicts([(k, t, s) for k, (t, s) in kept.items()], corpus_pipeline.MIN_WORDS)
+    kept = {k: v for k, v in kept.items() if verdicts[k]}
+    least = components([(k, t) for k, (t, _) in kept.items()], 5, 80)
+    kept = {k: v for k, v in kept.items() if least[k] == k}
+    library, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for k, copies in plain_mix(spark, documents(spark, [(k, t, "en", s) for k, (t, s) in kept.items()])):
+        ids = library.encode(kept[k][0] or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        if copies:
+            want[k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()] += copies
+    assert Counter(map(tuple, corpus_pipeline.run(spark, path).collect())) == want and len(want) > 200
+
+
+def test_run_leaves_only_its_result(spark, folder):
+    from sparkloom.llm.common import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    out = corpus_pipeline.run(spark, folder[0])
+    made = set(shared.iterdir()) - before
+    assert len(made) == 1 and out.count() > 0
+
+
 def test_run_of_no_documents(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -72,14 +72,12 @@ def test_shrinking_needs_evidence(spark):
     assert 0 < hosts["tiny"].rate_any_failed < 1 and hosts["s1"].rate_any_failed < 0.05
 
 
-def test_verdicts_equal_a_plain_version(spark):
-    """The query's kept, and the shrunk rates, against loops over all documents."""
-    sf = "/root/testdata/sf0.1"
-    rows = [(r.doc_id, r.text, r.source) for r in table(spark, sf, "documents").select("doc_id", "text", "source").collect()]
+def plain_verdicts(rows, min_words=50):
+    """rows: (key, text, source). Of each key whether it is kept, and of each source its rates; loops over all documents."""
     failed = {}
     for k, t, _ in rows:
         n, _, symbols, dup, repeat = measures(t)
-        base, sym, lines = n < 50 or 100 * repeat > 50 * n, 100 * symbols > 20 * n, 100 * dup > 10 * n
+        base, sym, lines = n < min_words or 100 * repeat > 50 * n, 100 * symbols > 20 * n, 100 * dup > 10 * n
         failed[k] = base, sym, lines, base or sym or lines
     hosts = {}
     for k, _, s in rows:
@@ -98,16 +96,23 @@ def test_verdicts_equal_a_plain_version(spark):
             weight = max(1, 1 / likeness - 1) if likeness > 0 else docs
         for s, h in hosts.items():
             rates[s].append((h[i] + weight * p) / (h[0] + weight))
-    got = {r.source: [r[f"rate_{x}"] for x in qr.RULES] for r in qr.shrunk(qr.counted(qr.measured(table(spark, sf, "documents")), "source")).collect()}
-    assert got.keys() == rates.keys() and all(got[s] == pytest.approx(rates[s]) for s in rates)
 
     def kept(k, s):
         base, sym, lines, _ = failed[k]
         _, sym_rate, line_rate, any_rate = rates.get(s, (0, 1, 1, 0))
         return not (base or (sym and sym_rate >= qr.SOFT_RATE) or (lines and line_rate >= qr.SOFT_RATE) or any_rate >= qr.HOST_RATE)
 
+    return {k: kept(k, s) for k, _, s in rows}, rates
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "source").collect()]
+    kept, rates = plain_verdicts(rows)
+    got = {r.source: [r[f"rate_{x}"] for x in qr.RULES] for r in qr.shrunk(qr.counted(qr.measured(table(spark, sf, "documents")), "source")).collect()}
+    assert got.keys() == rates.keys() and all(got[s] == pytest.approx(rates[s]) for s in rates)
     judged = {r.doc_id: r.kept for r in op1_quality_rules(spark, sf).collect()}
-    assert judged == {k: kept(k, s) for k, _, s in rows} and 0 < sum(judged.values()) < len(judged)
+    assert judged == kept and 0 < sum(judged.values()) < len(judged)
 
 
 def test_sampling_variance_is_no_difference(spark):
@@ -177,17 +182,13 @@ def test_statistics_of_a_very_long_text(spark):
     assert qc.classify(documents(spark, rows), labels, F.lit(True)).count() == 2
 
 
-def test_scores_equal_a_plain_fit(spark, monkeypatch):
-    """The query's scores against normal equations in one place."""
-    monkeypatch.setattr(qc, "GROUP", 2)
-    sf = "/root/testdata/sf0.01"
-    docs, labels = table(spark, sf, "documents").repartition(7), {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
-    learn = remainder(F.col("doc_id"), 5) != 0
+def plain_scores(docs, labels, learn):
+    """Of each doc_id, its score by normal equations in one place. labels: quality by doc_id."""
     fold = F.pmod(F.xxhash64("doc_id", F.lit(qc.SEED)), F.lit(4))
     rows = docs.select("doc_id", "text", learn.alias("learn"), fold.alias("fold")).collect()
     x = np.array([qc.statistics(r.text) for r in rows])
     y = np.array([labels.get(r.doc_id, -1) for r in rows])
-    known, f = np.array([r.learn for r in rows]) & (y >= 0), np.array([r.fold for r in rows])
+    known, f = np.array([bool(r.learn) for r in rows]) & (y >= 0), np.array([r.fold for r in rows])
     mean, scale = x[known].mean(0), x[known].std(0)
     scale[scale == 0] = 1
     z = qc._fourier((x - mean) / scale)
@@ -197,9 +198,18 @@ def test_scores_equal_a_plain_fit(spark, monkeypatch):
     bins = np.clip(np.floor((raw[cal] + 0.5) * (qc.BINS / 2)), 0, qc.BINS - 1)
     of = [(raw[cal][bins == b].mean(), y[cal][bins == b].mean(), (bins == b).sum()) for b in np.unique(bins)]
     steps, levels = qc.isotonic(*np.array(sorted(of)).T)
-    want = dict(zip([r.doc_id for r in rows], np.interp(raw, steps, levels), strict=True))
+    return dict(zip([r.doc_id for r in rows], np.interp(raw, steps, levels), strict=True))
+
+
+def test_scores_equal_a_plain_fit(spark, monkeypatch):
+    """The query's scores against normal equations in one place."""
+    monkeypatch.setattr(qc, "GROUP", 2)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").repartition(7), {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    learn = remainder(F.col("doc_id"), 5) != 0
+    want = plain_scores(docs, labels, learn)
     got = qc.classify(docs, table(spark, sf, "labels"), learn).collect()
-    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) for r in got)
+    assert len(got) == len(want) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) for r in got)
 
 
 def test_isotonic_is_the_nearest_rising_fit():
