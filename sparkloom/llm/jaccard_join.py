@@ -7,6 +7,10 @@ reach the threshold, are members of one leader's block. A block's sets are store
 sharing the overlap with a path among all the sets below, and leaves subtrees whose remaining lengths cannot reach the
 threshold any more. Only a spanning forest of a block's links is returned, so that a group of near copies gives as many
 rows as it has members and not as many as it has pairs. Sets that are equal are one from the start.
+
+A large block is dealt in parts, each with the leader. Sets that are then known to be of one component need no further
+look at each other. Only those of other components than the leader's, the strays, are held against the other parts, so
+that a large group of near copies ships as many sets as it has members.
 """
 
 from __future__ import annotations
@@ -362,15 +366,13 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
 
     found = docs.join(small(wanted, wanted.count()), "key", "left_semi").select("key", tokens("text").alias("tokens"))
 
-    members = edges.unionByName(edges.select("leader", F.col("leader").alias("member")).distinct())
-    parts = members.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
-    parts = tables.stored(parts.withColumnRenamed("leader", "_l"), "parts")
-    dealt = members.join(small(parts, parts.count()), F.col("leader") == F.col("_l"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("leader", "member", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    dealt = tables.stored(dealt, "dealt")
-    joined = found.join(small(dealt, dealt.count()), found["key"] == dealt["member"])
+    def verified(dealt: DataFrame, name: str) -> DataFrame:
+        """dealt: leader, lo, hi, member, probe. Links among the sets of each (leader, lo, hi): of probes with the others,
+        or, if there are none, of each with each."""
+        dealt = tables.stored(dealt, f"dealt_{name}")
+        joined = found.join(small(dealt, dealt.count()), found["key"] == dealt["member"])
+        blocks = joined.select("leader", "lo", "hi", "key", "probe", "tokens").repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi")
+        return tables.stored(blocks.mapInPandas(run, "u long, v long").distinct(), f"links_{name}")
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -385,27 +387,55 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
             return pd.DataFrame(pairs, columns=["u", "v"], dtype=np.int64) if pairs else None
 
         for batch in batches:
-            for leader, lo, hi, key, part, t in zip(*(batch[c] for c in ("leader", "lo", "hi", "key", "part", "tokens")), strict=True):
+            for leader, lo, hi, key, probe, t in zip(*(batch[c] for c in ("leader", "lo", "hi", "key", "probe", "tokens")), strict=True):
                 if at != (leader, lo, hi):
                     if (made := done()) is not None:
                         yield made
                     held, at = [], (leader, lo, hi)
-                held.append((key, lo != hi and part == hi, np.asarray(t, np.int64).view(np.uint64)))
+                held.append((key, bool(probe), np.asarray(t, np.int64).view(np.uint64)))
         if (made := done()) is not None:
             yield made
 
-    blocks = joined.select("leader", "lo", "hi", "key", "part", "tokens").repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi")
-    return blocks.mapInPandas(run, "u long, v long").distinct()
-
-
-def components(edges: DataFrame, tables: Scratch) -> DataFrame:
+    none = F.lit(0).cast("long")
+    sizes = edges.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
+    sizes = tables.stored(sizes.withColumnRenamed("leader", "_l"), "parts")
+    large = small(sizes, sizes.count())
+    members = edges.join(large, F.col("leader") == F.col("_l"), "left").withColumn("parts", F.coalesce("parts", none + 1))
+    members = tables.stored(members.select("leader", "member", "parts", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part")), "members")
+    leaders = members.select("leader", "parts").distinct()
+    leaders = leaders.select("leader", F.col("leader").alias("member"), F.explode(F.sequence(none, F.col("parts") - 1)).alias("part"))
+    first = members.select("leader", "member", "part").unionByName(leaders)
+    linked = verified(first.select("leader", none.alias("lo"), F.col("part").alias("hi"), "member", F.lit(False).alias("probe")), "first")
+
+    several = members.where("parts > 1")
+    if not several.take(1):
+        return linked
+    known = tables.stored(components(linked, tables, "known").select(F.col("u").alias("_u"), F.col("v").alias("_v")), "known")
+    own = small(known, known.count())
+    rooted = several.join(own, F.col("member") == F.col("_u"), "left").withColumn("root", F.coalesce("_v", "member")).drop("_u", "_v")
+    rooted = rooted.join(own, F.col("leader") == F.col("_u"), "left").withColumn("top", F.coalesce("_v", "leader")).drop("_u", "_v")
+    rooted = tables.stored(rooted, "rooted")
+    strays = rooted.where("root <> top")
+    chunks = strays.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("chunks"))
+    chunks = tables.stored(chunks.withColumnRenamed("leader", "_l"), "chunks")
+    n_chunks = chunks.count()
+    if not n_chunks:
+        return linked
+    strays, every = (x.join(small(chunks, n_chunks), F.col("leader") == F.col("_l")) for x in (strays, rooted))
+    probes = strays.withColumn("lo", F.pmod(F.xxhash64("member", F.lit(1)), F.col("chunks"))).withColumn("hi", F.explode(F.sequence(none, F.col("parts") - 1)))
+    others = every.withColumn("lo", F.explode(F.sequence(none, F.col("chunks") - 1))).withColumn("hi", F.col("part"))
+    both = [x.select("leader", "lo", "hi", "member", F.lit(probe).alias("probe")) for x, probe in ((probes, True), (others, False))]
+    return linked.unionByName(verified(both[0].unionByName(both[1]), "strays"))
+
+
+def components(edges: DataFrame, tables: Scratch, name: str = "") -> DataFrame:
     """edges: u, v. (u, v) of each node that is not the least of its component, v being that least one.
 
     Every node's larger neighbours are tied to its least neighbour, then its smaller ones; each round is stored, and the
     rounds end when nothing changes. No group is ever gathered: only minima are taken.
     """
     least_first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before, step = tables.stored(least_first, "links0"), None, 0
+    now, before, step = tables.stored(least_first, f"{name}links0"), None, 0
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before or not sign[0]:
@@ -414,11 +444,11 @@ def components(edges: DataFrame, tables: Scratch) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = tables.stored(large, f"large{step}")
+        large = tables.stored(large, f"{name}large{step}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
         tied = tied.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = tables.stored(tied.select("e.*").where("u <> v").distinct(), f"links{step}")
+        now = tables.stored(tied.select("e.*").where("u <> v").distinct(), f"{name}links{step}")
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -431,16 +461,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
     common.BROADCAST_BYTES of documents have candidates. Hashes of 64 bits stand for n-grams; of two different n-grams of
     a pair to be taken for the same, the chance is below 1 in 10^12 for a pair of sets of 3,000.
     """
-    tables = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sets = tables.stored(rows.select("key", _sets(F.col("text"), n, percent).alias("s")).select("key", "s.*"), "sets")
     with scratch(docs.sparkSession) as s:
+        sets = s.stored(rows.select("key", _sets(F.col("text"), n, percent).alias("s")).select("key", "s.*"), "sets")
         full = sets.where("n > 0 and key is not null")
         equal = full.select("key", "a", "b").groupBy("a", "b").agg(F.min("key").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
         equal = s.stored(equal, "equal")
         n_equal = equal.count()
         classed = sets.select("key", "n", "a", "b").join(small(equal, n_equal), ["a", "b"], "left")
-        classed = tables.stored(classed.select("key", "n", "a", "b", F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("rep")), "classed")
+        classed = s.stored(classed.select("key", "n", "a", "b", F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("rep")), "classed")
         copies = s.stored(classed.where("key <> rep").select("key", "a", "b"), "copies")
         different = full.join(small(copies, copies.count()), ["key", "a", "b"], "left_anti").select("key", "n", "low")
         found = links(rows.where("key is not null"), different, s, n, percent)
@@ -450,10 +479,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
         if several.take(1):  # a key with several texts ties their sets
             found = found.unionByName(held.join(several, "key").select(F.col("key").alias("u"), F.col("rep").alias("v")))
         found = components(found, s)
-        found = tables.stored(found.select(F.col("u").alias("rep"), F.col("v").alias("root")), "found")
-    out = classed.join(small(found, found.count()), "rep", "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("root", "rep"))
-    return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        found = s.stored(found.select(F.col("u").alias("rep"), F.col("v").alias("root")), "found")
+        out = classed.join(small(found, found.count()), "rep", "left")
+        component = F.when(F.col("key").isNotNull(), F.coalesce("root", "rep"))
+        out = out.select(F.col("key").cast(docs.schema[key].dataType).alias("_key"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        return Scratch(docs.sparkSession).stored(out.withColumnRenamed("_key", key), "components")
 
 
 def deduplicated(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
