@@ -1,8 +1,8 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is cut into halves, and these again, down to blocks. Blocks are rows of their own, so that many tasks encode
-the halves of one text in parallel; then, level by level, two neighbours are joined in one task, which copies their tokens
-and works on little text: the tokens nearest to the join are taken back, their text is encoded anew as a window, and the window grows
+A long text is cut into halves, and these again, down to blocks. Those of a text of more than DEALT characters are rows of
+their own, so that many tasks encode its halves in parallel; then, level by level, two neighbours are joined in one task,
+which copies their tokens and works on little text: the tokens nearest to the join are taken back, their text is encoded anew as a window, and the window grows
 until its first and last tokens agree with what stands outside it. What "agree" means differs by level:
 
 * Between pieces (the runs into which the pre-tokenizer's pattern splits a text): matching is from left to right and
@@ -34,6 +34,9 @@ from .common import Scratch, scratch, tidied
 #: Characters of a block that is encoded at once (longer texts are trees), and of a piece beyond which it is one.
 BLOCK, PIECE = 1 << 14, 1 << 10
 
+#: Characters of a text beyond which its blocks are dealt to many tasks; the tree of a shorter one is a single task's.
+DEALT = 1 << 16
+
 #: The splitting pattern of the vocabulary's pre-tokenizer. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -310,8 +313,8 @@ def trees(rows: DataFrame, path: str, tables: Scratch) -> DataFrame:
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, ids_sha256, decoded_sha256.
 
-    Texts of one block are encoded in one pass that keeps no ids; longer ones are trees, of which parts are stored on the
-    way. Null texts are empty: no tokens, and the digests of nothing. Rows are independent, so repeated rows and ties
+    Texts of up to DEALT characters are encoded in one pass that keeps no ids, as trees if they exceed a block; of longer
+    ones blocks and joins are stored on the way. Null texts are empty: no tokens, and the digests of nothing. Rows are independent, so repeated rows and ties
     repeat their results; empty tables give no rows; other columns are left out.
     """
 
@@ -320,7 +323,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         c = codec(path)
         return pd.DataFrame([_digest(c, [np.array(c.encode(t or ""), np.int64)]) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows, is_long = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), F.coalesce(F.length("text") > BLOCK, F.lit(False))
+    rows, is_long = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), F.coalesce(F.length("text") > DEALT, F.lit(False))
     out = rows.where(~is_long).select("key", run("text").alias("_r")).select("key", "_r.*")
     with scratch(docs.sparkSession) as s:
         long = s.stored(rows.where(is_long).withColumn("id", F.monotonically_increasing_id()), "long")
