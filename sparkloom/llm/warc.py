@@ -75,7 +75,8 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """The version block and the documents of an ARC file, gzipped or not; ValueError where a line or a length does not
     fit."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        with gzip.open(io.BytesIO(data)) as stream:  # gzip.decompress copies what is left for each member
+            data = stream.read()
     at, names = 0, None
     while at < len(data):
         if data[at : at + 1] == b"\n":
