@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def sizing(n: int, rate: float) -> tuple[int, int]:
-    """Bits (64 at least) and probes (1 to 30) for n keys at a false-positive rate."""
+    """Bits (64 at least) and probes (1 to 30) for n keys at a false-positive rate. The formula and its bounds are fixed
+    values."""
     bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     return bits, min(30, max(1, round(bits / max(n, 1) * math.log(2))))
 
@@ -35,7 +36,30 @@ def from_bytes(data: bytes):
     return jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(jvm.java.io.ByteArrayInputStream(bytearray(data)))
 
 
-def semi_join(df: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
-    """Rows whose key is among other keys. Spark puts a Bloom filter of its own before the shuffle where the sides are
-    large enough for one to pay, and the semi-join makes it exact."""
-    return df.join(keys.select(F.col(other).alias("_k")), F.col(key) == F.col("_k"), "left_semi")
+#: Bytes of a filter that is made part of a plan.
+MOST = 8 << 20
+
+
+def may_contain(data: bytes, key: Column) -> Column:
+    """Whether a filter of hashes (see hashes_of) may hold a key: Spark's own expression, within generated code."""
+    from pyspark import SparkContext
+    from pyspark.sql.classic.column import Column as Classic, _to_java_column
+
+    sql = SparkContext._jvm.org.apache.spark.sql
+    parts = [sql.classic.ExpressionUtils.expression(_to_java_column(c)) for c in (F.lit(bytearray(data)), F.xxhash64(key))]
+    return Classic(sql.classic.ExpressionUtils.column(sql.catalyst.expressions.BloomFilterMightContain(*parts)))
+
+
+def hashes_of(keys: DataFrame, key: str, n: int, rate: float = 0.01) -> bytes:
+    """A filter of the hashes of n keys, as bytes."""
+    return to_bytes(build(keys.select(F.xxhash64(key).alias("h")), "h", max(1, n), rate))
+
+
+def semi_join(df: DataFrame, key: str, keys: DataFrame, other: str, rate: float = 0.01) -> DataFrame:
+    """Rows whose key is among other keys. A Bloom filter of these goes through the rows first, so that few that have no
+    match are shuffled; the semi-join makes it exact. Where the filter would exceed MOST bytes, the join does it alone."""
+    wanted = keys.select(F.col(other).alias("_k")).where("_k is not null")
+    n = wanted.agg(F.approx_count_distinct("_k")).first()[0]
+    if n and sizing(n, rate)[0] <= 8 * MOST:
+        df = df.where(may_contain(hashes_of(wanted, "_k", n, rate), F.col(key)))
+    return df.join(wanted, F.col(key) == F.col("_k"), "left_semi")

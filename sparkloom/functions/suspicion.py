@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +22,28 @@ def moments(beats: DataFrame, node: str, at: str, window: int = WINDOW) -> DataF
     return gaps(beats, node, at).withColumns({"n": F.count("gap").over(last), "mu": F.avg("gap").over(last), "sigma": F.stddev_pop("gap").over(last)})
 
 
-def _phi(z: float) -> float:
-    tail = 0.5 * math.erfc(z / math.sqrt(2))
-    if tail > 1e-300:
-        return -math.log10(tail)
-    return (z * z / 2 + math.log(z * math.sqrt(2 * math.pi))) / math.log(10)  # the tail's asymptote
+#: Coefficients, from the constant up, of a fit to the complementary error function whose error is below 1.2e-7 of its
+#: value everywhere (a Chebyshev fit from the literature). Fixed values.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
 def phi(elapsed: Column, mu: Column, sigma: Column) -> Column:
-    """-log10 of the chance that a gap of a normal distribution is longer than elapsed; null where an input is. Without
-    spread it is 0 up to the mean and infinite beyond."""
-
-    @F.pandas_udf("double")
-    def run(t: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        out = np.full(len(t), np.nan)
-        for i, (a, b, c) in enumerate(zip(t.to_numpy(float), m.to_numpy(float), s.to_numpy(float), strict=True)):
-            if a == a and b == b and c == c:
-                out[i] = _phi((a - b) / c) if c > 0 else (math.inf if a > b else 0.0)
-        return pd.Series(out).astype("Float64").mask(np.isnan(out))
-
-    return run(elapsed.cast("double"), mu.cast("double"), sigma.cast("double"))
+    """-log10 of the chance that a gap of a normal distribution is longer than elapsed, to 1e-7; null where an input is.
+    Without spread it is 0 up to the mean and infinite beyond. Far tails are worked out as logarithms, so that none
+    becomes 0."""
+    t, m, s = (c.cast("double") for c in (elapsed, mu, sigma))
+
+    def of(x: Column) -> Column:
+        u = F.lit(1.0) / (F.lit(1.0) + F.abs(x) * 0.5)
+        fit = F.lit(ERFC[-1])
+        for c in ERFC[-2::-1]:
+            fit = F.lit(c) + u * fit
+        log = F.log(u) - x * x + fit  # of erfc(|x|)
+        tail = F.when(x >= 0, log - math.log(2)).otherwise(F.log(F.lit(1.0) - F.exp(log) * 0.5))
+        return -tail / math.log(10)
+
+    level = F.transform(F.array((t - m) / (s * math.sqrt(2))), of)[0]
+    return F.when(t.isNull() | m.isNull() | s.isNull(), F.lit(None)).when(s > 0, level).when(t > m, F.lit(math.inf)).otherwise(F.lit(0.0))
 
 
 def suspected(elapsed: Column, n: Column, mu: Column, sigma: Column, fallback: float, least: int = LEAST, threshold: float = THRESHOLD) -> Column:

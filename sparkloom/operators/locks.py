@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +30,6 @@ def conflicts(held: DataFrame, requested: DataFrame) -> DataFrame:
     return named.join(m, ["held", "req"], "left_semi").select("waiter", "holder", "resource")
 
 
-def cycles(edges: DataFrame, longest: int = 25) -> DataFrame:
-    """edges: src, dst of a wait-for graph. Each node on a cycle, with its shortest cycle's length up to `longest`."""
-    spark, name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
-    edges.select("src", "dst").distinct().createOrReplaceTempView(name)
-    return spark.sql(f"""
-        with recursive walk(src, dst, d) as (
-            select src, dst, 1 from {name}
-            union all
-            select w.src, e.dst, w.d + 1 from walk w join {name} e on e.src = w.dst where w.d < {int(longest)} and w.src <> w.dst)
-        select src, min(d) as cycle_len from walk where src = dst group by src""")
-
-
 def victims(cyclic: DataFrame, transactions: DataFrame, policy: str = "youngest") -> DataFrame:
     """transactions: tx, started, work. The one of those on cycles to abort: the youngest, or that with least work."""
     on = transactions.join(cyclic.select(F.col("src").alias("tx")).distinct(), "tx", "left_semi")
@@ -63,14 +49,19 @@ def waiting(edges: DataFrame) -> DataFrame:
     return left
 
 
-def cycle_lengths(edges: DataFrame) -> DataFrame:
-    """Like `cycles`, for cycles of any length: who reaches whom within what `waiting` leaves, a step more each round."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """edges: src, dst of a wait-for graph. Each node on a cycle, with the length of its shortest one, however long.
+
+    Who reaches whom, within what `waiting` leaves, a step more each round; each pair is found once, in its first round.
+    """
     left = waiting(edges)
     onward = left.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     front, found, d = left, left.withColumn("cycle_len", F.lit(1)), 1
     while front.take(1):
         d += 1
-        step = front.join(onward, "dst").select("src", F.col("to").alias("dst")).distinct()
+        # a node whose cycle is known needs no further steps
+        open_ = front.join(found.where("src = dst").select("src"), "src", "left_anti")
+        step = open_.join(onward, "dst").select("src", F.col("to").alias("dst")).distinct()
         front = checkpointed(step.join(found, ["src", "dst"], "left_anti"))
         found = checkpointed(found.unionByName(front.withColumn("cycle_len", F.lit(d))))
     return found.where("src = dst").select("src", "cycle_len")

@@ -100,3 +100,17 @@ def write_skews(reads: DataFrame, writes: DataFrame) -> DataFrame:
     edges = over.select(F.col("r.tx").alias("a"), F.col("w.tx").alias("b")).distinct()
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return edges.join(back, ["a", "b"], "left_semi").where("a < b")
+
+
+def phantoms(scans: DataFrame) -> DataFrame:
+    """scans: tx, predicate, scan (a number), key. (tx, predicate) pairs whose scans did not all find the same keys."""
+    n = scans.groupBy("tx", "predicate").agg(F.count_distinct("scan").alias("scans"))
+    found = scans.groupBy("tx", "predicate", "key").agg(F.count_distinct("scan").alias("n"))
+    return found.join(n, ["tx", "predicate"]).where("n < scans").select("tx", "predicate").distinct()
+
+
+def lost_updates(updates: DataFrame) -> DataFrame:
+    """updates: tx, key, read_version, version: each transaction's write of a key over the version that it had read.
+    (tx, key, lost) where another transaction had meanwhile written `lost` over the same version."""
+    first = updates.groupBy("key", "read_version").agg(F.min("version").alias("lost"))
+    return updates.join(first, ["key", "read_version"]).where(F.col("version") > F.col("lost")).select("tx", "key", "lost")

@@ -42,3 +42,58 @@ ORACLE = {
     "overlap_join": """with f as (select event_id % 40 as file_no, min(user_id) as lo, max(user_id) as hi from events where event_id < 200 group by event_id % 40) select a.file_no as src, b.file_no as dst from f a join f b on b.hi >= a.lo and b.lo <= a.hi and a.file_no < 4 and b.file_no >= 4""",
     "percentiles": """select event_type, quantile_cont(value,0.5) as p50, quantile_cont(value,0.99) as p99 from events group by 1""",
 }
+
+
+# --- what DuckDB lacks, written out
+
+#: The constants of 64-bit xxHash. Fixed values.
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+#: That hash of the text "ring" with seed 42, which starts the hashes of a ring's places.
+RING = 10803535679872668612
+
+
+def hashed(rows: str, keep: str, key: str, small: bool = False) -> str:
+    """SQL that adds h, the 64-bit xxHash (signed) of a key of 64 bits, or of 32 (small). rows: a select with the key (0 or
+    more) and seed, as a number of 128 bits."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in PRIMES)
+    mod = f"{1 << 64}::uhugeint"
+
+    def turned(x: str, n: int) -> str:
+        return f"((({x}) * {1 << n}::uhugeint) % {mod} + ({x}) // {1 << (64 - n)}::uhugeint)"
+
+    def xor(a: str, b: str) -> str:
+        return f"xor(({a})::ubigint, ({b})::ubigint)::uhugeint"
+
+    if small:
+        mixed, turn = f"(({key}::uhugeint) * {p1}) % {mod}", (23, p2, p3)
+    else:
+        mixed, turn = f"({turned(f'(({key}::uhugeint) * {p2}) % {mod}', 31)} * {p1}) % {mod}", (27, p1, p4)
+    steps = [
+        xor(f"(seed + {p5} + {4 if small else 8}::uhugeint) % {mod}", mixed), f"({turned('a', turn[0])} * {turn[1]} + {turn[2]}) % {mod}",
+        f"({xor('a', f'a // {1 << 33}::uhugeint')} * {p2}) % {mod}", f"({xor('a', f'a // {1 << 29}::uhugeint')} * {p3}) % {mod}", xor("a", f"a // {1 << 32}::uhugeint"),
+    ]
+    names = [c.strip() for c in keep.split(",")]
+    inner = ", ".join(f"{key} as {c}" if c == "o_orderkey" else c for c in names)
+    sql = f"select {inner}, {steps[0]} as a from ({rows})"
+    for step in steps[1:]:
+        sql = f"select {keep}, {step} as a from ({sql})"
+    return f"select {keep}, (case when a >= {1 << 63}::uhugeint then a::hugeint - {1 << 64}::hugeint else a::hugeint end)::bigint as h from ({sql})"
+
+
+def crc_table() -> list[int]:
+    """A byte's remainders for the checksum, by the rule."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    """SQL of a polynomial, coefficients from the constant up."""
+    sql = f"{coefficients[-1]!r}::double"
+    for c in coefficients[-2::-1]:
+        sql = f"{c!r}::double + {x} * ({sql})"
+    return sql

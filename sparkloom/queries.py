@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom import oracle
 from sparkloom.functions import bloom, checksum, suspicion
 from sparkloom.operators import locks, mvcc, recovery, relational as R, routing, versioned as V
 from sparkloom.oracle import ORACLE as _SQL
-from sparkloom.plans import stats
-from sparkloom.session import shipped
-from sparkloom.sources.manifest import overlap
+from sparkloom.plans import frontdoor, stats
+from sparkloom.session import shared_dir, shipped
+from sparkloom.sources import manifest
 from sparkloom.sources.tables import table
 
 
@@ -30,12 +33,23 @@ def scan_seq(spark, d):
     return table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
 
 
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
+def _index(spark, d):
+    """The index of orders by their key, made once for each folder and application."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _indexes:
+        _indexes[at] = frontdoor.create_index(table(spark, d, "orders"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "o_orderkey")
+    return _indexes[at]
+
+
 def index_point(spark, d):
-    return table(spark, d, "orders").where("o_orderkey = 42").select("o_orderkey", "o_custkey", "o_totalprice")
+    return frontdoor.index_lookup(_index(spark, d), "o_orderkey", 42).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 def index_range(spark, d):
-    return R.key_range(table(spark, d, "orders"), "o_orderkey", 100, 200).select("o_orderkey", "o_totalprice")
+    return frontdoor.index_lookup(_index(spark, d), "o_orderkey", 100, 200).select("o_orderkey", "o_totalprice")
 
 
 def filter_bool(spark, d):
@@ -116,6 +130,15 @@ def dml_delete(spark, d):
     return R.deleted(table(spark, d, "customer"), F.col("c_acctbal") < 0).select("c_custkey")
 
 
+def sql_update(spark, d):
+    text = "update customer set c_acctbal = c_acctbal + 100, c_name = concat(c_name, '*') where c_mktsegment = 'AUTOMOBILE' and c_acctbal > 0"
+    return frontdoor.sql(spark, d, text).select("c_custkey", "c_acctbal", "c_name")
+
+
+def sql_delete(spark, d):
+    return frontdoor.sql(spark, d, "delete from customer where c_acctbal < 0").select("c_custkey")
+
+
 def constraint_pk(spark, d):
     return R.duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("count").alias("cnt"))
 
@@ -139,27 +162,18 @@ def lsm_get(spark, d):
     return V.get(_events(spark, d), 7, **_KEYED).select("user_id", "seq", "value")
 
 
-def _runs(spark, d, n):
-    """The first n of the events' four runs."""
+def _runs(spark, d):
+    """The events' four runs."""
     e = _events(spark, d)
-    return V.merged([e.where(f"seq % 4 = {i}") for i in range(n)])
+    return V.merged([e.where(f"seq % 4 = {i}") for i in range(4)])
 
 
 def lsm_compact_keep(spark, d):
-    """Of two runs, as its SQL says; lsm_compact_keep_all is of all four. So is lsm_compact_drop."""
-    return V.compacted(_runs(spark, d, 2), False, **_KEYED).select("user_id", "seq", "tomb")
+    return V.compacted(_runs(spark, d), False, **_KEYED).select("user_id", "seq", "tomb")
 
 
 def lsm_compact_drop(spark, d):
-    return V.compacted(_runs(spark, d, 2), True, **_KEYED).select("user_id", "seq", "tomb")
-
-
-def lsm_compact_keep_all(spark, d):
-    return V.compacted(_runs(spark, d, 4), False, **_KEYED).select("user_id", "seq", "tomb")
-
-
-def lsm_compact_drop_all(spark, d):
-    return V.compacted(_runs(spark, d, 4), True, **_KEYED).select("user_id", "seq", "tomb")
+    return V.compacted(_runs(spark, d), True, **_KEYED).select("user_id", "seq", "tomb")
 
 
 def lsm_entries(spark, d):
@@ -170,28 +184,40 @@ def lsm_entries(spark, d):
     return out.select(F.col("key").cast("string").alias("k"), "seq", (F.col("bytes") - F.octet_length("value")).alias("key_bytes"))
 
 
+def _described(spark, d, level: Column, number: Column):
+    return manifest.described(table(spark, d, "events"), level, number, "user_id", F.length(F.col("user_id").cast("string")) + 9)
+
+
+def _key(column: str) -> Column:
+    return F.col(column).cast("string").cast("long").alias(column)
+
+
 def lsm_manifest(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy((F.col("event_id") % 4).alias("file_no")).agg(F.min("user_id").alias("smallest_key"), F.max("user_id").alias("largest_key"), F.count("*").alias("key_count"))
+    files = _described(spark, d, F.lit(0), F.col("event_id") % 4)
+    return files.select(F.col("file_number").alias("file_no"), _key("smallest_key"), _key("largest_key"), "key_count")
 
 
-def _files(events):
-    return events.groupBy((F.col("event_id") % 40).alias("file_no")).agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+def _levels(spark, d):
+    """Four first-level runs, and the second level's runs by ranges of fifty users."""
+    first = F.col("event_id") % 5
+    return _described(spark, d, F.when(first < 4, 0).otherwise(1), F.when(first < 4, first + 1).otherwise(10 + F.floor(F.col("user_id") / 50)))
 
 
-def _overlaps(files):
-    a, b = files.where("file_no < 4").alias("a"), files.where("file_no >= 4").alias("b")
-    on = overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
-    return R.theta_join(a, b, on).select(F.col("a.file_no").alias("src"), F.col("b.file_no").alias("dst"))
+def lsm_level_stats(spark, d):
+    return manifest.level_stats(_levels(spark, d)).select("level", "files", "bytes", _key("smallest_key"), _key("largest_key"))
 
 
-def overlap_join(spark, d):
-    """Over the first 200 events, as its SQL says; overlap_join_all is over all."""
-    return _overlaps(_files(table(spark, d, "events").where("event_id < 200")))
+def lsm_compaction_pick(spark, d):
+    task = manifest.leveled(manifest.loaded(_levels(spark, d)))
+    return spark.createDataFrame([(f.level, f.file_number, task.target, task.drop_tombstones) for f in task.inputs], "level int, file_number long, target int, drop_tombstones boolean")
 
 
-def overlap_join_all(spark, d):
-    return _overlaps(_files(table(spark, d, "events")))
+def overlap_join(spark, d):
+    """Which of the first four files of forty meet which of the others."""
+    files = table(spark, d, "events").groupBy((F.col("event_id") % 40).alias("file_no")).agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+    a, b = files.where("file_no < 4").alias("a"), files.where("file_no >= 4").alias("b")
+    on = manifest.overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
+    return R.theta_join(a, b, on).select(F.col("a.file_no").alias("src"), F.col("b.file_no").alias("dst"))
 
 
 def bloom_semi(spark, d):
@@ -224,6 +250,19 @@ def wal_redo(spark, d):
     return recovery.redone(_log(spark, d)).select("page_id", "slot", "page_lsn")
 
 
+def wal_undo(spark, d):
+    """What transactions without an end go back to."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type").isin("click", "view"), "UPDATE").when(F.col("event_type") == "purchase", "COMMIT").when(F.col("event_type") == "error", "ABORT").otherwise("OTHER")
+    image = F.round(F.col("value") * 100).cast("long").cast("string")
+    place = Window.partitionBy(F.col("user_id") % 16, "event_type").orderBy("event_id")
+    log = e.select(
+        F.col("event_id").alias("lsn"), F.col("user_id").alias("tx_id"), kind.alias("type"), (F.col("user_id") % 16).alias("page_id"), F.col("event_type").alias("slot"),
+        F.lag(image).over(place).cast("binary").alias("before_image"), F.lit(None).cast("long").alias("undo_next_lsn"),
+    )
+    return recovery.undone(log).withColumn("image", F.col("image").cast("string"))
+
+
 def two_pc(spark, d):
     return recovery.outcomes(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase").withColumnRenamed("user_id", "tx_id")
 
@@ -253,8 +292,29 @@ def first_committer(spark, d):
 
 
 def ssi_pivots(spark, d):
-    n = table(spark, d, "nation")
-    return mvcc.dangerous_structures(n.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")).where("src <> dst"))
+    """Readers of each ten events against the writers of the next ten."""
+    e = table(spark, d, "events")
+    reads = e.where("event_type in ('click', 'view')").select(F.col("user_id").alias("src"), F.floor(F.col("event_id") / 10).alias("k"))
+    writes = e.where("event_type = 'purchase'").select(F.col("user_id").alias("dst"), (F.floor(F.col("event_id") / 10) - 1).alias("k"))
+    return mvcc.dangerous_structures(reads.join(writes, "k").where("src <> dst and src % 10 = dst % 10").select("src", "dst"))
+
+
+def write_skew(spark, d):
+    """Of users that read and write the same ten events."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("tx"), F.floor(F.col("event_id") / 10).alias("key"), "event_type")
+    return mvcc.write_skews(e.where("event_type in ('click', 'view')").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type"))
+
+
+def lost_update(spark, d):
+    """Writes of a user's row over the version of the same twenty events."""
+    e = table(spark, d, "events")
+    return mvcc.lost_updates(e.select(F.col("event_id").alias("tx"), F.col("user_id").alias("key"), F.floor(F.col("event_id") / 20).alias("read_version"), F.col("event_id").alias("version")))
+
+
+def phantom(spark, d):
+    """Each user scans each type of events in turns."""
+    e = table(spark, d, "events")
+    return mvcc.phantoms(e.select(F.col("user_id").alias("tx"), F.col("event_type").alias("predicate"), (F.col("event_id") % 2).alias("scan"), (F.col("event_id") % 3).alias("key")))
 
 
 def lock_conflict(spark, d):
@@ -262,22 +322,13 @@ def lock_conflict(spark, d):
     return spark.createDataFrame(asked, "held string, req string").join(F.broadcast(locks.matrix(spark).where("not ok")), ["held", "req"], "left_semi")
 
 
-def _lock_waits(orders):
+def lock_waits(spark, d):
     """Orders as requests for their customer: urgent ones exclusive, the others shared."""
     mode = F.when(F.col("o_orderpriority").startswith("1"), "X").otherwise("S")
-    rows = orders.select(F.col("o_custkey").alias("resource"), F.col("o_orderkey").alias("tx"), mode.alias("mode"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("resource"), F.col("o_orderkey").alias("tx"), mode.alias("mode"))
     return locks.conflicts(rows, rows)
 
 
-def lock_waits(spark, d):
-    """For customers below 50, as its SQL says; lock_waits_all is for all."""
-    return _lock_waits(table(spark, d, "orders").where("o_custkey < 50"))
-
-
-def lock_waits_all(spark, d):
-    return _lock_waits(table(spark, d, "orders"))
-
-
 def deadlock_cycle(spark, d):
     n = table(spark, d, "nation")
     return locks.cycles(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst")))
@@ -347,9 +398,12 @@ def json_log(spark, d):
 
 _ALL = [
     scan_seq, index_point, index_range, filter_bool, filter_between, project_expr, hash_join_inner, hash_join_left, nested_loop_join, hash_agg,
-    global_agg_empty, having, topk_offset, sort_all, partial_final_agg, flagship, dml_insert, dml_update, dml_delete, constraint_pk, constraint_fk,
-    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_compact_keep_all, lsm_compact_drop_all, lsm_entries, lsm_manifest, overlap_join, overlap_join_all, bloom_semi,
-    wal_att, wal_dpt, wal_redo, two_pc, raft_commit, mvcc_visible, vacuum, first_committer, ssi_pivots, lock_conflict, lock_waits, lock_waits_all, deadlock_cycle,
+    global_agg_empty, having, topk_offset, sort_all, partial_final_agg, flagship, dml_insert, dml_update, dml_delete, sql_update, sql_delete, constraint_pk,
+    constraint_fk,
+    lsm_scan, lsm_range, lsm_get, lsm_compact_keep, lsm_compact_drop, lsm_entries, lsm_manifest, lsm_level_stats, lsm_compaction_pick,
+    overlap_join, bloom_semi,
+    wal_att, wal_dpt, wal_redo, wal_undo, two_pc, raft_commit, mvcc_visible, vacuum, first_committer, ssi_pivots, write_skew, lost_update, phantom,
+    lock_conflict, lock_waits, deadlock_cycle,
     route_range, route_bounds, route_hash, ring_route, split_key, col_stats, equi_depth, percentiles, phi_window, phi_moments, phi_level, crc32c, json_log,
 ]
 
@@ -368,10 +422,75 @@ ORACLE = _SQL | {
         k as (select g, i from r where rn = c // 2 + 1)
         select k.g as group_id, coalesce(max(e.event_id), 0) as commit_index from k left join events e
             on e.user_id % 10 = k.g and e.event_id <= k.i and e.event_id % 2 = 1 group by 1""",
-    "ssi_pivots": "select distinct n_regionkey as pivot from nation where n_nationkey <> n_regionkey and n_regionkey in (select n_nationkey from nation where n_nationkey <> n_regionkey)",
+    "ssi_pivots": """
+        with r as (select user_id as src, event_id // 10 as k from events where event_type in ('click', 'view')),
+        w as (select user_id as dst, event_id // 10 - 1 as k from events where event_type = 'purchase'),
+        e as (select src, dst from r join w using (k) where src <> dst and src % 10 = dst % 10)
+        select distinct dst as pivot from e where dst in (select src from e)""",
+    "write_skew": """
+        with r as (select user_id as tx, event_id // 10 as k from events where event_type in ('click', 'view')),
+        w as (select user_id as tx, event_id // 10 as k from events where event_type = 'purchase'),
+        e as (select distinct r.tx as a, w.tx as b from r join w using (k) where r.tx <> w.tx)
+        select e.a, e.b from e join e f on e.a = f.b and e.b = f.a where e.a < e.b""",
+    "lost_update": """
+        select tx, key, lost from (select event_id as tx, user_id as key, min(event_id) over (partition by user_id, event_id // 20) as lost from events)
+        where tx > lost""",
+    "phantom": """
+        with s as (select distinct user_id as tx, event_type as predicate, event_id % 2 as scan, event_id % 3 as key from events),
+        n as (select tx, predicate, count(distinct scan) as scans from s group by all),
+        f as (select tx, predicate, key, count(*) as n from s group by all)
+        select distinct tx, predicate from f join n using (tx, predicate) where n < scans""",
     "lock_waits": """
-        with l as (select o_custkey as r, o_orderkey as tx, o_orderpriority like '1%' as x from orders where o_custkey < 50)
+        with l as (select o_custkey as r, o_orderkey as tx, o_orderpriority like '1%' as x from orders)
         select a.tx as waiter, b.tx as holder, a.r as resource from l a join l b on a.r = b.r and a.tx <> b.tx and (a.x or b.x)""",
+    "sql_update": """
+        select c_custkey, case when c_mktsegment = 'AUTOMOBILE' and c_acctbal > 0 then c_acctbal + 100 else c_acctbal end as c_acctbal,
+            case when c_mktsegment = 'AUTOMOBILE' and c_acctbal > 0 then c_name || '*' else c_name end as c_name from customer""",
+    "sql_delete": "select c_custkey from customer where not (c_acctbal < 0)",
+    "wal_undo": """
+        with l as (select event_id as lsn, user_id as tx, user_id % 16 as page_id, event_type as slot,
+            lag(cast(cast(round(value * 100) as bigint) as varchar)) over (partition by user_id % 16, event_type order by event_id) as image
+            from events),
+        losers as (select user_id as tx from events group by 1 having max(case when event_type in ('purchase', 'error') then event_id else -1 end) < max(event_id)),
+        mine as (select * from l where tx in (select tx from losers) and slot in ('click', 'view')),
+        first as (select page_id, slot, min(lsn) as lsn, count(*) as undone from mine group by all)
+        select m.page_id, m.slot, m.tx as tx_id, m.image, f.undone from first f join mine m using (page_id, slot, lsn)""",
+    "lsm_compact_keep": oracle.ORACLE["lsm_compact_keep"].replace(" where seq % 4 < 2", ""),
+    "lsm_compact_drop": oracle.ORACLE["lsm_compact_drop"].replace(" where seq % 4 < 2", ""),
+    "overlap_join": oracle.ORACLE["overlap_join"].replace(" where event_id < 200", ""),
+    "lsm_level_stats": """
+        with v as (select case when event_id % 5 < 4 then 0 else 1 end as level, case when event_id % 5 < 4 then event_id % 5 + 1 else 10 + user_id // 50 end as f, user_id as u from events)
+        select cast(level as integer) as level, count(distinct f) as files, cast(sum(length(cast(u as varchar)) + 9) as bigint) as bytes, min(u) as smallest_key, max(u) as largest_key from v group by 1""",
+    "lsm_compaction_pick": """
+        with v as (select case when event_id % 5 < 4 then 0 else 1 end as level, case when event_id % 5 < 4 then event_id % 5 + 1 else 10 + user_id // 50 end as f, user_id as u from events),
+        files as (select cast(level as integer) as level, f as file_number, min(u) as lo, max(u) as hi from v group by 1, 2),
+        first as (select min(lo) as lo, max(hi) as hi, count(*) as n from files where level = 0)
+        select level, file_number, 1 as target, true as drop_tombstones from files, first
+        where n >= 4 and (level = 0 or (files.hi >= first.lo and files.lo <= first.hi))""",
+    "route_hash": f"""
+        with h as ({oracle.hashed("select o_orderkey as k, 42::uhugeint as seed from orders", "o_orderkey", "k")})
+        select o_orderkey, ((h % 16) + 16) % 16 as partition_id from h""",
+    "ring_route": f"""
+        with nodes as (select n as node_id, v from range(1, 6) a(n), range(256) b(v)),
+        named as ({oracle.hashed(f"select node_id, v, node_id as k, {oracle.RING}::uhugeint as seed from nodes", "node_id, v", "k")}),
+        placed as ({oracle.hashed("select node_id, v as k, (case when h < 0 then h::hugeint + 18446744073709551616::hugeint else h end)::uhugeint as seed from named", "node_id", "k", small=True)}),
+        ring as (select h as position, node_id from placed),
+        keys as ({oracle.hashed("select o_orderkey as k, 42::uhugeint as seed from orders", "o_orderkey", "k")})
+        select o_orderkey, coalesce(r.node_id, (select arg_min(node_id, position) from ring)) as node_id
+        from keys asof left join ring r on keys.h <= r.position""",
+    "crc32c": f"""
+        with t as (select [{', '.join(map(str, oracle.crc_table()))}]::ubigint[] as t),
+        b as (select c_custkey, list_prepend(4294967295::ubigint, list_transform(range(1, length(c_name) + 1), lambda i: ord(substr(c_name, i, 1))::ubigint)) as b from customer)
+        select c_custkey, cast(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[cast(xor(c & 255, x) + 1 as bigint)])), 4294967295::ubigint) as bigint) as crc from b, t""",
+    "phi_level": f"""
+        with g as (select event_id, user_id, event_id - lag(event_id) over (partition by user_id order by event_id) as gap from events),
+        m as (select event_id, gap, count(gap) over w as n, avg(gap) over w as mu, stddev_pop(gap) over w as sigma from g
+            window w as (partition by user_id order by event_id rows between 999 preceding and current row)),
+        z as (select *, (gap - mu) / (sigma * sqrt(2)) as x, 1.0 / (1.0 + abs((gap - mu) / (sigma * sqrt(2))) * 0.5) as u from m),
+        e as (select *, ln(u) - x * x + ({oracle.polynomial(suspicion.ERFC, "u")}) as l from z),
+        p as (select event_id, gap, n, case when gap is null then null when sigma > 0 then -(case when x >= 0 then l - ln(2) else ln(1.0 - exp(l) * 0.5) end) / ln(10)
+            when gap > mu then 'infinity'::double else 0.0 end as phi from e)
+        select event_id, round(phi, 6) as phi, case when n < 10 then gap > 1000 else phi > 8 end as suspect from p""",
     "route_bounds": "select cast(case when o_orderkey < 0 then -1 when o_orderkey < 1000 then 0 when o_orderkey < 5000 then 1 when o_orderkey < 12000 then 2 else 3 end as bigint) as partition_id, count(*) as cnt from orders group by 1",
     "json_log": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import shutil
 import tempfile
@@ -50,9 +51,28 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or,
+    if all run in one process, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tables"
+        else:
+            app = spark.sparkContext.applicationId
+            if app not in _own:
+                _own[app] = tempfile.mkdtemp(prefix="shared-")
+                atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+            folder = _own[app]
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint, in the folder of spark.checkpoint.dir or, where that is unset, our own."""
+    """Cuts lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

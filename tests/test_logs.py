@@ -52,6 +52,38 @@ def test_torn_tail(spark, short, tmp_path):
         wal.read(spark, str(tmp_path / "log")).collect()
 
 
+def test_only_the_last_segment_may_be_torn(spark, tmp_path):
+    path, rows = tmp_path / "log", [(i, i - 1, 1, "UPDATE", 1, 0, "a", "b", None) for i in range(1, 7)]
+    segments = []
+    for lo, hi in ((1, 3), (4, 6)):
+        before = set(path.glob("part-*")) if path.exists() else set()
+        wal.append(log(spark, [r for r in rows if lo <= r[0] <= hi]).coalesce(1), str(path))
+        segments += [f for f in path.glob("part-*") if f not in before and f.stat().st_size]
+    for f in path.glob(".*.crc"):
+        f.unlink()
+    whole = [f.read_bytes() for f in segments]
+    cut = lambda b: b[:-20]
+    segments[1].write_bytes(cut(whole[1]))
+    assert sorted(r.lsn for r in wal.read(spark, str(path), tolerate_tail=True).collect()) == [1, 2, 3, 4, 5]
+    segments[0].write_bytes(cut(whole[0]))
+    with pytest.raises(Exception, match="corrupt log record"):
+        wal.read(spark, str(path), tolerate_tail=True).collect()
+    segments[1].write_bytes(whole[1])
+    with pytest.raises(Exception, match="corrupt log record"):
+        wal.read(spark, str(path), tolerate_tail=True).collect()
+    segments[0].write_bytes(whole[0])
+    segments[1].write_bytes(b"12345")  # nothing good in it
+    assert wal.read(spark, str(path), tolerate_tail=True).count() == 3
+
+
+def test_segments_are_bounded_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wal, "SEGMENT", 10)
+    wal.append(log(spark, [(i, i - 1, 1, "UPDATE", 1, 0, "a", "b", None) for i in range(1, 101)]).repartition(5), str(tmp_path / "log"))
+    files = [f.read_text().splitlines() for f in (tmp_path / "log").glob("part-*") if f.stat().st_size]
+    assert len(files) >= 10 and all(len(f) <= 10 for f in files)
+    assert [r.lsn for r in wal.read(spark, str(tmp_path / "log")).orderBy("lsn").collect()] == list(range(1, 101))
+
+
 def test_checkpoint_round_trip(spark, tmp_path):
     now = datetime.datetime(2026, 1, 2, 3, 4, 5)
     wal.save_checkpoint(spark, str(tmp_path / "cp"), 4096, now, {100: 500}, {42: 200})
@@ -120,6 +152,10 @@ def test_isolation(spark):
     writes = spark.createDataFrame([(1, "a"), (2, "b")], "tx int, key string")
     assert [tuple(r) for r in mvcc.non_repeatable_reads(reads).collect()] == [(1, "a")]
     assert [tuple(r) for r in mvcc.write_skews(reads, writes).collect()] == [(1, 2)]
+    scans = spark.createDataFrame([(1, "p", 1, "a"), (1, "p", 2, "a"), (1, "p", 2, "b"), (2, "p", 1, "a"), (2, "p", 2, "a"), (3, "p", 1, "a")], "tx int, predicate string, scan int, key string")
+    assert [tuple(r) for r in mvcc.phantoms(scans).collect()] == [(1, "p")]
+    updates = spark.createDataFrame([(1, "a", 0, 1), (2, "a", 0, 2), (3, "a", 2, 3), (4, "b", 0, 4)], "tx int, key string, read_version int, version int")
+    assert [tuple(r) for r in mvcc.lost_updates(updates).collect()] == [(2, "a", 1)]
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "src int, dst int")
     assert [r.pivot for r in mvcc.dangerous_structures(edges).collect()] == [2]
 
@@ -179,6 +215,13 @@ def test_bloom(spark):
     f = bloom.from_bytes(bloom.to_bytes(bloom.build(keys, "k", 2000, 0.01)))
     assert all(f.mightContainString(f"present_key_{i}") for i in range(2000))
     assert sum(f.mightContainString(f"absent_key_{i}") for i in range(5000)) < 150
+    data = bloom.hashes_of(keys, "k", 2000)
+    asked = spark.range(7000).selectExpr("id", "case when id < 2000 then concat('present_key_', id) else concat('absent_key_', id) end as k")
+    assert asked.where(~bloom.may_contain(data, F.col("k"))).where("id < 2000").count() == 0
+    assert asked.where(bloom.may_contain(data, F.col("k"))).where("id >= 2000").count() < 150
+    got = bloom.semi_join(asked, "k", keys.union(spark.createDataFrame([(None,)], "k string")), "k")
+    assert "might_contain" in got._jdf.queryExecution().toString() and got.count() == 2000
+    assert bloom.semi_join(asked, "k", keys.limit(0), "k").count() == 0
 
 
 def test_phi(spark):
@@ -186,6 +229,9 @@ def test_phi(spark):
     got = [r.p for r in df.select(suspicion.phi(F.col("t"), F.col("m"), F.col("s")).alias("p")).collect()]
     assert got[0] == pytest.approx(math.log10(2)) and got[1] == pytest.approx(-math.log10(0.5 * math.erfc(5 / math.sqrt(2))))
     assert got[2] > 1700 and got[3] == math.inf and got[4] is None
+    many = spark.createDataFrame([(x / 7, 0.0, 1.0) for x in range(-60, 200)], "t double, m double, s double")
+    for r in many.withColumn("p", suspicion.phi(F.col("t"), F.col("m"), F.col("s"))).collect():
+        assert r.p == pytest.approx(-math.log10(0.5 * math.erfc(r.t / math.sqrt(2))), abs=1e-6)
 
 
 def test_identifiers(spark):

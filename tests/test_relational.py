@@ -61,7 +61,17 @@ def test_sql_and_ddl(spark, sf):
 
 def test_index_copy(spark, sf, tmp_path):
     found = frontdoor.create_index(table(spark, sf, "orders"), str(tmp_path / "index"), "o_orderkey")
-    assert found.where("o_orderkey = 42").count() == 1
+    assert found.where("o_orderkey = 42").count() == frontdoor.index_lookup(found, "o_orderkey", 42).count() == 1
+    assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThanOrEqual(o_orderkey,100), LessThan(o_orderkey,200)]" in frontdoor.explained(frontdoor.index_lookup(found, "o_orderkey", 100, 200))
+    frontdoor.drop_index(spark, str(tmp_path / "index"))
+    assert not (tmp_path / "index").exists()
+
+
+def test_dml_in_sql(spark, sf):
+    made = frontdoor.sql(spark, sf, "update nation set n_name = concat(n_name, ',x'), n_regionkey = n_regionkey + 1 where n_nationkey in (1, 2)")
+    assert made.where("n_name like '%,x'").count() == 2 and made.count() == 25
+    assert frontdoor.sql(spark, sf, "update nation set n_regionkey = 9").where("n_regionkey = 9").count() == 25
+    assert frontdoor.sql(spark, sf, "delete from nation where n_regionkey = 0 or null").count() == 20
 
 
 def test_histogram_with_ties_and_few_rows(spark):
