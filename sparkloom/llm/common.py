@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
-import shutil
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -16,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.session import ship
+from sparkloom.session import shared_dir, ship
 
 #: Fixed by the contracts: words are runs of anything but these ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -41,25 +38,6 @@ def remainder(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or,
-    if all run in one process, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tables"
-        else:
-            app = spark.sparkContext.applicationId
-            if app not in _own:
-                _own[app] = tempfile.mkdtemp(prefix="shared-")
-                atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-            folder = _own[app]
-    return folder.rstrip("/")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
