@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, scratch, tidied
+from .common import Scratch, frugal, scratch, tidied
 
 #: Characters of a block that is encoded at once (longer texts are trees), and of a piece beyond which it is one.
 BLOCK, PIECE = 1 << 14, 1 << 10
@@ -319,6 +319,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @frugal
     def run(texts: pd.Series) -> pd.DataFrame:
         c = codec(path)
         return pd.DataFrame([_digest(c, [np.array(c.encode(t or ""), np.int64)]) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])

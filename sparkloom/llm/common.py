@@ -133,6 +133,19 @@ def tidied(run):
     return wrapped
 
 
+def frugal(run):
+    """The same for a function of a pandas UDF, after each batch."""
+
+    @functools.wraps(run)
+    def wrapped(*batch):
+        try:
+            return run(*batch)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 # --- words of a text as 64-bit hashes, in numpy -------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15

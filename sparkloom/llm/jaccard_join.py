@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lowered, mixed, scratch, small, tidied, word_hashes
+from .common import Scratch, frugal, lowered, mixed, scratch, small, tidied, word_hashes
 
 #: Tokens in the lower part of the hash space are counted: this many times a prefix's share of a set, so that the common
 #: ones among them can be left out of most prefixes.
@@ -33,8 +33,8 @@ COUNTED = 1.35
 #: A token of this many sets is common; with more than MAX_COMMON such tokens the bound is doubled.
 COMMON, MAX_COMMON = 32, 1 << 18
 
-#: Sets of a block that are joined at once; larger blocks are joined part by part.
-PART = 256
+#: Sets of a block that are joined at once, at least, and their tokens; larger blocks are joined part by part.
+PART, TOKENS = 128, 1 << 17
 
 #: Tokens of a trie's edge between two looks at the bound.
 EDGE = 64
@@ -208,6 +208,7 @@ def _sets(text, n: int, percent: int):
     """A struct of a text's set: its size, a 128-bit digest, and the tokens that can be in its prefix."""
 
     @F.pandas_udf("n long, a long, b long, low array<long>")
+    @frugal
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
@@ -361,6 +362,7 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     wanted = tables.stored(edges.select(F.explode(F.array("leader", "member")).alias("key")).distinct(), "wanted")
 
     @F.pandas_udf("array<long>")
+    @frugal
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, n).view(np.int64) for t in texts], dtype=object)
 
@@ -397,11 +399,15 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
             yield made
 
     none = F.lit(0).cast("long")
-    sizes = edges.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
-    sizes = tables.stored(sizes.withColumnRenamed("leader", "_l"), "parts")
+    sizes = edges.groupBy(F.col("leader").alias("_l")).agg(F.count("*").alias("c")).where(F.col("c") > PART)
+    sizes = tables.stored(sizes, "sizes")
+    # all sets of a block are of about the leader's size
+    per = F.greatest(F.lit(PART), F.floor(F.lit(TOKENS) / F.col("n")))
+    sizes = sets.select("key", "n").join(small(sizes, sizes.count()), F.col("key") == F.col("_l")).select("_l", per.alias("per"), F.ceil(F.col("c") / per).alias("parts"))
+    sizes = tables.stored(sizes.where("parts > 1"), "parts")
     large = small(sizes, sizes.count())
     members = edges.join(large, F.col("leader") == F.col("_l"), "left").withColumn("parts", F.coalesce("parts", none + 1))
-    members = tables.stored(members.select("leader", "member", "parts", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part")), "members")
+    members = tables.stored(members.select("leader", "member", "parts", "per", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part")), "members")
     leaders = members.select("leader", "parts").distinct()
     leaders = leaders.select("leader", F.col("leader").alias("member"), F.explode(F.sequence(none, F.col("parts") - 1)).alias("part"))
     first = members.select("leader", "member", "part").unionByName(leaders)
@@ -416,7 +422,7 @@ def links(docs: DataFrame, sets: DataFrame, tables: Scratch, n: int, percent: in
     rooted = rooted.join(own, F.col("leader") == F.col("_u"), "left").withColumn("top", F.coalesce("_v", "leader")).drop("_u", "_v")
     rooted = tables.stored(rooted, "rooted")
     strays = rooted.where("root <> top")
-    chunks = strays.groupBy("leader").agg(F.ceil(F.count("*") / PART).alias("chunks"))
+    chunks = strays.groupBy("leader").agg(F.ceil(F.count("*") / F.max("per")).alias("chunks"))
     chunks = tables.stored(chunks.withColumnRenamed("leader", "_l"), "chunks")
     n_chunks = chunks.count()
     if not n_chunks:

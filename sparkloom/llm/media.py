@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import frugal
 
 #: Payloads are padded to a multiple of this. Fixed by the contract.
 PAD = 64
@@ -49,6 +50,7 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
 
     @F.pandas_udf("n_bytes long, media binary")
+    @frugal
     def made(texts: pd.Series) -> pd.DataFrame:
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         return pd.DataFrame({"n_bytes": [len(d) for d in data], "media": stored([padded(d) for d in data])})
@@ -98,6 +100,7 @@ def measured(rows: DataFrame, media: str = "media") -> DataFrame:
         return size, digest.hexdigest(), zlib.crc32(tail), len(file), hashlib.sha256(file).hexdigest(), feature, pixels.hexdigest()
 
     @F.pandas_udf(kind)
+    @frugal
     def read(files: pd.Series) -> pd.DataFrame:
         found = images([bytes(f) for f in files if f is not None])
         out = [(None,) * 7 if f is None else one(bytes(f), next(found)) for f in files]

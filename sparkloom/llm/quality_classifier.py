@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Scratch, hashed_words, mixed, scratch, small
+from .common import BLOCK, Scratch, frugal, hashed_words, mixed, scratch, small
 
 #: Random features; the kernel's width in standard deviations; the ridge term for each row; bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 192, 3.0, 1e-4, 512, 17
@@ -69,6 +69,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 def stats_of(text: Column) -> Column:
     @F.pandas_udf("array<double>")
+    @frugal
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts], dtype=object)
 
@@ -187,6 +188,7 @@ def scored(x: Column, model: Model) -> Column:
 
 def scored_text(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
+    @frugal
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack([statistics(t) for t in texts])) if len(texts) else [], dtype=float)
 

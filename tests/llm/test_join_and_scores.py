@@ -58,6 +58,7 @@ def test_join_equals_all_pairs(spark, monkeypatch, n, percent, most):
     monkeypatch.setattr(jj, "COMMON", 8)
     monkeypatch.setattr(jj, "MAX_COMMON", most)
     monkeypatch.setattr(jj, "PART", 16)
+    monkeypatch.setattr(jj, "TOKENS", 1)
     rows = near_copies(n)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.join(documents(spark, [(k, t, "en", "s") for k, t in rows]), n, percent).collect()}
     want = components(rows, n, percent)
@@ -65,7 +66,10 @@ def test_join_equals_all_pairs(spark, monkeypatch, n, percent, most):
     assert len(set(want.values())) < len(rows) - 20
 
 
-def test_one_large_group(spark):
+@pytest.mark.parametrize("tokens", [1, 1 << 17])
+def test_one_large_group(spark, monkeypatch, tokens):
+    """Of which many do not reach the threshold; in parts, and in one."""
+    monkeypatch.setattr(jj, "TOKENS", tokens)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(150)]
     rows = [(i, " ".join([*base[:140], *[f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 14))]])) for i in range(600)]
