@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
-from . import bpe, jaccard_join, language_id, lm_score, media, mixing, quality_classifier, quality_rules, url_filter, warc
+from . import bpe, jaccard_join, language_id, lm_score, media, mixing, oracle, quality_classifier, quality_rules, url_filter, warc
 from .common import remainder
 
 #: Fixed by the contract: verdicts by host and path.
@@ -101,4 +101,9 @@ QUERIES = {
         "op10_lm_score": op10_lm_score,
     }.items()
 }
-ORACLE = {"op4_url_filter": _op4_sql()}
+ORACLE = {
+    "op1_quality_rules": oracle.quality(),
+    "op4_url_filter": _op4_sql(),
+    "op5_warc": oracle.archives(),
+    "op9_jaccard_join": oracle.near_copies(),
+}
