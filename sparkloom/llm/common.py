@@ -111,6 +111,17 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if held <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a table of files, its rows dealt anew where fewer tasks than there are cores would read them all, as with one
+    file of one row group. Tables of as many files as cores are left as they are without a look at the files; of others
+    the row groups' footers are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    tasks = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def give_back() -> None:
     """Returns this process's free memory to the system."""
     pa.default_memory_pool().release_unused()

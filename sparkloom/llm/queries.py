@@ -10,7 +10,7 @@ from sparkloom.session import shipped
 from sparkloom.sources.tables import table
 
 from . import bpe, jaccard_join, language_id, lm_score, media, mixing, oracle, quality_classifier, quality_rules, url_filter, warc
-from .common import remainder
+from .common import remainder, spread
 
 #: Fixed by the contract: verdicts by host and path.
 URL_RULES = [
@@ -21,8 +21,14 @@ URL_RULES = [
     ("block", "org/es/"),
 ]
 
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries whose work on a text outweighs dealing it out."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("source")
+    return quality_rules.judge(_documents(spark, sf_dir)).drop("source")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,23 +73,23 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) != 2)
+    return language_id.identify(_documents(spark, sf_dir), remainder(F.col("doc_id"), 4) != 2)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(table(spark, sf_dir, "documents"))
+    return media.digests(_documents(spark, sf_dir))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(_documents(spark, sf_dir))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+    return lm_score.score(_documents(spark, sf_dir), remainder(F.col("doc_id"), 7) != 2)
 
 
 QUERIES = {

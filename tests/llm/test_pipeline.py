@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from sparkloom.llm import queries
-from sparkloom.llm.common import remainder
+from sparkloom.llm.common import remainder, spread
 from sparkloom.sources.tables import table
 
 from .helpers import components, documents, shingles, words
@@ -124,3 +124,16 @@ def test_held_out_shares(spark, sf):
     for name, parts, at in (("op2_quality_classifier", 5, 0), ("op6_language_id", 4, 2), ("op10_lm_score", 7, 2)):
         rows = entry.queries()[name](spark, sf)
         assert rows.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % parts == at)).count() == 0
+
+
+def test_tables_of_few_files_are_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, None if i % 5 == 0 else "a b" * (i % 7), None, f"s{i % 3}") for i in range(200)]
+    for files in (1, cores):
+        documents(spark, rows).repartition(files).write.parquet(f"{tmp_path}/{files}")
+    one, many = spark.read.parquet(f"{tmp_path}/1"), spark.read.parquet(f"{tmp_path}/{cores}")
+    tasks = [df.select(F.spark_partition_id().alias("t")).distinct().count() for df in (one, spread(one))]
+    assert tasks[0] == 1 and tasks[1] >= cores
+    assert spread(many) is many
+    assert sorted(map(str, spread(one).collect())) == sorted(map(str, one.collect()))
+    assert spread(one.where("false")).count() == 0
