@@ -52,6 +52,7 @@ def quality() -> str:
 
 def archives() -> str:
     """Digests, the last page of each payload, and the dates and addresses that the query makes up."""
+    uri = "array_to_string(list_transform(regexp_extract_all(hex(encode(url)), '..'), lambda b: case when b between '21' and '7E' then chr(('0x' || b)::int) else '%' || b end), '')"
     five = ", ".join(f"substr(bits, {5 * i + 1}, 5)" for i in range(32))
     return f"""
         with p as (
@@ -61,7 +62,7 @@ def archives() -> str:
         last as (select digest, max(page_id) as last from d group by digest)
         select page_id, octet_length(encode(html))::bigint as payload_bytes, d.digest as payload_digest,
             case when page_id < last or page_id is null and last is not null then 'revisit' else 'response' end as record_type,
-            case when page_id < last or page_id is null then last end as refers_to, nullif(url, '') as uri,
+            case when page_id < last or page_id is null then last end as refers_to, case when url not in ('', '-') then {uri} end as uri,
             printf('2026-01-01T%02d:%02d:%02dZ', second // 3600 % 24, second // 60 % 60, second % 60) as date,
             printf('10.%d.%d.%d', second // 65536 % 256, second // 256 % 256, second % 256) as ip
         from d join last on d.digest = last.digest"""

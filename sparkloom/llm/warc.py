@@ -146,8 +146,8 @@ def to_warc(record: ArcRecord, key: int | None = None, refers_to: int | None = N
     if kind == "warcinfo":
         headers += [("WARC-Filename", url.removeprefix("filedesc://")), ("Content-Type", "text/plain")]
     else:
-        if url != "-":
-            headers.append(("WARC-Target-URI", url))
+        if url != "-":  # bytes beyond ASCII, which were read as characters, are percent-encoded: a URI has none
+            headers.append(("WARC-Target-URI", url if url.isascii() else "".join(c if c.isascii() else f"%{ord(c):02X}" for c in url)))
         headers += [("WARC-IP-Address", record.get("IP-address")), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
         headers.append(("Content-Type", "application/http; msgtype=response" if http else record.get("Content-type")))
     if kind == "revisit":

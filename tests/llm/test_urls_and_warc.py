@@ -127,6 +127,11 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_target_uris_are_ascii(spark):
+    pages = spark.createDataFrame([(1, "http://h/\u00e9 x~", "a"), (2, "-", "b"), (3, "", "c")], "page_id long, url string, html string")
+    assert {r.page_id: r.uri for r in warc.round_trip(pages).collect()} == {1: "http://h/%C3%A9%20x~", 2: None, 3: None}
+
+
 def test_small_payloads_are_not_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.round_trip(pages, min_bytes=3).collect()}
